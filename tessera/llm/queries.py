@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash
+from tessera.llm import simhash, substring
 from tessera.llm.common import table
 
 
@@ -14,5 +14,19 @@ def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_simhash_vptree": op6_simhash_vptree}
+def op9_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated passages; documents without any have empty lists."""
+    docs = table(spark, sf_dir, "documents")
+    found = substring.repeated_passages(docs)
+    return docs.select("doc_id").join(found, F.col("doc_id") == F.col("doc"), "left").select(
+        "doc_id",
+        F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"),
+        F.coalesce(F.expr("aggregate(passages, 0L, (n, p) -> n + p.end - p.start)"), F.lit(0)).alias("repeated_words"),
+        F.coalesce("passages", F.expr("array()")).alias("passages"),
+        F.array_sort(F.array_distinct(F.col("links.ref"))).alias("ref_doc_ids"),
+        "links",
+    )
+
+
+QUERIES = {"op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
 ORACLES: dict[str, str] = {}
