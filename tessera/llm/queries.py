@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash, substring
+from tessera.llm import simhash, substring, tokenids, topk, warc
 from tessera.llm.common import table
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"), width=4, radius=4)
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -28,5 +33,29 @@ def op9_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
-ORACLES: dict[str, str] = {}
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op10_topk_branch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+QUERIES = {"op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
+ORACLES: dict[str, str] = {
+    "op1_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+        k AS (SELECT html, max(page_id) AS kept FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+        SELECT p.page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN k.kept <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               nullif(k.kept, p.page_id) AS refers_to
+        FROM p LEFT JOIN k ON p.html = k.html""",
+    "op10_topk_branch_bound": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10""",
+}
