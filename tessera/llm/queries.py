@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash, substring, tokenids, topk, warc
+from tessera.llm import quality, simhash, substring, tokenids, topk, warc
 from tessera.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"), width=4, radius=4)
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -41,7 +46,7 @@ def op10_topk_branch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
-QUERIES = {"op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
+QUERIES = {"op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
 ORACLES: dict[str, str] = {
     "op1_warc_index": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
@@ -50,11 +55,38 @@ ORACLES: dict[str, str] = {
                CASE WHEN k.kept <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
                nullif(k.kept, p.page_id) AS refers_to
         FROM p LEFT JOIN k ON p.html = k.html""",
+    "op4_risk_controlled_rules": """
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+        s AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+                     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+        tri AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+        rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM tri) WHERE n > 1),
+        cov AS (SELECT r, count(DISTINCT i + o) AS n FROM rep, (VALUES (0), (1), (2)) AS d(o) GROUP BY r),
+        m AS (SELECT s.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+              FROM s LEFT JOIN cov ON s.r = cov.r),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                     coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS symbols, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_lines,
+                     coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeats FROM m),
+        l AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+        v AS (SELECT stratum, l.good, unnest(['symbols', 'dup_lines', 'repeats']) AS rule, unnest([symbols, dup_lines, repeats]) AS x FROM b JOIN l USING (doc_id) WHERE NOT base_failed),
+        c AS (SELECT stratum, rule, cut, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND x > cut) AS k, count(*) FILTER (good <> 1 AND x > cut) AS bad
+              FROM v, (SELECT unnest([10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 350, 400, 500, 600, 700, 800, 900]) AS cut) GROUP BY ALL),
+        tail AS (SELECT stratum, rule, cut, sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END + j * ln(0.02) + (n - j) * ln(0.98))) AS p
+                 FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM c WHERE n > 0) GROUP BY ALL),
+        f AS (SELECT c.*, n = 0 OR k >= 0.02 * n OR p > 0.05 / (SELECT count(DISTINCT (stratum, rule)) FROM c) AS failed FROM c LEFT JOIN tail USING (stratum, rule, cut)),
+        g AS (SELECT *, bool_or(failed) OVER (PARTITION BY stratum, rule ORDER BY cut DESC) AS ended FROM f),
+        won AS (SELECT stratum, rule, arg_max(cut, (bad - 5 * k) * 1000 + cut) AS cut FROM g WHERE NOT ended AND bad - 5 * k > 0 GROUP BY stratum, rule),
+        x AS (SELECT stratum, max(cut) FILTER (rule = 'symbols') AS a, max(cut) FILTER (rule = 'dup_lines') AS d, max(cut) FILTER (rule = 'repeats') AS e FROM won GROUP BY stratum)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT (coalesce(symbols > a, false) OR coalesce(dup_lines > d, false) OR coalesce(repeats > e, false)) AS kept
+        FROM b LEFT JOIN x USING (stratum)""",
     "op10_topk_branch_bound": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-                   AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) AS BIGINT) AS score
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
               FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10""",
