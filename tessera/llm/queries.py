@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html, quality, simhash, substring, tokenids, topk, toxicity, warc
+from tessera.llm import html, mixing, pieces, quality, simhash, substring, tokenids, topk, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -48,6 +48,15 @@ def op9_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mixed(docs).select("doc_id", "source", "lang", F.col("cell_topic").alias("topic"), F.col("cell_tokens").alias("n_tokens"), F.round("cell_weight", 6).alias("weight"), F.round("cell_p", 6).alias("probability"), "sampled")
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -56,8 +65,37 @@ def op10_topk_branch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
-QUERIES = {"op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
+QUERIES = {"op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
+def raking_sql() -> str:
+    """The raked cells as one chain of common table expressions, a step for each margin of each sweep."""
+    steps, last = [], "w0"
+    for i in range(mixing.SWEEPS):
+        for m in mixing.MARGINS:
+            name = f"w{i}_{m}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, n, w * t / sum(w) OVER (PARTITION BY {m}) AS w FROM {last} JOIN t_{m} USING ({m}))")
+            last = name
+    targets = [f"t_{m} AS MATERIALIZED (SELECT {m}, t / sum(t) OVER () * (SELECT sum(n) FROM cells) AS t FROM (SELECT {m}, pow(sum(n), {mixing.POWERS[m]}) AS t FROM cells GROUP BY {m}))" for m in mixing.MARGINS]
+    # cells are whole from the largest ratio down, as long as the rest's calibration says so
+    caps = f"""
+        r AS (SELECT *, w / n AS r, sum(n) OVER (ORDER BY w / n DESC, source, lang, topic) AS whole, sum(w) OVER (ORDER BY w / n, source DESC, lang DESC, topic DESC) AS rest FROM {last}),
+        c AS (SELECT *, ({mixing.SHARE} * (SELECT sum(n) FROM cells) - whole + n) / rest AS f FROM r),
+        p AS (SELECT source, lang, topic, n, w, r, least(1.0, r * (SELECT coalesce(max(f) FILTER (r * f < 1), 1e300) FROM c)) AS p FROM c)"""
+    return f"""
+        WITH d AS (SELECT doc_id, source, lang, coalesce(source, '') AS s, coalesce(lang, '') AS l, coalesce(text, '') AS text,
+                          CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM documents),
+        e AS (SELECT *, CASE WHEN length(regexp_replace(text, '[^|]', '', 'g')) * 10 >= n_tokens THEN 'tabular'
+                             WHEN length(regexp_replace(text, '[^#*$%&<>]', '', 'g')) * 4 >= n_tokens THEN 'symbolic'
+                             WHEN n_tokens >= 1000 THEN 'long' WHEN n_tokens >= 200 THEN 'medium' ELSE 'short' END AS topic FROM d),
+        cells AS MATERIALIZED (SELECT s AS source, l AS lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS n FROM e GROUP BY ALL HAVING sum(n_tokens) > 0),
+        {", ".join(targets)},
+        w0 AS (SELECT *, n AS w FROM cells), {", ".join(steps)}, {caps}
+        SELECT doc_id, e.source, e.lang, e.topic, n_tokens, round(coalesce(r, 0), 6) AS weight, round(coalesce(p, 0), 6) AS probability,
+               CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) < coalesce(p, 0) AS sampled
+        FROM e LEFT JOIN p ON e.s = p.source AND e.l = p.lang AND e.topic = p.topic"""
+
+
 ORACLES: dict[str, str] = {
+    "op7_raked_mixture": raking_sql(),
     "op1_warc_index": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
         k AS (SELECT html, max(page_id) AS kept FROM p WHERE strlen(html) >= 1000 GROUP BY html)
