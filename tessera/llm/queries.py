@@ -65,7 +65,14 @@ def op10_topk_branch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
-QUERIES = {"op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the pipeline stands at the repository's top, above this subpackage
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
 def raking_sql() -> str:
     """The raked cells as one chain of common table expressions, a step for each margin of each sweep."""
     steps, last = [], "w0"
