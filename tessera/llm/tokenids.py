@@ -15,8 +15,10 @@ writer nor reader ever holds more than that and one document.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,8 +32,12 @@ from tessera.llm.files import NewFile, Ranges
 HEAD = struct.Struct("<4sIQIQQ")
 MAGIC = b"FRVL"
 SEGMENT = 1 << 20
-#: Distinct words whose ids a worker keeps.
-CACHE = 300_000
+#: Documents whose new words are encoded together.
+DOCS = 400
+#: Distinct parts, and distinct words, whose ids a worker keeps; signs that may follow a word.
+CACHE = 400_000
+SIGNS = "!#$%&()*+,-./:;=?@[]^_{|}~"
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 #: Row c: the lengths of the four ids whose control byte is c.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -90,32 +96,76 @@ def unpack(segment: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer of the tokenizers library whose normalizer and splitter treat blanks and line
-    feeds as mere separators: the parts between them are encoded once and kept, up to CACHE of them."""
+    """Ids of whole texts by a tokenizer of the tokenizers library that lower-cases, drops white space and splits letters
+    from other signs, each part ending in a piece marked as a word's end.
+
+    Blanks and line feeds are mere separators then, so the parts between them are encoded once and kept. So are their
+    plain words: letters below U+0250 (which are in normal form, and lower-cased one by one), apart from the signs that
+    follow them. New plain words are encoded many to a call and told apart by the marked pieces. Both caches are bounded.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.plain: dict[str, bytes] = {"": b""}
+
+    def direct(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Adds plain words, lower-cased, to the cache."""
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.nonzero(self.ends[ids])[0] + 1
+            if len(at) == len(group) and at[-1] == len(ids):
+                raw, cut = ids.tobytes(), [0, *(4 * at).tolist()]
+                self.plain.update((w, raw[a:b]) for w, a, b in zip(group, cut, cut[1:]))
+            else:
+                self.plain.update(zip(group, self.direct(group)))
 
     def __call__(self, text: str | None) -> bytes:
-        parts = (text or "").replace("\n", " ").split(" ")
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as little-endian u32."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        fresh = list({p for p in parts if p not in known})
+        fresh = set().union(*split).difference(known)
         if fresh:
             if len(known) + len(fresh) > CACHE:
-                self.known = known = {"": b""}
-                fresh = [p for p in set(parts) if p]
-            for a in range(0, len(fresh), 10_000):
-                some = fresh[a : a + 10_000]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
-
-
-def write_ids(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[str | None], bytes]], end_id: int | None, segment: int = SEGMENT) -> DataFrame:
+                known = self.known = {"": b""}
+                fresh = set().union(*split)
+                fresh.discard("")
+            cut, other, new = {}, [], {}
+            for p in fresh:
+                word = p.rstrip(SIGNS)
+                if word.isalpha() and PLAIN.fullmatch(word):
+                    word = word.lower()
+                    cut[p] = word, p[len(word) :]
+                    new[word] = None
+                elif not word:
+                    cut[p] = "", p
+                else:
+                    other.append(p)
+            if len(self.plain) + len(new) > CACHE:
+                self.plain = {"": b""}
+            self.learn([w for w in new if w not in self.plain])
+            signs = [x for x in dict.fromkeys(x for _, x in cut.values()) if x and x not in known]
+            known.update(zip(signs, self.direct(signs)))
+            known.update(zip(other, self.direct(other)))
+            known.update((p, self.plain[w] + known[x]) for p, (w, x) in cut.items())
+        look = known.__getitem__
+        return [b"".join(map(look, parts)) for parts in split]
+
+
+def write_ids(docs: DataFrame, folder: str, encoder: Callable[[], Encoder], end_id: int | None, segment: int = SEGMENT) -> DataFrame:
     """Writes the ids of every document, the end id appended, to files in the folder, in ascending order of doc_id.
 
     Returns the segments (file, offset, length, first_doc, ids) as a written table. A null text is empty; rows with a
@@ -141,13 +191,14 @@ def write_ids(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[str
 
         for b in batches:
             encode_text = encode_text or encoder()
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode_text(t.as_py()) + end
-                held_ids.append(i)
-                held.append(ids)
-                size += len(ids)
-                if size >= 4 * segment:
-                    flush()
+            for at in range(0, b.num_rows, DOCS):
+                part = b.slice(at, DOCS)
+                for i, ids in zip(part.column(0).to_pylist(), encode_text.many(part.column(1).to_pylist())):
+                    held_ids.append(i)
+                    held.append(ids + end)
+                    size += len(held[-1])
+                    if size >= 4 * segment:
+                        flush()
         flush()
         if out:
             out.close()
