@@ -1,4 +1,258 @@
 """Queries over the driver's tables and the SQL each is held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import duplicates as dup
+from tessera.operators import extract, labels, maintenance, recommend, trees
+from tessera.plans import corpus
+from tessera.plans.corpus import PART_ENTRIES_SQL, PARTS_SQL, PROBE_ENTRIES_SQL, table
+from tessera.sources import scan
+from tessera.streaming import events as ev
+
+ENTRY_COLUMNS = ("node_count", "depth", "wl_hash", "pattern_hash", "canonical_hash", "fingerprint")
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- graphs and hashes
+
+
+@query(f"WITH {PARTS_SQL}, {corpus.nodes_sql('parts')} SELECT DISTINCT line, label FROM (SELECT l.line, n.label FROM lines_parts l JOIN nodes_parts n ON n.unit_id = l.unit_id AND n.id = l.i)")
+def line_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of all lines, by column expressions alone."""
+    lines = corpus.part_files(spark, sf).select(F.explode(F.split("text", "\n")).alias("line")).select(F.trim("line").alias("line")).where("line <> ''").distinct()
+    return lines.select("line", labels.line_label_column(F.col("line")).alias("label"))
+
+
+@query(f"WITH {PART_ENTRIES_SQL} SELECT unit_id, {', '.join(ENTRY_COLUMNS)}, array_to_string(hierarchy, '|') AS levels FROM entries_parts")
+def index_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.part_entries(spark, sf).select("unit_id", *ENTRY_COLUMNS, F.array_join("hierarchy", "|").alias("levels"))
+
+
+@query(f"WITH {PART_ENTRIES_SQL} SELECT count(*) AS entries, count(DISTINCT wl_hash) AS unique_wl, count(DISTINCT pattern_hash) AS unique_patterns, count(DISTINCT file_path) AS files, sum(node_count) AS nodes FROM entries_parts")
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.part_entries(spark, sf).agg(F.count("*").alias("entries"), F.count_distinct("wl_hash").alias("unique_wl"), F.count_distinct("pattern_hash").alias("unique_patterns"), F.count_distinct("file_path").alias("files"), F.sum("node_count").alias("nodes"))
+
+
+# ---- duplicates
+
+EXACT_SQL = f"WITH {PART_ENTRIES_SQL}, ex AS (SELECT wl_hash AS group_hash, count(*) AS size, count(DISTINCT canonical_hash) = 1 AS verified FROM entries_parts WHERE node_count >= 5 GROUP BY wl_hash HAVING count(*) >= 2)"
+
+
+@query(f"{EXACT_SQL} SELECT * FROM ex")
+def dup_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return dup.exact(corpus.part_entries(spark, sf)).select("group_hash", "size", "verified")
+
+
+@query(f"""WITH {PART_ENTRIES_SQL}, twice AS (SELECT wl_hash FROM entries_parts GROUP BY 1 HAVING count(*) > 1)
+    SELECT pattern_hash AS group_hash, count(*) AS size, count(DISTINCT wl_hash) AS n_wl FROM entries_parts WHERE node_count >= 5 GROUP BY 1
+    HAVING count(*) >= 2 AND NOT (count(DISTINCT wl_hash) = 1 AND min(wl_hash) IN (SELECT wl_hash FROM twice))""")
+def dup_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    return dup.pattern(corpus.part_entries(spark, sf)).select("group_hash", "size", "n_wl")
+
+
+NATIONS_SQL = "nat AS (SELECT n_nationkey AS unit_id, concat('function g() {', chr(10), 'a(', chr(10), 'if (x) {', chr(10), 'while (y) {', chr(10), 'for (z) {', chr(10), 'try {', chr(10), repeat('go w' || chr(10), CAST(n_nationkey + 1 AS INT)), CASE WHEN n_nationkey % 2 = 0 THEN 'v = ' ELSE 'call()' END, chr(10), '}}}}}') AS code FROM nation)"
+
+
+@query(f"""WITH {NATIONS_SQL}, {corpus.entries_sql('nat', 'u.unit_id')}, free AS (SELECT * FROM entries_nat WHERE node_count >= 5
+      AND wl_hash NOT IN (SELECT wl_hash FROM entries_nat GROUP BY 1 HAVING count(*) > 1) AND pattern_hash NOT IN (SELECT pattern_hash FROM entries_nat GROUP BY 1 HAVING count(*) > 1))
+    SELECT substr(sha256(array_to_string(hierarchy[1:4], '|')), 1, 16) AS group_hash, count(*) AS size, count(DISTINCT wl_hash) AS n_wl FROM free GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT wl_hash) >= 2""")
+def dup_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Near groups among deep functions, one a nation."""
+    code = F.expr(NATIONS_SQL[NATIONS_SQL.index("concat(") : NATIONS_SQL.index(" AS code")])
+    units = table(spark, sf, "nation").select(F.col("n_nationkey").alias("unit_id"), F.lit("function").alias("unit_type"), F.lit("javascript").alias("language"), code.alias("code"))
+    return dup.near(trees.entries(units)).select("group_hash", "size", "n_wl")
+
+
+@query(f"{EXACT_SQL} SELECT count(*) > 0 AS has_duplicates FROM ex")
+def has_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return dup.has_duplicates(corpus.part_entries(spark, sf))
+
+
+@query("""SELECT kind AS block_type, CAST(count(*) AS BIGINT) AS blocks, count(DISTINCT key) AS structures FROM (
+    SELECT unnest(CASE p_partkey % 5 WHEN 1 THEN ['for'] WHEN 2 THEN ['if'] WHEN 3 THEN ['while', 'if'] WHEN 4 THEN ['try'] ELSE [] END) AS kind,
+           CASE WHEN p_partkey % 5 = 2 THEN 'two' ELSE CAST(p_partkey % 5 AS VARCHAR) || CAST(p_size % 4 AS VARCHAR) END AS key FROM part) GROUP BY kind""")
+def brace_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks that brace counting finds, and how many structures they have."""
+    e = trees.entries(extract.units(corpus.part_files(spark, sf)))
+    return e.where("unit_type = 'block'").groupBy("block_type").agg(F.count("*").alias("blocks"), F.count_distinct("wl_hash").alias("structures"))
+
+
+@query("SELECT name, unit_type, line_start, line_end FROM (SELECT 'g' || s_suppkey AS name, 'function' AS unit_type, 1 AS line_start, CASE s_suppkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 5 END AS line_end, s_suppkey FROM supplier) UNION ALL SELECT 'g' || s_suppkey || '.for_1', 'block', 2, 3 FROM supplier WHERE s_suppkey % 3 = 1 UNION ALL SELECT 'g' || s_suppkey || unnest(['.if_1', '.if_1.while_1']), 'block', unnest([2, 3]), 4 FROM supplier WHERE s_suppkey % 3 = 2")
+def python_units(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.units(python_files(spark, sf)).select("name", "unit_type", "line_start", "line_end")
+
+
+def python_files(spark: SparkSession, sf: str) -> DataFrame:
+    body = "CASE " + " ".join(f"WHEN s_suppkey % 3 = {i} THEN '" + b.replace("\n", "~") + "'" for i, b in enumerate(corpus.PYTHON_BODIES)) + " END"
+    op = "CASE " + " ".join(f"WHEN s_nationkey % 4 = {i} THEN '{o}'" for i, o in enumerate(corpus.OPS)) + " END"
+    text = f"replace(concat('def g', cast(s_suppkey as string), '(a, b):~', replace({body}, 'OP', {op})), '~', chr(10))"
+    return table(spark, sf, "supplier").select(F.concat(F.lit("lib/g"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), F.expr(text).alias("text"))
+
+
+@query("SELECT count(*) AS size FROM (SELECT s_suppkey % 3 AS k, s_nationkey % 4 AS o FROM supplier) GROUP BY k, o HAVING count(*) >= 2")
+def python_dups(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of exact groups of Python functions; the oracle knows them by how they were made."""
+    return dup.exact(trees.entries(extract.units(python_files(spark, sf)))).select("size")
+
+
+# ---- probes and gates
+
+SIMILAR_SQL = f"""WITH {PART_ENTRIES_SQL}, {PROBE_ENTRIES_SQL},
+    tiers AS (SELECT probe_id, unit_id, 1 AS r, NULL AS depth FROM entries_probes p JOIN entries_parts e USING (wl_hash) WHERE p.node_count >= 5
+      UNION ALL SELECT probe_id, unit_id, 2, NULL FROM entries_probes p JOIN entries_parts e USING (fingerprint) WHERE p.node_count >= 5
+      UNION ALL SELECT probe_id, unit_id, 3, CASE WHEN p.hierarchy[3] <> e.hierarchy[3] THEN 2 WHEN p.hierarchy[4] <> e.hierarchy[4] THEN 3 WHEN p.hierarchy[5] <> e.hierarchy[5] THEN 4 ELSE 5 END
+        FROM entries_probes p JOIN entries_parts e ON p.hierarchy[1] = e.hierarchy[1] AND p.hierarchy[2] = e.hierarchy[2] WHERE p.node_count >= 5),
+    best AS (SELECT probe_id, unit_id, min(r) AS r, max(depth) AS depth FROM tiers GROUP BY ALL)"""
+
+
+@query(f"{SIMILAR_SQL} SELECT probe_id, ['exact', 'high', 'partial'][r] AS match, CAST(CASE WHEN r = 3 THEN depth END AS INT) AS depth, count(*) AS entries FROM best GROUP BY ALL")
+def similar_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """How many entries match each probe, by tier and depth."""
+    found = dup.similar(corpus.supplier_probes(spark, sf), corpus.part_entries(spark, sf))
+    return found.groupBy("probe_id", "match", "depth").agg(F.count("*").alias("entries"))
+
+
+@query(f"{SIMILAR_SQL}, top AS (SELECT probe_id, min(r) AS r FROM best GROUP BY 1) SELECT probe_id, ['exact', 'high', 'partial'][r] AS match, coalesce(['STOP', 'CAUTION', 'NOTE'][r], 'CREATE') AS decision FROM entries_probes LEFT JOIN top USING (probe_id)")
+def gate_decision(spark: SparkSession, sf: str) -> DataFrame:
+    probes = corpus.supplier_probes(spark, sf)
+    return dup.gate(dup.similar(probes, corpus.part_entries(spark, sf)), probes)
+
+
+@query(f"""WITH {PROBE_ENTRIES_SQL}, pairs AS (SELECT a.probe_id AS pair_id, a, b FROM entries_probes a JOIN entries_probes b ON b.probe_id = a.probe_id + 1)
+    SELECT pair_id, CASE WHEN a.canonical_hash = b.canonical_hash THEN 'equivalent' WHEN a.wl_hash = b.wl_hash OR a.fingerprint = b.fingerprint THEN 'similar' ELSE 'different' END AS verdict FROM pairs""")
+def compare_structural(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier's snippet against the next one's."""
+    p = corpus.supplier_probes(spark, sf)
+    cols = [F.col(c) for c in ("canonical_hash", "wl_hash", "fingerprint")]
+    a = p.select(F.col("probe_id").alias("pair_id"), F.struct(*cols).alias("a"))
+    b = p.select((F.col("probe_id") - 1).alias("pair_id"), F.struct(*cols).alias("b"))
+    return dup.compare(a.join(b, "pair_id"))
+
+
+# ---- suppression and maintenance
+
+FIRST_SQL = "sup AS (SELECT group_hash FROM ex ORDER BY size DESC, group_hash LIMIT 3)"
+
+
+def suppressed_three(e: DataFrame) -> DataFrame:
+    """The three largest exact groups: a suppression list."""
+    return dup.exact(e).orderBy(F.desc("size"), "group_hash").limit(3).select(F.col("group_hash").alias("hash"))
+
+
+@query(f"{EXACT_SQL}, {FIRST_SQL} SELECT * FROM ex WHERE group_hash NOT IN (SELECT group_hash FROM sup)")
+def suppress_filter(spark: SparkSession, sf: str) -> DataFrame:
+    e = corpus.part_entries(spark, sf)
+    return dup.exact(e, suppressed=suppressed_three(e)).select("group_hash", "size", "verified")
+
+
+@query(f"""{EXACT_SQL}, {FIRST_SQL}, a AS (SELECT group_hash, count(*) AS entry_count, count(DISTINCT file_path) AS n_files, min(name) AS first_name FROM sup JOIN entries_parts ON wl_hash = group_hash GROUP BY 1)
+    SELECT group_hash AS hash, entry_count, n_files, first_name FROM a""")
+def suppress_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    e = corpus.part_entries(spark, sf)
+    return maintenance.suppress(e, suppressed_three(e)).select("hash", "entry_count", "n_files", "first_name")
+
+
+@query(f"""{EXACT_SQL}, {FIRST_SQL}, now AS (SELECT DISTINCT wl_hash FROM entries_parts WHERE starts_with(file_path, 'tests/'))
+    SELECT group_hash AS hash, group_hash NOT IN (SELECT wl_hash FROM now) AS stale FROM sup""")
+def suppress_stale(spark: SparkSession, sf: str) -> DataFrame:
+    """Which suppressions outlive an index of which only the tests are left."""
+    e = corpus.part_entries(spark, sf)
+    return maintenance.stale(suppressed_three(e), e.where(F.col("file_path").startswith("tests/")))
+
+
+@query("""WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), b AS (SELECT item_id AS doc_id, sha256(text) AS h FROM benchmark)
+    SELECT status, count(*) AS files FROM (SELECT CASE WHEN a.doc_id IS NULL THEN 'removed' WHEN b.doc_id IS NULL THEN 'added' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS status
+    FROM a FULL JOIN b ON a.doc_id = b.doc_id) GROUP BY 1""")
+def incremental_status(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as the tree of today, benchmark as what was indexed, by id."""
+    now = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.coalesce("text", F.lit("")).alias("text"))
+    before = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("file_path"), F.sha2("text", 256).alias("content_hash"))
+    return maintenance.status(now, before).groupBy("status").agg(F.count("*").alias("files"))
+
+
+# ---- reports
+
+
+@query(f"""WITH {PART_ENTRIES_SQL}, m AS (SELECT wl_hash, count(*) OVER (PARTITION BY wl_hash) AS size, file_path || ':' || name || ':L' || line_start || '-' || line_end AS location,
+      row_number() OVER (PARTITION BY wl_hash ORDER BY file_path, line_start, line_end, name) AS place FROM entries_parts WHERE node_count >= 5)
+    SELECT wl_hash AS group_hash, CAST(place AS INT) AS place, location FROM m WHERE size >= 2 AND place <= 5""")
+def report_topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = corpus.part_entries(spark, sf).where("node_count >= 5")
+    return dup.top_members(e, dup.exact(e), "wl_hash")
+
+
+@query(f"""WITH {PART_ENTRIES_SQL}, g AS (SELECT wl_hash AS h, 'exact' AS kind, count(*) AS n, bool_and(starts_with(file_path, 'tests/')) AS is_test FROM entries_parts WHERE node_count >= 5 GROUP BY 1 HAVING count(*) >= 2)
+    SELECT kind, is_test, count(*) AS findings, CAST(sum(n) AS BIGINT) AS locations FROM g GROUP BY ALL""")
+def report_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e = corpus.part_entries(spark, sf)
+    return recommend.summary({"exact": (e.where("node_count >= 5"), "wl_hash", dup.exact(e))})
+
+
+@query(f"""WITH {PART_ENTRIES_SQL}, g AS (SELECT wl_hash AS group_hash, count(*) AS n, avg(node_count) AS nodes, avg(line_end - line_start + 1) AS lines, avg(CASE WHEN starts_with(file_path, 'tests/') THEN 0.0 ELSE 1.0 END) AS prod,
+      count(DISTINCT regexp_replace(file_path, '/[^/]*$', '')) AS dirs, count(DISTINCT canonical_hash) = 1 AS verified FROM entries_parts WHERE node_count >= 5 GROUP BY 1 HAVING count(*) >= 2),
+    s AS (SELECT *, least(1.0, least(0.3, 0.1 + (n - 1) * 0.05) + CASE WHEN nodes >= 50 THEN 0.3 WHEN nodes >= 20 THEN 0.25 WHEN nodes >= 10 THEN 0.15 ELSE 0.05 END + prod * 0.25 + CASE WHEN lines >= 30 THEN 0.15 WHEN lines >= 15 THEN 0.1 WHEN lines >= 5 THEN 0.05 ELSE 0 END) AS impact,
+      least(1.0, 0.5 + CASE WHEN verified THEN 0.25 ELSE 0.1 END + CASE WHEN nodes >= 15 THEN 0.15 WHEN nodes >= 8 THEN 0.1 ELSE 0 END + CASE WHEN prod = 1 THEN 0.1 WHEN prod > 0 THEN 0.05 ELSE 0 END) AS confidence FROM g)
+    SELECT group_hash, round(CAST(impact AS DOUBLE), 4) AS impact, round(CAST(confidence AS DOUBLE), 4) AS confidence, CASE WHEN impact >= 0.7 THEN 'high' WHEN impact >= 0.45 THEN 'medium' WHEN impact >= 0.25 THEN 'low' ELSE 'trivial' END AS level,
+      CASE WHEN prod = 0 THEN 'review' WHEN dirs = 1 THEN 'consolidate' ELSE 'extract_utility' END AS action FROM s""")
+def recommendations(spark: SparkSession, sf: str) -> DataFrame:
+    e = corpus.part_entries(spark, sf)
+    return recommend.recommend(e.where("node_count >= 5"), "wl_hash", dup.exact(e)).select("group_hash", F.round("impact", 4).alias("impact"), F.round("confidence", 4).alias("confidence"), "level", "action")
+
+
+# ---- sources
+
+PATHS = ("src/a.py", "venv311/x.py", "env/y.py", "environment/z.py", ".git/h.py", "pkg.egg-info/m.py", "a/node_modules/b.js", "envoy/k.py", "docs/build.min.js", "vendor/lib/q.go", "keep/vendor.txt", "logs/a/b.log", "logs/keep.log")
+RULES = ("# comment", "", "*.min.js", "vendor/", "*.log", "!logs/keep.log", "/docs/*.txt")
+
+
+@query("SELECT path, path IN ('venv311/x.py', 'env/y.py', '.git/h.py', 'pkg.egg-info/m.py', 'a/node_modules/b.js') AS skipped FROM (SELECT unnest([" + ", ".join(f"'{p}'" for p in PATHS) + "]) AS path)")
+def scan_skip_dirs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in PATHS], "path string").withColumn("skipped", scan.skipped(F.col("path")))
+
+
+@query("SELECT path, path IN ('docs/build.min.js', 'vendor/lib/q.go', 'logs/a/b.log') AS ignored FROM (SELECT unnest([" + ", ".join(f"'{p}'" for p in PATHS) + "]) AS path)")
+def ignore_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in PATHS], "path string").withColumn("ignored", scan.ignored(F.col("path"), scan.parse_rules(RULES)))
+
+
+@query("SELECT url, host, path FROM (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
+def page_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as a tree of files: host and path of each url."""
+    return table(spark, sf, "pages").select("url", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_copies(spark: SparkSession, sf: str) -> DataFrame:
+    return maintenance.content_copies(table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")).withColumnRenamed("first_file", "first_doc")
+
+
+# ---- events
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+    SELECT user_id, count(DISTINCT burst) AS flushes FROM s GROUP BY 1""")
+def debounce(spark: SparkSession, sf: str) -> DataFrame:
+    """Trailing-edge flushes for each path, with an hour's quiet."""
+    e = ev.file_events(table(spark, sf, "events"))
+    return ev.bursts(e, 3600).groupBy(F.col("path").alias("user_id")).agg(F.count("*").alias("flushes"))
+
+
+@query("""SELECT count(*) FILTER (n > 512) AS over, max(n) AS most FROM (SELECT count(*) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n FROM events)""")
+def storm(spark: SparkSession, sf: str) -> DataFrame:
+    """Events at which over 512 lie within the last day, and the most that do."""
+    return ev.storm_peaks(ev.file_events(table(spark, sf, "events")), 86_400, 512)
