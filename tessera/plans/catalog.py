@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import signals, tokens
 from tessera.operators import duplicates as dup
 from tessera.operators import extract, labels, maintenance, recommend, trees
 from tessera.plans import corpus
@@ -240,6 +241,40 @@ def content_copies(spark: SparkSession, sf: str) -> DataFrame:
     return maintenance.content_copies(table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")).withColumnRenamed("first_file", "first_doc")
 
 
+# ---- tokens and signals
+
+
+@query("""SELECT * FROM (VALUES ('a', 0, 0, 3, 'class', '', 'int'), ('a', 0, 4, 1, 'variable', 'readonly,static', 'x'), ('a', 2, 2, 3, 'unknown_9', '', 'ret'), ('b', 7, 0, 2, 'class', '', ''))
+    AS t(file_path, line, start_char, length, token_type, modifiers, text)""")
+def tokens_decode(spark: SparkSession, sf: str) -> DataFrame:
+    types, mods, lines = ["class", "variable"], ["static", "abstract", "readonly"], ["int x;", "", "  return x;"]
+    rows = [("a", [0, 0, 3, 0, 0, 0, 4, 1, 1, 5, 2, 2, 3, 9, 0], types, mods, lines), ("b", [7, -3, 2, 0, 0], types, mods, lines), ("c", [1, 2, 3], types, mods, lines), ("d", None, types, mods, lines)]
+    raw = spark.createDataFrame(rows, "file_path string, data array<int>, token_types array<string>, token_modifiers array<string>, lines array<string>")
+    return tokens.tokens(raw).withColumn("modifiers", F.array_join("modifiers", ","))
+
+
+@query("""SELECT key, value, count(*) AS units FROM (SELECT unnest(['async.present', 'type_system', 'module_system', 'operator.plus.present']) AS key,
+    unnest(['no', 'none', 'none', CASE WHEN p_size % 4 = 0 AND p_partkey % 5 <> 2 THEN 'yes' ELSE 'no' END]) AS value FROM part) GROUP BY ALL""")
+def signals_javascript(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of the part corpus; the oracle knows them by how the functions were made."""
+    units = corpus.part_files(spark, sf).select(F.col("p_partkey").alias("unit_id"), F.col("text").alias("code"))
+    return signals.brace_signals(units).groupBy("key", "value").agg(F.count("*").alias("units"))
+
+
+@query("""SELECT s_suppkey AS pair_id, CASE WHEN pa = pb THEN 'compatible' ELSE 'different' END AS verdict FROM (
+    SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN CASE s_suppkey % 3 WHEN 2 THEN 'numeric' ELSE 'unknown' END END AS pa,
+      lead(CASE WHEN s_nationkey % 4 = 0 THEN CASE s_suppkey % 3 WHEN 2 THEN 'numeric' ELSE 'unknown' END END) OVER (ORDER BY s_suppkey) AS pb, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS nxt FROM supplier)
+    WHERE nxt = s_suppkey + 1 AND (pa IS NULL OR pb IS NULL OR pa = pb) UNION ALL
+    SELECT s_suppkey, 'different' FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN CASE s_suppkey % 3 WHEN 2 THEN 'numeric' ELSE 'unknown' END END AS pa,
+      lead(CASE WHEN s_nationkey % 4 = 0 THEN CASE s_suppkey % 3 WHEN 2 THEN 'numeric' ELSE 'unknown' END END) OVER (ORDER BY s_suppkey) AS pb, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS nxt FROM supplier) WHERE nxt = s_suppkey + 1 AND pa <> pb""".replace("CASE WHEN pa = pb THEN 'compatible' ELSE 'different' END", "'compatible'"))
+def compare_semantic(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier's Python function against the next one's, by signals."""
+    units = python_files(spark, sf).select(F.regexp_extract("file_path", "([0-9]+)", 1).cast("long").alias("unit_id"), F.col("text").alias("code"))
+    pairs = units.select(F.col("unit_id").alias("pair_id"), F.col("unit_id").alias("a"), (F.col("unit_id") + 1).alias("b"))
+    pairs = pairs.join(units.select(F.col("unit_id").alias("b")), "b", "left_semi")
+    return signals.compare(pairs, signals.syntax_signals(units)).select("pair_id", "verdict")
+
+
 # ---- events
 
 
