@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,6 +74,8 @@ def by_group(process: Callable[[pa.Table], pa.RecordBatch | None], keys: list[st
                 n = rest.num_rows
         if held and (out := process(pa.Table.from_batches(held))) is not None:
             yield out
+        held.clear()
+        trim()
 
     return run
 
@@ -99,6 +104,14 @@ def starts(*columns: np.ndarray) -> np.ndarray:
     return np.nonzero(new)[0]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on after a task, and others want it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Groups:
     """Union-find over 0..n-1; the root of a group is its smallest member."""
 

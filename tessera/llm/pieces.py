@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import trim
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
@@ -303,6 +305,8 @@ def tokenized(docs: DataFrame, path: str, scores: str = "zipf", with_ids: bool =
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(flat)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols if with_ids else cols[:-1], ["doc_id", "n_tokens", "ids_crc32", "n_bytes", "round_trip", "ids"][: len(cols) if with_ids else -1])
+        codec = None
+        trim()
 
     kind = "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, round_trip boolean" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)

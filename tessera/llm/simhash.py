@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Groups, by_group, components, partitions, starts, written
+from tessera.llm.common import Groups, by_group, components, partitions, starts, trim, written
 
 SEED = 42
 LEAF = 48
 LANES = np.uint64(0x0101010101010101)
 #: Shingles that are hashed at a time: bounds the memory that one very long text takes.
 BLOCK = 1 << 16
+#: Rows of whole shards that are searched together.
+ROWS = 40_000
 
 
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
@@ -93,6 +95,7 @@ def fingerprints(docs: DataFrame, width: int = 4, longs: int = 1, id_col: str =
         for b in batches:
             out = [fingerprint(t.as_py(), width, longs) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "fp"])
+        trim()
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp binary")
@@ -241,7 +244,7 @@ def shard_links(rows: DataFrame, radius: int) -> DataFrame:
         far = root != idx
         return pa.RecordBatch.from_arrays([pa.array(rep[root[far]]), pa.array(rep[far])], ["a", "b"])
 
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(by_group(process, keys), "a long, b long")
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(by_group(process, keys, ROWS), "a long, b long")
 
 
 def near_groups(fps: DataFrame, radius: int = 4, bits: int = 64, tables: tuple[int, int] | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import trim, written
 
 #: Bounds of the sample that is learnt from; drawn by hash of the id. Its words' hashes are all that goes to the driver.
 POSITIVES, UNLABELLED = 3000, 6000
@@ -35,6 +35,8 @@ MAX_FEATURES = 4096
 PREFIXES = (4, 5, 6, 7)
 SIGMAS, LEAST = 3.3, 0.005
 THRESHOLD = 0.7
+#: Words whose features a worker keeps.
+CACHE = 150_000
 TOKEN = re.compile(r"\w+")
 
 
@@ -173,13 +175,15 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
                 for word in words_of(t):
                     f = known.get(word)
                     if f is None:
-                        if len(known) > 500_000:
+                        if len(known) > CACHE:
                             known.clear()
                         f = known[word] = tuple(x for x in features_of(word) if any(x ^ k in weights for k in LEVELS))
                     for x in f:
                         own[x] = own.get(x, 0) + 1
                 out.append(bias + math.fsum(weights.get(x ^ k, 0.0) for x, n in own.items() for k in LEVELS[:n]))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500))))
+        known.clear()
+        trim()
 
     out = docs.withColumn("score", score(F.coalesce(F.col("text"), F.lit(""))))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
