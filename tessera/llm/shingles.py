@@ -1,0 +1,155 @@
+"""Near-duplicates by the exact Jaccard similarity of sets of word shingles.
+
+1. Texts with equal sets fold to one node, the smallest doc_id of them.
+2. Each set gives BANDS keys of ROWS minimum hashes. Sets that share a key are candidates: of similarity s with a
+   probability of 1 - (1 - s^ROWS)^BANDS, which is 0.999997 at 0.8. In each key the nodes hang on the smallest, and what
+   hangs together is a loose group: a place to search, no verdict.
+3. In a loose group all pairs of sets are compared exactly, whether they shared a key or not, but those already known to
+   hang together. A large group is dealt into tiles: parts of it, each pair of parts being one task.
+4. Components are formed from the links that reach the similarity, and from no others.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import Groups, by_group, components, partitions, starts, trim, written
+from tessera.llm.simhash import SEED, shingle_hashes
+from tessera.llm.textops import mix
+
+BANDS, ROWS = 32, 5
+#: Shingles that are hashed for all keys at a time.
+BLOCK = 1 << 10
+#: Bytes of sets in a part of a loose group, at least.
+PART = 4 << 20
+_rng = np.random.default_rng(SEED)
+MULT = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    parts = [np.unique(h) for h in shingle_hashes(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(own), BLOCK):
+            low = np.minimum(low, (own[at : at + BLOCK, None] * MULT + PLUS).min(0))
+        key = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for r in low.reshape(BANDS, ROWS).T:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + r)
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, digest, keys): the MD5 of a text's set, and the set's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), width) for t in b.column(1)]
+            digests = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), digests, pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "digest", "keys"])
+        trim()
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+
+
+def loose_groups(classes: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that share a key with another, root naming what hangs together."""
+    rows = classes.select("rep", F.explode("keys").alias("key"))
+    first = written(rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "low"), "first-keys")
+    edges = rows.join(first, "key").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    found = written(components(edges), "loose")
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def link_sets(rows: np.ndarray, tokens: np.ndarray, size: np.ndarray, similarity: float, groups: Groups, side: np.ndarray | None) -> None:
+    """Links the sets of rows (consecutive indices; tokens are theirs, one after another, size each) that reach the
+    similarity. Every pair is compared, but those that hang together already; with sides, only pairs across them."""
+    n = len(rows)
+    ends = np.cumsum(size)
+    owner = np.repeat(np.arange(n), size)
+    _, token = np.unique(tokens, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    at = np.searchsorted(token[order], np.arange(token.max() + 2 if len(token) else 1))
+    holders = owner[order]
+    open_ = np.ones(n, bool)
+    while open_.any():
+        label = groups.roots(rows)
+        live = np.nonzero(open_)[0]
+        names, count = np.unique(label[live], return_counts=True)
+        if len(names) < 2:
+            return
+        # rows outside the largest component are compared with all others: its own are then never compared with each other
+        other = live[label[live] != names[count.argmax()]]
+        i = int(other[0])
+        own = token[ends[i] - size[i] : ends[i]]
+        shared = np.bincount(np.concatenate([holders[at[t] : at[t + 1]] for t in own]) if len(own) else np.zeros(0, np.int64), minlength=n)
+        hit = shared >= similarity * (size + size[i] - shared) - 1e-9
+        hit &= (shared > 0) & open_
+        if side is not None:
+            hit &= side != side[i]
+        hit[i] = False
+        groups.link(rows[hit], np.full(int(hit.sum()), rows[i]))
+        open_[i] = False
+
+
+def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links among the rows (root, rep, own) of each root, enough of them to span what hangs together."""
+    n = partitions(sets.sparkSession)
+    sizes = written(sets.groupBy("root").agg(F.sum(F.length("own")).alias("bytes")), "loose-sizes")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    part = max(PART, -(-total // n))
+    dealt = sets.join(sizes.select("root", F.ceil(F.col("bytes") / F.lit(part)).cast("int").alias("parts")), "root")
+    place = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    dealt = dealt.withColumn("place", place).select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("place", "other").alias("lo"), F.greatest("place", "other").alias("hi"), (F.col("place") > F.col("other")).cast("int").alias("side"), "rep", "own")
+    keys = ["root", "lo", "hi"]
+
+    def process(whole: pa.Table) -> pa.RecordBatch | None:
+        cols = [whole.column(k).to_numpy() for k in keys]
+        rep, side = whole.column("rep").to_numpy(), whole.column("side").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in whole.column("own").to_pylist()]
+        groups = Groups(len(rep))
+        first = starts(*cols)
+        for a, b in zip(first.tolist(), np.append(first[1:], len(rep)).tolist()):
+            if b - a > 1:
+                cross = cols[1][a] != cols[2][a]
+                link_sets(np.arange(a, b), np.concatenate(own[a:b]), np.array([len(x) for x in own[a:b]]), similarity, groups, side[a:b] if cross else None)
+        root = groups.roots(np.arange(len(rep)))
+        far = rep[root] != rep
+        return pa.RecordBatch.from_arrays([pa.array(rep[root[far]]), pa.array(rep[far])], ["a", "b"])
+
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(by_group(process, keys, 1000), "a long, b long")
+
+
+def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, component_id) for every row of docs (doc_id, text) with an id: the smallest doc_id reachable over links of
+    at least the similarity. Texts without words are equal to each other. Rows that share an id are one node."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketched = written(sketches(rows, width), "sketches")
+    named = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
+    classes = written(named, "classes")
+    loose = written(loose_groups(classes), "loose-groups")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [shingle_set(t.as_py(), width).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.binary())], ["root", "rep", "own"])
+        trim()
+
+    texts = rows.join(loose, rows.doc_id == loose.node).select("root", F.col("doc_id").alias("rep"), "text")
+    sets = written(texts.mapInArrow(run, "root long, rep long, own binary"), "sets")
+    same = sketched.join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").where("doc_id <> rep")
+    links = exact_links(sets, similarity).unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    found = components(links)
+    return rows.join(found, rows.doc_id == found.node, "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
