@@ -35,17 +35,15 @@ def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its repeated passages; documents without any have empty lists."""
+    """Every document with the passages it shares with earlier documents, and with those it repeats of its own text;
+    documents without any have empty lists."""
     docs = table(spark, sf_dir, "documents")
     found = substring.repeated_passages(docs)
-    return docs.select("doc_id").join(found, F.col("doc_id") == F.col("doc"), "left").select(
-        "doc_id",
-        F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"),
-        F.coalesce(F.expr("aggregate(passages, 0L, (n, p) -> n + p.end - p.start)"), F.lit(0)).alias("repeated_words"),
-        F.coalesce("passages", F.expr("array()")).alias("passages"),
-        F.array_sort(F.array_distinct(F.col("links.ref"))).alias("ref_doc_ids"),
-        "links",
-    )
+    lists = ("passages", "own_passages")
+    count = [F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}") for c in lists]
+    words = F.coalesce(F.expr("aggregate(passages, 0L, (n, p) -> n + p.end - p.start)"), F.lit(0)).alias("repeated_words")
+    refs = F.array_sort(F.array_distinct(F.transform(F.filter("links", lambda x: x["ref"] != F.col("doc_id")), lambda x: x["ref"]))).alias("ref_doc_ids")
+    return docs.select("doc_id").join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", *count, words, *(F.coalesce(c, F.expr("array()")).alias(c) for c in lists), refs, "links")
 
 
 def op5_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
