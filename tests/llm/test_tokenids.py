@@ -18,7 +18,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_code_round_trip(a, b):
     for x in (a, b, [5] * len(a), list(range(len(b) * 300))):
         raw = np.array(x, "<u4")
-        _, sizes, ids = tokenids.unpack(tokenids.pack([1, -2], [raw[: len(x) // 3].tobytes(), raw[len(x) // 3 :].tobytes()]))
+        _, sizes, ids = tokenids.unpack(tokenids.pack([1, -2], [len(x) // 3, len(x) - len(x) // 3], raw))
         assert ids.tolist() == x and sizes.sum() == len(x)
 
 
@@ -26,7 +26,7 @@ def test_ranks_follow_frequency():
     by_rank, control, data = tokenids.encode(np.array([7, 9, 9, 9, 4, 7, 1000], "<u4"))
     assert by_rank.tolist() == [9, 7, 4, 1000] and len(data) == 7 and len(control) == 2
     with pytest.raises(ValueError):
-        tokenids.unpack(tokenids.pack([1], [b"\1\0\0\0"])[:-1])
+        tokenids.unpack(tokenids.pack([1], [1], np.array([1], "<u4"))[:-1])
 
 
 WORDS = ["a", "É", "é", "́x", "<|endoftext|>", "<|startoftext|>a", "don't", "x'S", "123", "ΑΣ", "\xa0", " ", "\x85", "\t", "\x1c", "日本", "🙂🙂", "##", "'re", "\r", "  ", "İ", "¨", "Étre,", "IT'S.", "st.***", "ŉ", "ſtop", "Dž", "ǅx", "<", "word>", "|", "-x", "Å", "ﬁ"]
@@ -36,14 +36,32 @@ def test_parts_encode_like_whole_texts():
     rng, enc = random.Random(2), tokenids.Encoder(PATH)
     for _ in range(400):
         t = "".join(rng.choice(WORDS + [" ", "\n", " \n "]) for _ in range(rng.randint(0, 25)))
-        assert np.frombuffer(enc(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert enc(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_every_plain_letter():
+    enc = tokenids.Encoder(PATH)
+    for c in map(chr, (*range(0x41, 0x7B), *range(0xC0, 0x250))):
+        for t in (c, f"a{c}b,", f"{c}{c}."):
+            assert enc(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_repeated_ids_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"word{i % 977} and" for i in range(300_000))
+    rows = [(1, "b c", "x", 1), (1, "a", "y", 2), (1, "a", "y", 2), (0, long, "z", 3), (2, None, "w", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file string, offset int").repartition(3)
+    got = sorted(map(tuple, tokenids.bpe_round_trip(docs, PATH).collect()))
+    tok = tokenids.Encoder(PATH).tokenizer
+    count = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    assert sorted((r[0], r[2]) for r in got) == sorted((r[0], count(r[1])) for r in rows)
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
 
 
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(tokenids, "CACHE", 20)
     enc = tokenids.Encoder(PATH)
     for t in ("a b c d e f g h", " ".join(f"w{i}" for i in range(50)), "a b", ""):
-        assert np.frombuffer(enc(t), "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert enc(t).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_whole_query_equals_brute_force(spark, tmp_path):
