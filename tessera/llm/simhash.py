@@ -1,18 +1,22 @@
 """SimHash near-duplicates through vantage-point trees.
 
-A document's fingerprint has 64 bits (or a multiple): bit b is 1 if it is set in over half of the hashes of the
-document's word shingles. Two fingerprints link if they differ in at most ``radius`` bits, and linked documents form
-components.
+A document's fingerprint has 64 bits: bit b is 1 if it is set in over half of the hashes of the document's word shingles.
+Two fingerprints link if they differ in at most ``radius`` bits, and linked documents form components.
 
 How links are found, without pairs of documents ever meeting all at once:
 
 * Copies fold first: only distinct fingerprints go on, each under its smallest doc_id.
-* A view is a set of bit positions. In the exact plan there are radius + 1 disjoint views, so two fingerprints within
-  the radius agree on all bits of one view at least: seen from any vantage point of that view their distances differ by
-  nothing, no query ball crosses a shard's boundary there, and a row goes to one shard a view.
-* Within a shard a vantage-point tree splits by Hamming distance over all bits at the median. The inner and the outer
-  part are searched for themselves, and the two bands that lie within the radius of the boundary against each other.
-  Subtrees whose members already hang together are not searched again.
+* Seen from a vantage point over all 64 bits, nearly all distances are about 32, and a ball of radius 4 crosses nearly
+  every boundary. So there are radius // 2 + 1 trees (three for 4), each over the distances in its own part of the bits:
+  of two fingerprints within the radius, one part at least differs in no more than radius // (radius // 2 + 1) bits (one
+  for 4), and the tree of that part finds them with balls of that size.
+* A tree's node holds a vantage point and a boundary. By the triangle inequality a ball reaches across the boundary only
+  from within its own size of it, so what lies just outside also goes to the inner side, all else to one side alone: the
+  shards overlap at their boundaries, and each is searched for itself.
+* The top of a tree is built from a bounded sample of fingerprints and sent to all tasks, which route every fingerprint to
+  its shards. In a shard the tree goes on with vantage points of its own down to leaves, whose members are compared over all
+  bits. Where no vantage point tells members apart, as in a group of near copies, the distances over all bits are split at
+  their median, and the bands on either side of it are searched against each other.
 * A shard with more rows than an average task is dealt into tiles: parts of it, each pair of parts being one task.
 
 Only the links of a spanning forest leave a shard; their components are found by distributed rounds.
@@ -31,7 +35,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Groups, by_group, components, partitions, starts, trim, written
 
 SEED = 42
-LEAF = 48
+#: Members of a leaf, about; a node is split if its larger side has no more than this share of it.
+LEAF, TELLING = 8, 0.9
+#: Fingerprints that the tops of the trees are built from; rows of a shard, about; least rows of a tile.
+SAMPLE, SHARD, TILE = 1 << 16, 1000, 20_000
 LANES = np.uint64(0x0101010101010101)
 #: Shingles that are hashed at a time: bounds the memory that one very long text takes.
 BLOCK = 1 << 16
@@ -130,7 +137,7 @@ def split_self(fp, groups, a, radius, todo) -> None:
     labels = groups.roots(a)
     if (labels == labels[0]).all():
         return
-    if len(a) <= LEAF:
+    if len(a) <= 6 * LEAF:
         i, j = np.nonzero(np.triu(distance(fp[a][:, None], fp[a][None]) <= radius, 1))
         groups.link(a[i], a[j])
         return
@@ -153,7 +160,7 @@ def split_cross(fp, groups, a, b, radius, todo) -> None:
         a = a[la != lb[0]]
     if not len(a) or not len(b):
         return
-    if len(a) * len(b) <= LEAF * LEAF or min(len(a), len(b)) == 1:
+    if len(a) * len(b) <= 36 * LEAF * LEAF or min(len(a), len(b)) == 1:
         i, j = np.nonzero(distance(fp[a][:, None], fp[b][None]) <= radius)
         groups.link(a[i], b[j])
         return
@@ -177,88 +184,201 @@ def boundary(d: np.ndarray) -> int | None:
     return None if low == high else min(int(np.median(d)), high - 1)
 
 
-def link_leaves(fp: np.ndarray, groups: Groups, first: np.ndarray, size: np.ndarray, radius: int) -> None:
-    """The trees of shards that are one leaf each, all at once: row i against row i + k of its shard for k = 1, 2, ..."""
+def link_leaves(fp: np.ndarray, row: np.ndarray, groups: Groups, first: np.ndarray, size: np.ndarray, radius: int) -> None:
+    """All pairs of each leaf, of all leaves at once: its i-th row against its i + k-th for k = 1, 2, ..."""
     end = np.repeat(first + size, size)
-    rows = np.concatenate([np.arange(a, a + n) for a, n in zip(first, size)]) if len(first) else np.zeros(0, np.int64)
+    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(end))
     k = 1
-    while len(rows):
-        live = rows + k < end
-        rows, end = rows[live], end[live]
-        hit = rows[distance(fp[rows], fp[rows + k]) <= radius]
-        groups.link(hit, hit + k)
+    while len(at):
+        live = at + k < end
+        at, end = at[live], end[live]
+        a, b = row[at], row[at + k]
+        hit = distance(fp[a], fp[b]) <= radius
+        groups.link(a[hit], b[hit])
         k += 1
 
 
-def views_of(bits: int, radius: int, tables: tuple[int, int] | None) -> list[np.ndarray]:
-    """Bit positions of each view. Without tables: radius + 1 disjoint ones, which lose no pair. With tables (n, width):
-    n random ones; a pair that differs in a share s of the bits is met with probability 1 - (1 - (1 - s)^width)^n."""
-    if tables is None:
-        return np.array_split(np.arange(bits), radius + 1)
-    rng = np.random.default_rng(SEED)
-    return [np.sort(rng.choice(bits, tables[1], replace=False)) for _ in range(tables[0])]
-
-
-def shard_rows(classes: DataFrame, bits: int, radius: int, tables: tuple[int, int] | None) -> DataFrame:
-    """(view, shard, rep, fp): every class once a view, under the value of the view's bits."""
-    views = views_of(bits, radius, tables)
+def parts_of(bits: int, radius: int) -> tuple[list[np.ndarray], int]:
+    """A mask of the fingerprint's longs for each part of the bits, and the ball: of two fingerprints within the radius
+    one part at least differs in no more bits than that."""
+    n = radius // 2 + 1
+    out = []
+    for at in np.array_split(np.arange(bits), n):
+        one = np.zeros(bits, np.uint8)
+        one[at] = 1
+        out.append(np.frombuffer(np.packbits(one).tobytes(), ">u8").astype(np.uint64))
+    return out, radius // n
+
+
+def cut(counts: np.ndarray, ball: int) -> tuple[np.ndarray, np.ndarray]:
+    """The boundary of each node for which the larger side is smallest, and that side's size, given how many members of
+    the node lie at each distance. The inner side takes what is at most the ball beyond the boundary."""
+    inner = np.cumsum(counts, axis=1)
+    size = inner[:, -1:]
+    over = np.minimum(np.arange(counts.shape[1]) + ball, counts.shape[1] - 1)
+    larger = np.maximum(inner[:, over], size - inner)
+    m = larger.argmin(1)
+    return m, larger[np.arange(len(m)), m]
+
+
+class Top:
+    """The top of a tree: for each node a vantage point (the masked longs), a boundary, and the nodes of its two sides;
+    a shard has none."""
+
+    def __init__(self, sample: np.ndarray, mask: np.ndarray, ball: int, least: int):
+        """sample: rows of longs; a node of at most ``least`` of them is a shard."""
+        self.mask, self.ball = mask, ball
+        points, bounds, sides, todo = [], [], [], [(0, sample & mask)]
+        while todo:
+            at, own = todo.pop()
+            for x in (points, bounds, sides):
+                x.extend([None] * (at + 1 - len(x)))
+            points[at], bounds[at], sides[at] = np.zeros_like(mask), -1, (-1, -1)
+            if len(own) <= least:
+                continue
+            v = own[(at * 7919) % len(own)]
+            d = distance(own, v)
+            m, larger = (int(x[0]) for x in cut(np.bincount(d)[None], ball))
+            if larger > TELLING * len(own):
+                continue
+            points[at], bounds[at], sides[at] = v, m, (len(points), len(points) + 1)
+            for x in (points, bounds, sides):
+                x.extend([None, None])
+            todo += [(len(points) - 2, own[d <= m + ball]), (len(points) - 1, own[d > m])]
+        self.points, self.bounds, self.sides = np.array(points, np.uint64).reshape(-1, len(mask)), np.array(bounds), np.array(sides)
+
+    def shards(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard): every row of fp once for each of its shards."""
+        masked = fp & self.mask
+        row, node = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+        out = []
+        while len(row):
+            ended = self.sides[node, 0] < 0
+            out.append((row[ended], node[ended]))
+            row, node = row[~ended], node[~ended]
+            d, m = distance(masked[row], self.points[node]), self.bounds[node]
+            inner, outer = d <= m + self.ball, d > m
+            row, node = np.concatenate([row[inner], row[outer]]), np.concatenate([self.sides[node[inner], 0], self.sides[node[outer], 1]])
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def leaves(masked: np.ndarray, shard: np.ndarray, ball: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, size) of the leaves of many shards' trees, grown at once level by level: leaf i holds
+    row[start[i] : start[i] + size[i]]. masked: the part's bits of each row; shard: its shard, in order."""
+    row, node = np.arange(len(shard)), np.cumsum(np.concatenate(([0], shard[1:] != shard[:-1])))
+    found, bits, level = [], int(np.bitwise_count(masked).sum(-1).max(initial=0)) * 2 + 1, 0
+    while len(row):
+        first = starts(node)
+        size = np.diff(np.append(first, len(node)))
+        place = np.repeat(np.arange(len(first)), size)
+        d = distance(masked[row], masked[row[first + (level * 7919) % size]][place])
+        level += 1
+        m, larger = cut(np.bincount(place * bits + d, minlength=len(first) * bits).reshape(-1, bits), ball)
+        ended = (size <= LEAF) | (larger > TELLING * size)
+        found += [(row[a : a + n], n) for a, n in zip(first[ended].tolist(), size[ended].tolist())] if ended.any() else []
+        live = ~ended[place]
+        inner, outer = live & (d <= m[place] + ball), live & (d > m[place])
+        row, node = np.concatenate([row[inner], row[outer]]), np.concatenate([2 * place[inner], 2 * place[outer] + 1])
+        order = np.argsort(node, kind="stable")
+        row, node = row[order], node[order]
+    size = np.array([n for _, n in found], np.int64)
+    return (np.concatenate([r for r, _ in found]) if found else np.zeros(0, np.int64)), np.cumsum(size) - size, size
+
+
+def search(fp: np.ndarray, shard: np.ndarray, mask: np.ndarray, groups: Groups, radius: int, ball: int) -> int:
+    """Links in groups the rows of shards (in order) that lie within the radius of each other, as far as the tree over
+    the part of the bits finds them; how many leaves it had."""
+    row, start, size = leaves(fp & mask, shard, ball)
+    small = size <= 4 * LEAF
+    link_leaves(fp, row, groups, start[small], size[small], radius)
+    for a, n in zip(start[~small].tolist(), size[~small].tolist()):
+        link_tree(fp, groups, np.sort(row[a : a + n]), radius)
+    return len(size)
+
+
+def sampled(classes: DataFrame, n: int) -> np.ndarray:
+    """At most SAMPLE fingerprints of n, drawn by hash."""
+    share = min(1.0, SAMPLE / max(1, n))
+    rows = classes.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("fp").limit(SAMPLE).toArrow()
+    return longs_of(rows.column("fp"))
+
+
+def longs_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64)
+    return raw.reshape(len(column), -1) if len(column) else raw.reshape(0, 1)
+
+
+def shard_rows(classes: DataFrame, bits: int, radius: int, shard_size: int = SHARD) -> DataFrame:
+    """(part, shard, rep, fp): every class in each tree's shards."""
+    spark, n = classes.sparkSession, classes.count()
+    masks, ball = parts_of(bits, radius)
+    few = sampled(classes, n)
+    least = max(LEAF, int(shard_size * len(few) / max(1, n)))
+    sent = spark.sparkContext.broadcast([Top(few, mask, ball, least) for mask in masks])  # under SAMPLE nodes a tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            one = np.unpackbits(raw, axis=1)
-            for v, at in enumerate(views):
-                key = one[:, at].astype(np.int64) @ (np.int64(1) << np.arange(len(at), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, v, np.int32)), pa.array(key), b.column(0), b.column(1)], ["view", "shard", "rep", "fp"])
+            fp = longs_of(b.column(1))
+            for part, top in enumerate(sent.value):
+                row, shard = top.shards(fp)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int32)), pa.array(shard), b.column(0).take(at), b.column(1).take(at)], ["part", "shard", "rep", "fp"])
 
-    return classes.select("rep", "fp").mapInArrow(run, "view int, shard long, rep long, fp binary")
+    return classes.select("rep", "fp").mapInArrow(run, "part int, shard long, rep long, fp binary")
 
 
-def shard_links(rows: DataFrame, radius: int) -> DataFrame:
+def shard_links(rows: DataFrame, bits: int, radius: int) -> DataFrame:
     """(a, b): a spanning forest of the links in each shard."""
     n = partitions(rows.sparkSession)
-    sizes = written(rows.groupBy("view", "shard").agg(F.count("*").alias("size")).where("size > 1"), "shard-sizes")
+    masks, ball = parts_of(bits, radius)
+    sizes = written(rows.groupBy("part", "shard").agg(F.count("*").alias("size")).where("size > 1"), "shard-sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    part = max(1000, -(-total // n))
-    parts = F.ceil(F.col("size") / F.lit(part)).cast("int")
-    dealt = rows.join(sizes.withColumn("parts", parts), ["view", "shard"])
+    tile = max(TILE, -(-total // n))
+    parts = F.ceil(F.col("size") / F.lit(tile)).cast("int")
+    dealt = rows.join(sizes.withColumn("parts", parts), ["part", "shard"])
     own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
     dealt = dealt.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("view", "shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "fp")
-    keys = ["view", "shard", "lo", "hi"]
+    dealt = dealt.select("part", "shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "fp")
+    keys = ["part", "shard", "lo", "hi"]
 
     def process(whole: pa.Table) -> pa.RecordBatch | None:
         cols = [whole.column(k).to_numpy() for k in keys]
         rep, side = whole.column("rep").to_numpy(), whole.column("side").to_numpy()
-        fp = np.frombuffer(b"".join(whole.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(len(rep), -1)
+        fp = longs_of(whole.column("fp"))
         first = starts(*cols)
-        size = np.diff(np.append(first, len(rep)))
+        shard = np.zeros(len(rep), np.int64)
+        shard[first[1:]] = 1
+        shard = np.cumsum(shard)
         groups = Groups(len(rep))
-        cross = cols[2][first] != cols[3][first]
-        leaf = (size <= LEAF) & ~cross
-        link_leaves(fp, groups, first[leaf], size[leaf], radius)
-        for at, m, x in zip(first[~leaf], size[~leaf], cross[~leaf]):
-            link_tree(fp, groups, np.arange(at, at + m), radius, side if x else None)
-        idx = np.arange(len(rep))
-        root = groups.roots(idx)
-        far = root != idx
+        cross = cols[2] != cols[3]
+        for part in np.unique(cols[0]).tolist():
+            own = np.nonzero((cols[0] == part) & ~cross)[0]
+            if len(own):
+                local = Groups(len(own))
+                search(fp[own], shard[own], masks[part], local, radius, ball)
+                groups.link(own, own[local.roots(np.arange(len(own)))])
+        for a, b in zip(first.tolist(), np.append(first[1:], len(rep)).tolist()):
+            if cross[a]:
+                link_tree(fp, groups, np.arange(a, b), radius, side)
+        root = groups.roots(np.arange(len(rep)))
+        far = rep[root] != rep
         return pa.RecordBatch.from_arrays([pa.array(rep[root[far]]), pa.array(rep[far])], ["a", "b"])
 
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(by_group(process, keys, ROWS), "a long, b long")
 
 
-def near_groups(fps: DataFrame, radius: int = 4, bits: int = 64, tables: tuple[int, int] | None = None) -> DataFrame:
+def near_groups(fps: DataFrame, radius: int = 4, bits: int = 64) -> DataFrame:
     """(doc_id, fp, component_id) for the rows of fingerprints(); component_id is the smallest doc_id reachable over
     links of at most ``radius`` differing bits. Texts without words have the zero fingerprint and are linked like any
     other. Repeated ids keep their rows. An empty table gives an empty table."""
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    links = shard_links(shard_rows(classes, bits, radius, tables), radius)
+    links = shard_links(shard_rows(classes, bits, radius), bits, radius)
     found = components(links)
     named = classes.join(found, classes.rep == found.node, "left").select(F.col("fp").alias("key"), F.coalesce("root", "rep").alias("component_id"))
     named = written(named, "named")
     return fps.join(named, fps.fp == named.key).select("doc_id", "fp", "component_id")
 
 
-def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, longs: int = 1, tables: tuple[int, int] | None = None) -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every document."""
-    return near_groups(written(fingerprints(docs, width, longs), "fingerprints"), radius, 64 * longs, tables)
+    return near_groups(written(fingerprints(docs, width), "fingerprints"), radius)

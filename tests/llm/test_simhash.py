@@ -93,6 +93,49 @@ def test_empty_table(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 5])
+def test_one_part_at_least_lies_within_the_ball(radius):
+    masks, ball = simhash.parts_of(64, radius)
+    assert len(masks) == radius // 2 + 1 and int(sum(int(m[0]) for m in masks)) == 2**64 - 1
+    rng = np.random.default_rng(radius)
+    for _ in range(300):
+        x = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+        assert min((x & int(m[0])).bit_count() for m in masks) <= ball
+
+
+@pytest.mark.parametrize("n,centres,flips", [(3000, 3000, 0), (2500, 700, 5), (2000, 3, 9)])
+def test_trees_equal_brute_force(n, centres, flips):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2**64, centres, dtype=np.uint64, endpoint=False)
+    fp = base[rng.integers(0, centres, n)] if flips else base
+    for _ in range(flips):
+        fp = fp ^ np.where(rng.random(n) < 0.6, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+    fp = np.unique(fp)[:, None]
+    masks, ball = simhash.parts_of(64, 4)
+    groups, grown = Groups(len(fp)), 0
+    for mask in masks:
+        top = simhash.Top(fp[::4], mask, ball, 40)
+        row, shard = top.shards(fp)
+        assert set(row) == set(range(len(fp))) and (centres < 9 or len(set(shard)) > 8)
+        order = np.argsort(shard, kind="stable")
+        row = row[order]
+        local = Groups(len(row))
+        grown += simhash.search(fp[row], shard[order], mask, local, 4, ball)
+        groups.link(row, row[local.roots(np.arange(len(row)))])
+    want = brute_components(dict(enumerate(fp[:, 0].tolist())), 4)
+    assert groups.roots(np.arange(len(fp))).tolist() == [want[i] for i in range(len(fp))]
+    assert centres < 9 or grown > len(fp) // 4  # trees go down to their leaves
+
+
+def test_trees_are_grown_over_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = simhash.fingerprints(docs).groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    rows = simhash.shard_rows(fps, 64, 4, shard_size=50)
+    sizes = [r["count"] for r in rows.groupBy("part", "shard").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < fps.count() / 4
+    assert rows.select("part").distinct().count() == 3
+
+
 def test_hot_shard_in_tiles(spark):
     rng = np.random.default_rng(5)
     base = 0x0123456789ABCDEF
