@@ -36,6 +36,8 @@ BLOCK = 1024
 TAIL = struct.Struct("<QQ4s")
 MAGIC = b"CIX2"
 DATE = "2000-01-01T00:00:00Z"
+#: Captures that a task lists at a time.
+LISTED = 10_000
 #: Bytes of an archive after which a task begins another; bytes that a reader takes at a time.
 FILE_BYTES, SPAN_BYTES = 1 << 30, 8 << 20
 
@@ -115,7 +117,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     sizes = rows.select("page_id", "digest", F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
     kept = sizes.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
-    dealt = rows.join(written(kept, "responses"), "digest", "left").select("page_id", "url", "html", "digest", F.expr("nullif(kept, page_id)").alias("refers_to"))
+    # who refers to whom is settled among ids; payloads are joined by their own id, so that none meets at a frequent digest
+    revisits = sizes.join(kept, "digest").where("page_id <> kept").select("page_id", "digest", F.col("kept").alias("refers_to")).distinct()
+    dealt = rows.join(written(revisits, "revisits"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, rows = None, []
@@ -130,9 +134,16 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
                     out.write(gzip.compress(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:file:{out.name}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n", mtime=0))
                 raw = gzip.compress(record(page, url, html.as_buffer().to_pybytes(), digest, refers), 4, mtime=0)
                 rows.append((url_key(url), page, out.name, out.write(raw), len(raw), "response" if refers is None else "revisit"))
+                if len(rows) == LISTED:
+                    yield listed(rows)
+                    rows = []
         if out:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "page_id", "file", "offset", "length", "kind"])
+        if rows:
+            yield listed(rows)
+
+    def listed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["key", "page_id", "file", "offset", "length", "kind"])
 
     return written(dealt.mapInArrow(run, "key string, page_id long, file string, offset long, length long, kind string"), "captures")
 
