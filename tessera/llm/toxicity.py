@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import trim, written
 
-#: Bounds of the sample that is learnt from; drawn by hash of the id. Its words' hashes are all that goes to the driver.
-POSITIVES, UNLABELLED = 3000, 6000
-MAX_FEATURES = 4096
+#: Bounds of the sample that is learnt from, drawn by hash of the id, and of the features: defaults of train's parameters.
+#: The sample's words' hashes are all that goes to the driver.
+POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 4096
 PREFIXES = (4, 5, 6, 7)
 SIGMAS, LEAST = 3.3, 0.005
 THRESHOLD = 0.7
@@ -70,14 +70,15 @@ class Model:
     weights: dict[int, float]
 
 
-def screened(ids: np.ndarray, p: np.ndarray, u: np.ndarray, n_pos: int, n_unl: int, prior: float) -> np.ndarray:
-    """Of features found in p of the positives and u of the unlabelled texts, those that tell positives from clean text."""
+def screened(ids: np.ndarray, p: np.ndarray, u: np.ndarray, n_pos: int, n_unl: int, prior: float, most: int = FEATURES) -> np.ndarray:
+    """Of features found in p of the positives and u of the unlabelled texts, those that tell positives from clean text; of
+    more than ``most`` the surest, ties to the smaller id."""
     clean = np.maximum(0.0, u - prior * n_unl * p / max(1, n_pos))
     n_clean = max(1.0, n_unl * (1 - prior))
     odds = np.log((p + 0.5) / (n_pos + 1)) - np.log((clean + 0.5) / (n_clean + 1))
     low = odds - SIGMAS * np.sqrt(1 / (p + 0.5) + 1 / (clean + 0.5))
     good = np.nonzero((low > np.log(2)) & (p >= max(3, LEAST * n_pos)))[0]
-    return np.sort(ids[good[np.lexsort((ids[good], -low[good]))[:MAX_FEATURES]]])
+    return np.sort(ids[good[np.lexsort((ids[good], -low[good]))[:most]]])
 
 
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], ids: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-5) -> Model:
@@ -126,9 +127,11 @@ def features(docs: DataFrame, keep: np.ndarray | None = None) -> DataFrame:
     return docs.select("positive", "text").mapInArrow(run, "positive int, features array<long>")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """The model of the documents and labels that are not held out. Null labels and ids count for nothing, copies of a
-    text (an equal beginning or end) once. At most ``positives`` and ``unlabelled`` texts are learnt from, those whose ids' hashes are smallest."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, most: int = FEATURES) -> Model:
+    """The model of the documents and labels that are not held out. Null labels and ids count for nothing, equal texts of
+    a sample once, under the smallest id; an id that is labelled both ways counts as toxic, rows that share an id each with
+    their text. At most ``positives`` and ``unlabelled`` texts are learnt from, those whose ids' hashes are smallest, and at
+    most ``most`` features. Other columns of docs are not read."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled"), F.col(label).alias("mark"))
     known = written(known.where(~held_out(F.col("labelled"))).groupBy("labelled").agg(F.max("mark").alias("mark")), "toxic-labels")
     toxic, total = known.agg(F.sum((F.col("mark") == 1).cast("long")), F.count("*")).first()
@@ -140,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     def drawn(ids: DataFrame, most: int) -> DataFrame:
         # ids alone are drawn; a bounded number of them then fetches its texts
         few = written(ids.select("id", order.alias("o")).orderBy("o", "id").limit(most), "drawn")
-        return rows.join(F.broadcast(few.select("id")), "id", "left_semi").withColumns({"head": F.substring("text", 1, 200), "tail": F.expr("right(text, 100)")}).dropDuplicates(["head"]).dropDuplicates(["tail"])
+        return rows.join(F.broadcast(few.select("id")), "id", "left_semi").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min_by("text", "id").alias("text"))
 
     pos = drawn(known.where("mark = 1").select(F.col("labelled").alias("id")), positives)
     unl = drawn(rows.select("id"), unlabelled)
@@ -149,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     prior = toxic / total
     found = features(both).select("positive", F.explode("features").alias("id")).groupBy("id").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u")).where("p >= 3").toArrow()
     ids, p, u = (found.column(x).to_numpy() for x in ("id", "p", "u"))
-    ids = screened(ids, p.astype(float), u.astype(float), n_pos, n_unl, prior)
+    ids = screened(ids, p.astype(float), u.astype(float), n_pos, n_unl, prior, most)
     rows = features(both, ids).toArrow()
     got: list[list] = [[], []]
     for mark, own in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
@@ -162,7 +165,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     The whole text is scored, whatever its length. Null and empty texts get the score of a text without telling words.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # at most MAX_FEATURES weights
+    sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # as many weights as train allows at most
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

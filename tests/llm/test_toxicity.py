@@ -69,6 +69,58 @@ def test_negative_risk_is_bounded():
     assert model.weights[3] > 2 and model.weights[9] < 0.1 and np.isfinite(model.bias)
 
 
+def plain_score(text, model):
+    """The score by counting over plain words, one text at a time."""
+    import math
+    import re
+
+    words, count = set(re.findall(r"\w+", (text or "").lower())), {}
+    for w in words:
+        for f in toxicity.features_of(w):
+            count[f] = count.get(f, 0) + 1
+    z = model.bias
+    for f, n in count.items():
+        z += sum(model.weights.get(f ^ x, 0.0) for x in toxicity.LEVELS[:n])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_a_plain_scorer(fitted):
+    docs, _, model = fitted
+    for r in toxicity.scored(docs, model).collect():
+        assert r.score == pytest.approx(plain_score(r.text, model), rel=1e-9)
+
+
+def risk(w, b, pos, unl, prior):
+    """The non-negative risk, text by text."""
+    z = lambda own: b + sum(w.get(int(x), 0.0) for x in own)
+    soft = lambda v: float(np.logaddexp(0, v))
+    positive = sum(soft(-z(x)) for x in pos) / len(pos)
+    negative = sum(soft(z(x)) for x in unl) / len(unl) - prior * sum(soft(z(x)) for x in pos) / len(pos)
+    return prior * positive + max(0.0, negative)
+
+
+def test_fit_is_at_a_minimum_of_the_risk():
+    rng = np.random.default_rng(8)
+    ids = np.arange(1, 7)
+    draw = lambda p: ids[rng.random(6) < p].astype(np.int64)
+    toxic, clean = np.array([0.7, 0.5, 0.4, 0.1, 0.1, 0.3]), np.array([0.05, 0.1, 0.05, 0.1, 0.2, 0.3])
+    pos = [draw(toxic) for _ in range(300)]
+    unl = [draw(toxic if rng.random() < 0.2 else clean) for _ in range(900)]
+    model = toxicity.fit(pos, unl, ids.astype(np.int64), 0.2, steps=4000, rate=0.02, decay=0.0)
+    least = risk(model.weights, model.bias, pos, unl, 0.2)
+    for k in model.weights:
+        for d in (-0.15, 0.15):
+            assert risk(model.weights | {k: max(0.0, model.weights[k] + d)}, model.bias, pos, unl, 0.2) >= least - 2e-4
+    for d in (-0.15, 0.15):
+        assert risk(model.weights, model.bias + d, pos, unl, 0.2) >= least - 2e-4
+
+
+def test_partitions_repeats_and_clashes_change_no_model(fitted, spark):
+    docs, labels, model = fitted
+    again = toxicity.train(docs.union(docs).withColumns({"mark": F.lit(1), "o": F.lit(2), "id": F.lit(3)}).repartition(7), labels.union(labels))
+    assert again.weights == model.weights and again.bias == model.bias
+
+
 def test_given_table(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
