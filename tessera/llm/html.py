@@ -29,7 +29,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: A start tag ends an open element of these kinds, if no element of the others stands between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 PART = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<svg(?=[\s/])[^>]*/>|<(script|style|noscript|template|title|textarea|iframe|svg)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z|([^<]+|<)""",
     re.S | re.I,
 )
@@ -39,8 +39,6 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PATH_DIMS, WORD_DIMS, MEASURES = 256, 32, 6
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 16
-#: Words of a block, from its first, that its vector hashes; its text is returned whole.
-HASHED = 40
 #: Blocks of pages that are labelled together.
 STEPS = 200_000
 
@@ -120,7 +118,7 @@ def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
     out = np.zeros((len(blocks), DIMS), np.float32)
     for i, (path, text, linked) in enumerate(blocks):
         out[i, :PATH_DIMS] = path_vector(path)
-        words = {w.lower() for w in text.split(" ", HASHED)[:HASHED] if w.isalnum()}
+        words = {w for w in text.lower().split(" ") if w.isalnum()}
         for w in words:
             h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
             out[i, PATH_DIMS + h % WORD_DIMS] += (0.2 if h >> 31 else -0.2) / len(words) ** 0.5

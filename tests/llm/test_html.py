@@ -1,4 +1,5 @@
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -22,6 +23,61 @@ def test_blocks():
     assert len(html.blocks_of("<div>" * 3000 + "deep")) == 1
 
 
+def test_skipped_elements():
+    assert texts("<svg width=1/><p>a</p><svg-icon>b</svg-icon><svg><text>no</text></svg><p>c") == ["a", "b", "c"]
+    assert texts("<template-part><p>a</p></template-part><template>no</template><p>b<title-bar>c</title-bar>") == ["a", "bc"]
+    assert texts("<svg>open to the end <p>no") == []
+
+
+class Article(HTMLParser):
+    """Lines of the article element by the standard library's parser: an own reading of the page."""
+
+    BLOCKS = set("address article aside blockquote div dl dt dd figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul body html".split())
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.foreign, self.lines, self.run = 0, 0, [], ""
+
+    def cut(self):
+        if line := " ".join(self.run.split()):
+            self.lines.append(line)
+        self.run = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.cut()
+        if tag == "br":
+            self.run += " "
+        self.inside += tag == "article"
+        self.foreign += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.cut()
+        self.inside -= tag == "article"
+        self.foreign -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.foreign:
+            self.run += data
+
+
+def article_of(page):
+    p = Article()
+    p.feed(page)
+    p.close()
+    p.cut()
+    return "\n".join(p.lines)
+
+
+def test_texts_equal_another_parsers_articles(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    pages = spark.createDataFrame([(r.page_id, r.url, r.html) for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(pages.union(pages)).collect()}
+    equal = sum(got[r.page_id] == article_of(r.html) for r in rows)
+    assert equal >= 0.98 * len(rows)
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     x, live = rng.normal(size=(4, 3, html.DIMS)).astype(np.float32), np.array([[1, 1, 1], [1, 1, 0], [1, 0, 0], [1, 0, 0]], bool)
