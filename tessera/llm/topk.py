@@ -5,8 +5,10 @@ adds up its products dimension block by dimension block; what the remaining bloc
 most the product of the remaining norms (Cauchy-Schwarz). A candidate whose sum plus that bound lies under the k-th
 largest sum less bound can't be among the k best, and the survivors are compacted before the next block.
 
-Queries go out in blocks of ``query_rows``, so what is sent to the executors is bounded; each block meets all
-candidates. Every candidate batch keeps its k best of each query, and a grouped maximum over those picks the k best.
+Queries are written in blocks of ``query_rows`` to files in the shared folder. One pass over the candidates takes up to
+HELD of them at a time and reads the blocks one after another, so a task holds one block and its candidates, whatever
+their number. It keeps the k best of each query, its own k-th best so far bounding the next batch; a grouped maximum over
+all tasks' picks the k best.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, partitions, written
+from tessera.llm.files import NewFile, Ranges
 
 SCALE = 1024
 BLOCK_DIMS = 8
 QUERY_ROWS = 1024
-#: Candidates that are laid out and searched at a time.
-CANDIDATES = 16_384
+#: Candidates that are laid out and searched at a time, and that a task holds while it reads the blocks of queries.
+CANDIDATES, HELD = 16_384, 65_536
 #: Sums under this are exact in doubles.
 EXACT = 2**52
 LONG = 2**63 - 1
@@ -40,8 +43,8 @@ def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ok).withColumn("v", F.transform("v", whole))
 
 
-def best(ids: np.ndarray, columns: np.ndarray, norms: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best candidates, ties to smaller ids.
+def best(ids: np.ndarray, columns: np.ndarray, norms: np.ndarray, query_id: int, query: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best candidates with a score of ``least`` at least, ties to smaller ids.
 
     columns: dimensions x candidates; norms: row b holds the norms of what comes from block b on, zeros last.
     """
@@ -50,9 +53,9 @@ def best(ids: np.ndarray, columns: np.ndarray, norms: np.ndarray, query_id: int,
     score = np.zeros(len(live))
     for b, d in enumerate(range(0, len(query), BLOCK_DIMS)):
         score += query[d : d + BLOCK_DIMS] @ (columns[d : d + BLOCK_DIMS] if len(live) == columns.shape[1] else columns[d : d + BLOCK_DIMS, live])
-        if len(live) > k:
+        if len(live) > k or least > -np.inf:
             bound = norms[b + 1, live] * rest[b + 1] * (1 + 1e-9)
-            floor = np.partition(score - bound, len(live) - k)[len(live) - k]
+            floor = max(least, np.partition(score - bound, len(live) - k)[len(live) - k] if len(live) > k else least)
             keep = score + bound >= floor
             if not keep.all():
                 live, score = live[keep], score[keep]
@@ -68,40 +71,89 @@ def best_large(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.nd
     return [i for _, i in rows], [-s for s, _ in rows]
 
 
-def search(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each batch of candidates for each of a block of queries."""
-    dims = queries.shape[1]
-    sent = candidates.sparkSession.sparkContext.broadcast((query_ids, queries))
+def write_blocks(asked: DataFrame, folder: str, rows: int) -> list[tuple[str, int, int]]:
+    """Writes queries (vec_id, v) in blocks of at most ``rows`` of one length; returns (file, length, queries) of each:
+    the one list that the driver holds, a row for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = sent.value
-        held_ids, held = [], []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held_ids, held
-            ids, v = np.concatenate(held_ids), np.concatenate(held)
-            held_ids, held = [], []
-            columns = np.ascontiguousarray(v.T)
-            sums = np.add.reduceat(columns**2, np.arange(0, dims, BLOCK_DIMS), axis=0) if dims else np.zeros((0, len(ids)))
-            norms = np.sqrt(np.concatenate([sums[::-1].cumsum(0)[::-1], np.zeros((1, len(ids)))]))
-            small = norms[0].max() * np.sqrt((q**2).sum(1).max()) < EXACT
-            out = [best(ids, columns, norms, i, x, k) if small else best_large(ids, v, i, x, k) for i, x in zip(qid.tolist(), q)]
-            cols = [np.repeat(qid, [len(o[0]) for o in out]), np.concatenate([np.array(o[0], np.int64) for o in out]), np.concatenate([np.array(o[1]).astype(np.int64) for o in out])]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        out = []
+
+        def flush(size: int) -> None:
+            own = held.pop(size)
+            file = NewFile(folder, ".block")
+            file.write(np.array([i for i, _ in own], "<i8").tobytes() + np.array([v for _, v in own], "<f8").tobytes())
+            file.close()
+            out.append((file.name, size, len(own)))
 
-        n = 0
         for b in batches:
-            if b.num_rows:
-                held_ids.append(b.column(0).to_numpy())
-                held.append(b.column(1).flatten().to_numpy().reshape(b.num_rows, dims))
-                n += b.num_rows
-                if n >= CANDIDATES:
-                    yield flush()
-                    n = 0
-        if n:
-            yield flush()
+            for i, v in zip(b.column(0).to_pylist(), b.column(1)):
+                x = v.values.to_numpy()
+                held.setdefault(len(x), []).append((i, x))
+                if len(held[len(x)]) == rows:
+                    flush(len(x))
+        for size in sorted(held):
+            flush(size)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["file", "length", "queries"])
+
+    dealt = asked.repartitionByRange(partitions(asked.sparkSession), "vec_id").sortWithinPartitions("vec_id")
+    return sorted(map(tuple, written(dealt.mapInArrow(run, "file string, length long, queries long"), "blocks").collect()))
+
+
+def laid_out(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vertical columns and norms (see best) of candidates."""
+    dims = v.shape[1]
+    columns = np.ascontiguousarray(v.T)
+    sums = np.add.reduceat(columns**2, np.arange(0, dims, BLOCK_DIMS), axis=0) if dims else np.zeros((0, len(ids)))
+    return ids, columns, np.sqrt(np.concatenate([sums[::-1].cumsum(0)[::-1], np.zeros((1, len(ids)))]))
+
+
+def search(candidates: DataFrame, folder: str, blocks: list[tuple[str, int, int]], k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each task's candidates for each query of the blocks."""
+
+    def found(held: dict[int, tuple[list, list]]) -> Iterator[pa.RecordBatch]:
+        files = Ranges(folder, 1)
+        for dims in sorted(held):
+            ids, v = np.concatenate(held[dims][0]), np.concatenate(held[dims][1]).reshape(-1, dims)
+            chunks = [laid_out(ids[i : i + CANDIDATES], v[i : i + CANDIDATES]) for i in range(0, len(ids), CANDIDATES)]
+            del v
+            largest = max(float(c[2][0].max()) for c in chunks)
+            for file, length, n in blocks:
+                if length != dims:
+                    continue
+                raw = files.read(file, 0, 8 * n * (1 + dims))
+                qid, q = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<f8", offset=8 * n).reshape(n, dims)
+                small = largest * np.sqrt((q**2).sum(1).max()) < EXACT
+                rows: list[tuple] = []
+                for i, x in zip(qid.tolist(), q):
+                    top: list[tuple[int, int]] = []  # minus score, id
+                    for own, columns, norms in chunks:
+                        got = best(own, columns, norms, i, x, k, -top[-1][0] if len(top) == k else -np.inf) if small else best_large(own, columns.T, i, x, k)
+                        top = sorted([*top, *((-int(s), int(c)) for c, s in zip(*got))])[:k]
+                    rows += [(i, c, -s) for s, c in top]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["query_id", "vec_id", "score"])
 
-    return candidates.where(F.size("v") == dims).mapInArrow(run, "query_id long, vec_id long, score long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        n = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = np.diff(b.column(1).offsets.to_numpy())
+            for dims in np.unique(size).tolist():
+                part = b.filter(pa.array(size == dims))
+                own = held.setdefault(dims, ([], []))
+                own[0].append(part.column(0).to_numpy())
+                own[1].append(part.column(1).flatten().to_numpy())
+            n += b.num_rows
+            if n >= HELD:
+                yield from found(held)
+                held, n = {}, 0
+        yield from found(held)
+
+    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -112,26 +164,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, query_rows: int = Q
     the smaller components, and two candidates. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    path = new_path(spark, "vectors")
-    scaled(vectors).write.parquet(path)
-    rows = spark.read.parquet(path)
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    out = new_path(spark, "best")
-    # blocks of queries in order of id: the last id of a block is where the next one starts
-    sizes = [r.n for r in asked.select(F.size("v").alias("n")).distinct().collect()]
-    begun = False
-    for n in sizes:
-        own, last = asked.where(F.size("v") == n), None
-        while True:
-            block = (own if last is None else own.where(F.col("vec_id") > last)).orderBy("vec_id").limit(query_rows).collect()
-            if not block:
-                break
-            last = block[-1].vec_id
-            search(rows, np.array([r.vec_id for r in block]), np.array([r.v for r in block]).reshape(len(block), n), k).write.mode("append").parquet(out)
-            begun = True
-            if len(block) < query_rows:
-                break
-    if not begun:
+    folder = new_path(spark, "queries")
+    rows = written(scaled(vectors), "vectors")
+    blocks = write_blocks(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), folder, query_rows)
+    if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return spark.read.parquet(out).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return search(rows, folder, blocks, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -21,10 +21,12 @@ def frame(spark, rows):
 
 
 def test_random_with_ties_and_bad_vectors(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "CANDIDATES", 32)
+    monkeypatch.setattr(topk, "HELD", 100)
     rng = np.random.default_rng(1)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 19)]) for i in range(430)]
     rows += [(1000 + i, rows[i % 7][1]) for i in range(60)]
+    rows += [(50 + i, rows[i % 9][1]) for i in range(4)]  # repeated ids
     rows += [(2000, None), (2100, [1.0, None] * 9 + [1.0]), (2200, [float("nan")] * 19), (2300, [float("inf")] * 19), (None, rows[0][1]), (2400, [0.0] * 19), (2500, []), (2600, [1.0]), (-100, rows[3][1]), (2701, [0.5])]
     got = sorted(map(tuple, topk.top_k(frame(spark, rows), query_rows=4).collect()))
     assert got == brute(rows)
