@@ -2,10 +2,11 @@
 
 Each rule is a share of a text in thousandths, and rejects the texts above its cutoff. Cutoffs are chosen for each
 stratum from labelled documents held out for that (nothing else is fitted to them), so that with probability
-1 - ``delta`` over all strata and rules at once no rule rejects more than ``alpha`` of a stratum's good documents:
+1 - ``delta`` over all strata at once the rules together reject no more than ``alpha`` of a stratum's good documents: each
+of the three may reject a third of alpha.
 
 * Cutoffs are tested from the most lenient on, each by the exact binomial bound: with k of n good documents rejected it
-  passes if P(Binomial(n, alpha) <= k) is at most delta / (strata * rules). The first that fails ends the sequence, so
+  passes if P(Binomial(n, alpha / 3) <= k) is at most delta / (strata * rules). The first that fails ends the sequence, so
   testing many cutoffs costs nothing (fixed-sequence testing), and the division corrects for strata and rules.
 * Of the cutoffs that passed, the one wins that rejects most bad documents, a good one counting against ``weight`` bad
   ones; ties go to the more lenient. Where none passes, as in strata with few labels, the rule rejects nothing.
@@ -118,7 +119,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, del
     full = full.select("stratum", "rule", "level", F.sum("good").over(own).alias("n_good"), F.sum("good").over(up).alias("good_rejected"), F.sum("bad").over(up).alias("bad_rejected"))
     full = written(full.where("level > 0"), "rejections")
     tests = full.agg(F.count_distinct("stratum", "rule")).first()[0] or 1
-    tried = full.withColumn("failed", (binomial_tail(F.col("good_rejected"), F.col("n_good"), alpha) > delta / tests) | (F.col("n_good") == 0))
+    tried = full.withColumn("failed", (binomial_tail(F.col("good_rejected"), F.col("n_good"), alpha / len(RULES)) > delta / tests) | (F.col("n_good") == 0))
     passed = tried.withColumn("failures", F.sum(F.col("failed").cast("int")).over(up)).where("failures = 0")
     gain = F.col("bad_rejected") - weight * F.col("good_rejected")
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), F.desc("level"))

@@ -52,7 +52,7 @@ def op5_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mixed(docs).select("doc_id", "source", "lang", F.col("cell_topic").alias("topic"), F.col("cell_tokens").alias("n_tokens"), F.round("cell_weight", 6).alias("weight"), F.round("cell_p", 6).alias("probability"), "sampled")
+    return mixing.mixed(docs, keep=["doc_id", "source", "lang"]).select("doc_id", "source", "lang", F.col("cell_topic").alias("topic"), F.col("cell_tokens").alias("n_tokens"), F.round("cell_weight", 6).alias("weight"), F.round("cell_p", 6).alias("probability"), "sampled")
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +71,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"pipeline": pipeline, "op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
+
+#: Sweeps that the SQL spells out: by then the raked cells have settled to far more digits than are compared.
+SQL_SWEEPS = 25
+
+
 def raking_sql() -> str:
     """The raked cells as one chain of common table expressions, a step for each margin of each sweep."""
     steps, last = [], "w0"
-    for i in range(mixing.SWEEPS):
+    for i in range(SQL_SWEEPS):
         for m in mixing.MARGINS:
             name = f"w{i}_{m}"
             steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, n, w * t / sum(w) OVER (PARTITION BY {m}) AS w FROM {last} JOIN t_{m} USING ({m}))")
@@ -126,9 +131,9 @@ ORACLES: dict[str, str] = {
         v AS (SELECT stratum, l.good, unnest(['symbols', 'dup_lines', 'repeats']) AS rule, unnest([symbols, dup_lines, repeats]) AS x FROM b JOIN l USING (doc_id) WHERE NOT base_failed),
         c AS (SELECT stratum, rule, cut, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND x > cut) AS k, count(*) FILTER (good <> 1 AND x > cut) AS bad
               FROM v, (SELECT unnest([10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 350, 400, 500, 600, 700, 800, 900]) AS cut) GROUP BY ALL),
-        tail AS (SELECT stratum, rule, cut, sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END + j * ln(0.02) + (n - j) * ln(0.98))) AS p
+        tail AS (SELECT stratum, rule, cut, sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END + j * ln(0.02 / 3) + (n - j) * ln(1 - 0.02 / 3))) AS p
                  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM c WHERE n > 0) GROUP BY ALL),
-        f AS (SELECT c.*, n = 0 OR k >= 0.02 * n OR p > 0.05 / (SELECT count(DISTINCT (stratum, rule)) FROM c) AS failed FROM c LEFT JOIN tail USING (stratum, rule, cut)),
+        f AS (SELECT c.*, n = 0 OR k >= 0.02 / 3 * n OR p > 0.05 / (SELECT count(DISTINCT (stratum, rule)) FROM c) AS failed FROM c LEFT JOIN tail USING (stratum, rule, cut)),
         g AS (SELECT *, bool_or(failed) OVER (PARTITION BY stratum, rule ORDER BY cut DESC) AS ended FROM f),
         won AS (SELECT stratum, rule, arg_max(cut, (bad - 5 * k) * 1000 + cut) AS cut FROM g WHERE NOT ended AND bad - 5 * k > 0 GROUP BY stratum, rule),
         x AS (SELECT stratum, max(cut) FILTER (rule = 'symbols') AS a, max(cut) FILTER (rule = 'dup_lines') AS d, max(cut) FILTER (rule = 'repeats') AS e FROM won GROUP BY stratum)

@@ -38,13 +38,47 @@ def test_margins_hold(docs):
 
 def test_table_path_equals_arrays(docs):
     celled = mixing.celled(docs)
-    a = {tuple(r)[:3]: (r.w, r.p) for r in mixing.cell_weights(celled, sweeps=3).collect()}
-    b = {tuple(r[m] for m in mixing.MARGINS): (r.w, r.p) for r in mixing.cell_weights(celled, sweeps=3, driver_cells=0).collect()}
+    a = {tuple(r)[:3]: (r.w, r.p) for r in mixing.cell_weights(celled).collect()}
+    b = {tuple(r[m] for m in mixing.MARGINS): (r.w, r.p) for r in mixing.cell_weights(celled, driver_cells=0).collect()}
     assert a.keys() == b.keys()
     for k in a:
         assert a[k] == pytest.approx(b[k], rel=1e-9)
 
 
+def test_given_targets(spark, docs):
+    shares = {"source": [("hot", 0.1), ("s1", 3.0), ("s2", 1.0), ("nowhere", 9.0)], "lang": [("en", 0.5), ("fr", 0.25), (None, 0.25)]}
+    targets = {m: spark.createDataFrame(x, "key string, share double") for m, x in shares.items()}
+    cells = mixing.cell_weights(mixing.celled(docs), targets=targets)
+    rows = cells.collect()
+    total = sum(r.n for r in rows)
+    by = lambda i, k: sum(r.w for r in rows if r[i] == k)
+    assert [by(0, k) / total for k in ("hot", "s1", "s2", "s3")] == pytest.approx([0.1 / 4.1, 3 / 4.1, 1 / 4.1, 0], rel=1e-6)
+    assert [by(1, k) / total for k in ("en", "fr", "")] == pytest.approx([0.5, 0.25, 0.25], rel=1e-6)
+    assert mixing.margin_errors(cells, targets).where("error > 1e-6").count() == 0
+    out = mixing.mixed(docs, targets=targets).collect()
+    assert not any(r.sampled for r in out if r.source == "s3")
+    with pytest.raises(ValueError):
+        mixing.cell_weights(mixing.celled(docs), targets={"lang": targets["lang"].where("false")})
+
+
+def test_targets_that_can_not_be_met_are_reported(spark):
+    rows = spark.createDataFrame([(1, "a a a", "en", "x"), (2, "b " * 50, "fr", "y")], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="met at once"):
+        cells = mixing.cell_weights(mixing.celled(rows))
+    assert mixing.margin_errors(cells).where("error > 0.01").count() > 0
+
+
+def test_clashing_columns_repeats_and_long_texts(spark):
+    rows = [(1, "a " * 400_000, "en", "x", 5, 6, 7), (1, "b c", "en", "x", 5, 6, 7), (1, "b c", "en", "x", 5, 6, 7), (2, "d", "fr", "y", 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, cell_p int, raked_source int, sampled int")
+    with pytest.warns(UserWarning):
+        out = mixing.mixed(docs)
+    assert out.columns == ["doc_id", "text", "lang", "source", "raked_source", *mixing.ADDED]
+    got = out.collect()
+    assert sorted(r.cell_tokens for r in got) == [1, 2, 2, 400_000] and all(r.raked_source == 6 for r in got)
+    assert len({r.sampled for r in got if r.doc_id == 1}) == 1 or len({r.cell_p for r in got if r.doc_id == 1}) > 1
+
+
 def test_calibration_caps_at_one():
     n, w = np.array([10.0, 100.0, 1000.0]), np.array([500.0, 300.0, 310.0])
     p = mixing.calibrated(n, w, 0.5)

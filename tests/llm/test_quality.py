@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 
 import pytest
@@ -52,6 +53,21 @@ def test_thresholds_hold_the_risk(spark):
     assert got == [("en", "symbols", 250, 1000, 0, 100)]
 
 
+def test_rules_together_hold_the_risk(spark):
+    """However the good documents' measures lie, the chosen cutoffs reject too many of a new sample's but rarely."""
+    rng = random.Random(6)
+    missed = 0
+    for trial in range(12):
+        shares = [rng.uniform(0.004, 0.012) for _ in range(3)]  # of the good lie above 300 in each rule
+        value = lambda share: 400 if rng.random() < share else 0
+        rows = [(i, "en", *(value(s) for s in shares), False) for i in range(1500)] + [(9000 + i, "en", 500, 500, 500, False) for i in range(300)]
+        labels = spark.createDataFrame([(r[0], int(r[0] < 9000)) for r in rows], "doc_id long, quality int")
+        cuts = {r.rule: r.cutoff for r in quality.thresholds(frame(spark, rows), labels).collect()}
+        true = 1 - math.prod(1 - s for r, s in zip(quality.RULES, shares) if cuts.get(r, 999) < 400)
+        missed += true > quality.ALPHA
+    assert missed <= 2
+
+
 def test_no_labels_empty_tables_and_ties(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     none = spark.createDataFrame([], "doc_id long, quality int")
