@@ -19,12 +19,14 @@ SPACE = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; where that is unset, as in
-    tests, a temporary folder is set once for the session."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; where that is unset and all runs in one
+    process, as in tests, a temporary folder is set once for the session. On a cluster the setting is required."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.conf.get("tessera.scratch.dir", None)
     if not path:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.scratch.dir", path)
     return path.rstrip("/")
