@@ -115,7 +115,8 @@ def search(candidates: DataFrame, folder: str, blocks: list[tuple[str, int, int]
     def found(held: dict[int, tuple[list, list]]) -> Iterator[pa.RecordBatch]:
         files = Ranges(folder, 1)
         for dims in sorted(held):
-            ids, v = np.concatenate(held[dims][0]), np.concatenate(held[dims][1]).reshape(-1, dims)
+            ids, v = np.concatenate(held[dims][0]), np.concatenate(held[dims][1])
+            v = v.reshape(len(ids), dims)
             chunks = [laid_out(ids[i : i + CANDIDATES], v[i : i + CANDIDATES]) for i in range(0, len(ids), CANDIDATES)]
             del v
             largest = max(float(c[2][0].max()) for c in chunks)
