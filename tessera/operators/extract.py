@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import re
 import textwrap
 from collections import Counter
 from collections.abc import Iterator
@@ -11,11 +10,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.languages import braces, javascript
+
 MAX_BLOCK_DEPTH = 3
 UNIT = "file_path string, language string, name string, unit_type string, parent_name string, block_type string, nesting_depth int, parent_block string, line_start int, line_end int, code string"
 # Statements that are blocks of their own, and their names.
 PYTHON_BLOCKS = {"For": "for", "AsyncFor": "async_for", "While": "while", "If": "if", "Try": "try", "TryStar": "try", "With": "with", "AsyncWith": "async_with", "Match": "match"}
-BRACE_BLOCKS = {"for": "for", "while": "while", "do": "do_while", "if": "if", "switch": "switch", "try": "try", "select": "select", "defer": "defer"}
 
 
 def python_units(code: str, path: str = "", max_depth: int = MAX_BLOCK_DEPTH) -> Iterator[tuple]:
@@ -56,42 +56,13 @@ def python_units(code: str, path: str = "", max_depth: int = MAX_BLOCK_DEPTH) ->
             yield from function(node, "function", None)
 
 
-_NAMED = re.compile(r"^(?:export\s+|async\s+|static\s+|public\s+|private\s+)*(?:(class|interface|struct)\s+([A-Za-z_]\w*)|(?:function|func)\s+([A-Za-z_]\w*))")
-_KEYWORD = re.compile(r"^(?:\}\s*)?([a-z]+)\b")
-
-
-def brace_units(code: str, path: str = "", language: str = "javascript", max_depth: int = MAX_BLOCK_DEPTH) -> Iterator[tuple]:
-    """Rows of UNIT by counting braces line by line: declarations, and the blocks within functions."""
-    lines = code.splitlines()
-    open_: list[list] = []  # [kind, name, start, depth of blocks, function]
-    counts: Counter = Counter()
-    out: list[tuple] = []
-    for n, raw in enumerate(lines, 1):
-        line = raw.strip()
-        closing, opening = line.startswith("}"), line.endswith("{")
-        if closing and open_:
-            kind, name, start, depth, function = open_.pop()
-            text = textwrap.dedent("\n".join(lines[start - 1 : n]))
-            if kind in ("class", "function", "method"):
-                parent = next((x[1] for x in reversed(open_) if x[0] == "class"), None)
-                out.append((path, language, name, kind, parent, None, None, None, start, n, text))
-            elif kind and depth <= max_depth:
-                own = name.rpartition(".")[0]
-                out.append((path, language, name, "block", function, kind, depth, None if own == function else own, start, n, text))
-        if opening:
-            named, word = _NAMED.match(line), _KEYWORD.match(line)
-            around = open_[-1] if open_ else None
-            if named:
-                kind = "class" if named[1] else "method" if around and around[0] == "class" else "function"
-                name = named[2] or named[3]
-                open_.append([kind, name, n, 0, name if kind != "class" else None])
-            elif word and word[1] in BRACE_BLOCKS and around and around[4]:
-                kind = BRACE_BLOCKS[word[1]]
-                counts[around[1], kind] += 1
-                open_.append([kind, f"{around[1]}.{kind}_{counts[around[1], kind]}", n, around[3] + 1, around[4]])
-            else:
-                open_.append([None, around[1] if around else "", n, around[3] if around else 0, around[4] if around else None])
-    return iter(sorted(out, key=lambda r: (r[8], r[9])))
+def text_units(code: str, path: str = "", language: str = "python", max_depth: int = MAX_BLOCK_DEPTH) -> list[tuple]:
+    """Rows of UNIT of a text in any language: Python and the two scripts by their syntax, all others, and scripts that
+    can't be read, by their braces."""
+    if language == "python":
+        return list(python_units(code, path, max_depth))
+    found = javascript.units(code, path, language, max_depth) if language in ("javascript", "typescript") else None
+    return braces.units(code, path, language, max_depth) if found is None else found
 
 
 def units(files: DataFrame, max_depth: int = MAX_BLOCK_DEPTH) -> DataFrame:
@@ -102,7 +73,7 @@ def units(files: DataFrame, max_depth: int = MAX_BLOCK_DEPTH) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for path, language, text in zip(*(b.column(c).to_pylist() for c in ("file_path", "language", "text"))):
-                rows += python_units(text or "", path, max_depth) if language == "python" else brace_units(text or "", path, language, max_depth)
+                rows += text_units(text or "", path, language or "", max_depth)
             cols = zip(*rows) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in UNIT.split(", ")])
 

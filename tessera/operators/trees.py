@@ -7,6 +7,7 @@ building the index shuffles nothing.
 from __future__ import annotations
 
 import ast
+import functools
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -14,10 +15,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.languages import javascript
 from tessera.operators.labels import line_label, line_pattern, node_label, node_pattern
 
 WL_ROUNDS, LEVEL_ROUNDS, LEVELS = 3, 2, 5
 EMPTY = "empty"
+#: Languages whose trees are of lines, and whose patterns drop the lines' operators.
+BRACED = ("c", "cpp", "java", "go")
 #: (labels, parents) with nodes in pre-order; the root's parent is -1.
 Tree = tuple[list[str], list[int]]
 
@@ -56,14 +60,20 @@ def python_tree(code: str) -> Tree:
 
 
 def tree_of(code: str, language: str) -> Tree:
-    return python_tree(code) if language == "python" else line_tree(code)
+    """The tree of a text; scripts that can't be read, and all other languages, have one of lines."""
+    if language == "python":
+        return python_tree(code)
+    found = javascript.tree(code, language == "typescript") if language in ("javascript", "typescript") else None
+    return found or line_tree(code)
 
 
 def pattern_of(labels: list[str], language: str) -> list[str]:
     """Labels whatever the operators; languages without such a rule keep theirs."""
     if language == "python":
         return [node_pattern(x) for x in labels]
-    return [line_pattern(x) for x in labels]
+    if language in ("javascript", "typescript"):
+        return [javascript.pattern_label(x) for x in labels]
+    return [line_pattern(x) for x in labels] if language in BRACED else labels
 
 
 def md5(text: str) -> str:
@@ -135,27 +145,27 @@ def fingerprint(tree: Tree) -> str:
 ENTRY = "node_count int, depth int, wl_hash string, pattern_hash string, canonical_hash string, fingerprint string, hierarchy array<string>"
 
 
-def describe(code: str | None, language: str) -> tuple:
-    tree = tree_of(code or "", language)
+@functools.lru_cache(20_000)
+def shape(labels: tuple[str, ...], parents: tuple[int, ...], language: str) -> tuple:
+    """What ENTRY says of a tree: units of one structure are hashed once a worker."""
+    tree = list(labels), list(parents)
     pattern = (pattern_of(tree[0], language), tree[1])
     return len(tree[0]), max(node_levels(tree), default=0), wl_hash(tree), wl_hash(pattern), canonical_hash(tree), fingerprint(tree), hierarchy(tree)
 
 
+def describe(code: str | None, language: str) -> tuple:
+    labels, parents = tree_of(code or "", language)
+    return shape(tuple(labels), tuple(parents), language)
+
+
 def entries(units: DataFrame) -> DataFrame:
     """units with the columns of ENTRY added; reads code and language, keeps all columns."""
     kinds = [pa.int32(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.string())]
     names = [x.split()[0] for x in ENTRY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
         for b in batches:
-            rows = []
-            for key in zip(b.column("code").to_pylist(), b.column("language").to_pylist()):
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = describe(*key)
-                rows.append(known[key])
+            rows = [describe(*x) for x in zip(b.column("code").to_pylist(), b.column("language").to_pylist())]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names])
 

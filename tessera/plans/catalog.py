@@ -74,7 +74,7 @@ NATIONS_SQL = "nat AS (SELECT n_nationkey AS unit_id, concat('function g() {', c
 def dup_near(spark: SparkSession, sf: str) -> DataFrame:
     """Near groups among deep functions, one a nation."""
     code = F.expr(NATIONS_SQL[NATIONS_SQL.index("concat(") : NATIONS_SQL.index(" AS code")])
-    units = table(spark, sf, "nation").select(F.col("n_nationkey").alias("unit_id"), F.lit("function").alias("unit_type"), F.lit("javascript").alias("language"), code.alias("code"))
+    units = table(spark, sf, "nation").select(F.col("n_nationkey").alias("unit_id"), F.lit("function").alias("unit_type"), F.lit("c").alias("language"), code.alias("code"))
     return dup.near(trees.entries(units)).select("group_hash", "size", "n_wl")
 
 

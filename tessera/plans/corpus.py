@@ -35,11 +35,11 @@ def code_expr(key: str, size: str) -> str:
     return f"replace(concat('function f', CAST({key} AS VARCHAR(20)), '(a, b) {{~', replace({body}, 'OP', {op}), '~', repeat('  log(a);~', CAST({size} % 3 AS INT)), '}}'), '~', chr(10))"
 
 
-PATH = "concat(CASE WHEN p_partkey % 7 = 0 THEN 'tests/' ELSE 'src/' END, replace(lower(p_brand), '#', '_'), '/f', CAST(p_partkey AS VARCHAR(20)), '.js')"
+PATH = "concat(CASE WHEN p_partkey % 7 = 0 THEN 'tests/' ELSE 'src/' END, replace(lower(p_brand), '#', '_'), '/f', CAST(p_partkey AS VARCHAR(20)), '.c')"
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(PATH).alias("file_path"), F.lit("javascript").alias("language"), F.expr(code_expr("p_partkey", "p_size")).alias("text"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(PATH).alias("file_path"), F.lit("c").alias("language"), F.expr(code_expr("p_partkey", "p_size")).alias("text"))
 
 
 def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snippet for every supplier, as entries with probe_id."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("probe_id"), F.lit("javascript").alias("language"), F.expr(code_expr("s_suppkey", "(s_suppkey + s_nationkey)")).alias("code"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("probe_id"), F.lit("c").alias("language"), F.expr(code_expr("s_suppkey", "(s_suppkey + s_nationkey)")).alias("code"))
     return trees.entries(s)
 
 

@@ -116,9 +116,3 @@ def test_python_units():
     assert {("A", "class", None), ("m", "method", None), ("g", "function", None), ("m.for_1", "block", 1), ("m.for_1.if_1", "block", 2), ("m.for_1.if_1.while_1", "block", 3), ("g.async_with_1", "block", 1), ("g.async_for_1", "block", 1), ("g.try_1", "block", 1), ("g.match_1", "block", 1)} == got
     assert next(r for r in rows if r[2] == "m")[10].startswith("def m(") and next(r for r in rows if r[2] == "m.for_1")[7] is None
     assert list(extract.python_units("def ::::")) == []
-
-
-def test_brace_units():
-    code = "class K {\n  function m() {\n    for (;;) {\n      if (a) {\n        b();\n      } else {\n        c();\n      }\n    }\n  }\n}\nfunction f() {\n}\n"
-    assert [(r[2], r[3], r[4], r[8], r[9]) for r in extract.brace_units(code)] == [("K", "class", None, 1, 11), ("m", "method", "K", 2, 10), ("m.for_1", "block", "m", 3, 9), ("m.for_1.if_1", "block", "m", 4, 6), ("f", "function", None, 12, 13)]
-    assert list(extract.brace_units("")) == []
