@@ -57,6 +57,7 @@ def test_similar_prefers_the_stronger_match(spark):
     got = {(r.probe_id, r.unit_id): (r.match, r.depth) for r in duplicates.similar(p, e).collect()}
     assert got == {(1, "a.py"): ("exact", None), (1, "c.py"): ("partial", 3)}
     assert {r.probe_id: r.decision for r in duplicates.gate(duplicates.similar(p, e), p).collect()} == {1: "STOP", 2: "CREATE", 3: "CREATE"}
+    assert {r.probe_id: r.decision for r in duplicates.gate(duplicates.best_matches(p, e), p).collect()} == {1: "STOP", 2: "CREATE", 3: "CREATE"}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -71,24 +72,3 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(seen) == batch == [("a", 1), ("a", 2), ("b", 1), ("b", 1)]
     moved = spark.createDataFrame([(at, "x", "moved", "y"), (at, "z", "deleted", None)], "ts timestamp, path string, event_type string, dest_path string")
     assert sorted((r.path, r.event_type) for r in events.moves(moved).collect()) == [("x", "deleted"), ("y", "created"), ("z", "deleted")]
-
-
-def test_signals_of_c_and_go(spark):
-    from tessera.functions import parts
-
-    c = spark.createDataFrame([(1, "#include <a.h>\ntypedef struct s { int *p; } s;\nvoid f(void) { int *q = malloc(3); goto end; end: free(q); }"), (2, None)], "unit_id long, code string")
-    got = {(r.unit_id, r.key): r.value for r in parts.c_signals(c).collect()}
-    assert got[1, "c.preprocessor"] == "include" and got[1, "c.composite_types"] == "struct,typedef" and got[1, "c.memory_management"] == "alloc_free" and got[1, "c.control_flow"] == "goto"
-    assert {v for (i, _), v in got.items() if i == 2} == {"none"}
-    go = spark.createDataFrame([(1, "func (s *Server) Run() error {\n go func() { ch <- 1 }()\n defer done()\n if err != nil {\n return err\n }\n}\ntype A struct {\n\tBase\n}\n")], "unit_id long, code string")
-    got = {r.key: r.value for r in parts.go_signals(go).collect()}
-    assert got == {"go.concurrency": "goroutine,channel", "go.error_handling": "err_nil_check,error_return", "go.interface_usage": "none", "go.defer_recover": "defer", "go.modern_features": "none", "go.struct_embedding": "yes", "go.receiver_style": "pointer"}
-
-
-def test_python_signals():
-    from tessera.functions.signals import python_signals
-
-    code = "@dataclass\nclass A:\n    def __add__(self, o: int) -> int:\n        return 1 + o\n\nasync def f(x):\n    return 'a' + 'b'\n"
-    got = {k: v for k, v, _ in python_signals(code)}
-    assert got == {"dunder_methods.defined": "__add__", "type_annotation.density": "partial", "decorators.present": "dataclass", "async.present": "yes", "plus_binding": "mixed", "class_style": "dataclass"}
-    assert python_signals("def :::") == []
