@@ -85,12 +85,49 @@ def ignored(path: Column, rules: list[tuple[bool, bool, bool, str]]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+SUFFIXES = "*.{" + ",".join(LANGUAGES) + "}"
+
+
+def sources(spark: SparkSession, root: str, rules: Iterable[str] = (), recursive: bool = True) -> tuple[str, list[str]]:
+    """The root as the store names it, and the paths of the files under it that are sources, folders that are never entered
+    or that a rule ignores left out unread. A listing: no file is opened."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(path).toString().rstrip("/")
+    judged = [(negated, only, anchored, re.compile(glob_regex(glob))) for negated, only, anchored, glob in parse_rules(rules)]
+
+    def dropped(rel: str, folder: bool) -> bool:
+        out = False
+        for negated, only, anchored, glob in judged:
+            if (folder or not only) and (glob.match(rel) or not anchored and glob.match(rel.rpartition("/")[2])):
+                out = not negated
+        return out
+
+    found, todo = [], [path]
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            name, full = s.getPath().getName(), s.getPath().toString()
+            rel = full[len(base) + 1 :]
+            if s.isDirectory():
+                if recursive and not (name in SKIP or name.endswith(".egg-info") or re.match(VENV, name)) and not dropped(rel, True):
+                    todo.append(s.getPath())
+            elif name.rpartition(".")[2].lower() in LANGUAGES and "." in name and not dropped(rel, False):
+                found.append(full)
+    return base, found
+
+
 def files(spark: SparkSession, root: str, rules: Iterable[str] = (), recursive: bool = True) -> DataFrame:
-    """(file_path, language, text, mtime) of the sources under root; paths are relative to it."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)
-    rel = F.expr(f"substring(path, {1} + instr(path, '{base.split('://')[-1]}/') + {len(base.split('://')[-1])})")
-    rows = raw.select(rel.alias("file_path"), F.col("content").cast("string").alias("text"), F.col("modificationTime").alias("mtime"))
-    rows = rows.where(~skipped(F.col("file_path"))).withColumn("language", language(F.col("file_path"))).where("language is not null")
-    parsed = parse_rules(rules)
-    return rows.where(~ignored(F.col("file_path"), parsed)) if parsed else rows
+    """(file_path, language, text, mtime) of the sources under root; paths are relative to it. Only sources are read:
+    folders are listed first, and those that are skipped or ignored as a whole are not entered. Rules that bring single
+    files back from an ignored folder don't, as the folder isn't entered. Text that isn't UTF-8 is null."""
+    rules = list(rules)
+    base, paths = sources(spark, root, rules, recursive)
+    if not paths:
+        return spark.createDataFrame([], "file_path string, language string, text string, mtime double")
+    raw = spark.read.format("binaryFile").load(paths)
+    plain = lambda x: F.regexp_replace(x, "^[a-z]+:/*", "/")
+    rel = F.substr(plain(F.col("path")), F.length(plain(F.lit(base))) + 2)
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    rows = raw.select(rel.alias("file_path"), text.alias("text"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
+    return rows.withColumn("language", language(F.col("file_path"))).select("file_path", "language", "text", "mtime")

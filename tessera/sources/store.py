@@ -1,15 +1,25 @@
 """The index on disk: snapshots of Parquet tables in one folder, on any store that Spark reads.
 
 A snapshot is a folder of its own that counts once its marker is written, after all of its tables; readers take the
-newest that has one. A writer that dies leaves no half index, and nothing is ever overwritten.
+newest that has one. A writer that dies leaves no half index, and nothing is ever overwritten: a snapshot's name holds the
+time and a random part, so that two writers never share one, and its marker is made once or not at all.
+
+Changes of some files are written as deltas, a snapshot each that names the one it follows: entries that came, files whose
+entries went, suppressions that came or went. A read lays them over the last whole snapshot; compacting writes that anew.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
 PREFIX = f"schema{SCHEMA_VERSION}-"
+DELTA = "-delta"
+TABLES = {"entries": "file_path", "metadata": "file_path", "suppressions": "hash"}
 
 
 def _fs(spark: SparkSession, root: str):
@@ -26,27 +36,135 @@ def snapshots(spark: SparkSession, root: str) -> list[str]:
     return sorted(n for n in names if n.startswith(PREFIX) and fs.exists(path(f"{root}/{n}/WHOLE")))
 
 
+def _new(spark: SparkSession, root: str, kind: str = "") -> str:
+    """A name after all others'."""
+    old = [int(n.removeprefix(PREFIX).split("-")[0]) for n in snapshots(spark, root)]
+    return f"{PREFIX}{max([*old, int(time.time() * 1000) - 1]) + 1:016d}-{uuid.uuid4().hex[:12]}{kind}"
+
+
+def _write(spark: SparkSession, root: str, name: str, tables: dict[str, DataFrame]) -> str:
+    for table, df in tables.items():
+        df.write.parquet(f"{root}/{name}/{table}")
+    fs, path = _fs(spark, root)
+    fs.create(path(f"{root}/{name}/WHOLE"), False).close()
+    return name
+
+
 def save(tables: dict[str, DataFrame], root: str) -> str:
     """Writes the tables as the next snapshot; returns its name."""
     spark = next(iter(tables.values())).sparkSession
-    old = snapshots(spark, root)
-    name = f"{PREFIX}{int(old[-1].removeprefix(PREFIX)) + 1 if old else 1:010d}"
-    for table, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/{table}")
+    return _write(spark, root, _new(spark, root), tables)
+
+
+def save_delta(spark: SparkSession, root: str, gone: DataFrame | None = None, **came: DataFrame) -> str:
+    """Writes what changed: gone (table, key) names rows that went by their table and its key (a file's path, a
+    suppression's hash), and rows that came replace those of their keys. Returns the delta's name."""
+    parts = [came[t].select(F.lit(t).alias("table"), F.col(TABLES[t]).alias("key")).distinct() for t in came]
+    out = gone.select("table", "key") if gone is not None else None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    if out is None:
+        raise ValueError("nothing changed")
+    return _write(spark, root, _new(spark, root, DELTA), {"gone": out.distinct(), **came})
+
+
+def _has(spark: SparkSession, root: str, name: str, table: str) -> bool:
     fs, path = _fs(spark, root)
-    fs.create(path(f"{root}/{name}/WHOLE")).close()
-    return name
+    return fs.exists(path(f"{root}/{name}/{table}"))
 
 
 def load(spark: SparkSession, root: str, table: str, snapshot: str | None = None) -> DataFrame | None:
-    """A table of the newest (or the named) snapshot; None if there is none."""
+    """A table as of the newest (or the named) snapshot, deltas laid over; None if there is none. Each delta is an anti
+    join with its own few keys; compact() where there are many."""
     known = snapshots(spark, root)
-    name = snapshot or (known[-1] if known else None)
-    return None if name is None else spark.read.parquet(f"{root}/{name}/{table}")
+    if snapshot is not None:
+        known = known[: known.index(snapshot) + 1] if snapshot in known else []
+    last = max((i for i, n in enumerate(known) if not n.endswith(DELTA) and _has(spark, root, n, table)), default=None)
+    out = spark.read.parquet(f"{root}/{known[last]}/{table}") if last is not None else None
+    for name in known[last + 1 if last is not None else 0 :]:
+        if not name.endswith(DELTA):
+            continue
+        if out is not None:
+            gone = spark.read.parquet(f"{root}/{name}/gone").where(F.col("table") == table).select(F.col("key").alias(TABLES[table]))
+            out = out.join(gone, TABLES[table], "left_anti")
+        if _has(spark, root, name, table):
+            came = spark.read.parquet(f"{root}/{name}/{table}")
+            out = came if out is None else out.unionByName(came, allowMissingColumns=True)
+    return out
+
+
+def compact(spark: SparkSession, root: str) -> str | None:
+    """Writes the newest state as a whole snapshot; its name, or None if there is nothing."""
+    tables = {t: df for t in TABLES if (df := load(spark, root, t)) is not None}
+    return save(tables, root) if tables else None
 
 
 def prune(spark: SparkSession, root: str, keep: int = 2) -> None:
-    """Deletes all but the newest whole snapshots."""
+    """Deletes all but the newest whole snapshots, and the deltas before them."""
+    fs, path = _fs(spark, root)
+    known = snapshots(spark, root)
+    whole = [n for n in known if not n.endswith(DELTA)]
+    if len(whole) > keep:
+        for name in known[: known.index(whole[-keep])]:
+            fs.delete(path(f"{root}/{name}"), True)
+
+
+def erase(spark: SparkSession, root: str) -> bool:
+    """Deletes all snapshots, of this schema version or another; whether there was anything."""
+    fs, path = _fs(spark, root)
+    return bool(fs.exists(path(root)) and fs.delete(path(root), True))
+
+
+def quarantine(spark: SparkSession, root: str) -> list[str]:
+    """Renames whole snapshots whose tables can't be read, so that the ones before count; the names they had."""
+    fs, path = _fs(spark, root)
+    bad = []
+    for name in snapshots(spark, root):
+        tables = [s.getPath().getName() for s in fs.listStatus(path(f"{root}/{name}")) if s.isDirectory()]
+        try:
+            for t in tables:
+                spark.read.parquet(f"{root}/{name}/{t}").limit(1).collect()
+        except Exception:  # damaged in whatever way
+            fs.rename(path(f"{root}/{name}"), path(f"{root}/corrupt-{int(time.time())}-{name}"))
+            bad.append(name)
+    return bad
+
+
+# ---- reads by key
+
+
+def file_entries(entries: DataFrame, path: str) -> DataFrame:
+    return entries.where(F.col("file_path") == path)
+
+
+def entry(entries: DataFrame, unit_id) -> DataFrame:
+    return entries.where(F.col("unit_id") == unit_id)
+
+
+def some_entries(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    return entries.join(ids.select("unit_id"), "unit_id", "left_semi")
+
+
+def node_counts(entries: DataFrame) -> DataFrame:
+    """(unit_id, node_count, depth, hierarchy): the columns that most queries need, and all that is read for them."""
+    return entries.select("unit_id", "node_count", "depth", "hierarchy")
+
+
+def file_metadata(metadata: DataFrame, path: str) -> DataFrame:
+    return metadata.where(F.col("file_path") == path)
+
+
+def indexed_files(metadata: DataFrame) -> DataFrame:
+    return metadata.select("file_path").distinct()
+
+
+def index_metadata(entries: DataFrame, at: float) -> DataFrame:
+    """(key, value): counters and version of an index."""
+    row = entries.agg(F.count("*").cast("string").alias("entry_count"), F.count_distinct("file_path").cast("string").alias("file_count"), F.lit(str(SCHEMA_VERSION)).alias("schema_version"), F.lit(str(at)).alias("saved_at"))
+    return row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, row.columns)), F.array(*row.columns))).alias("key", "value"))
+
+
+def size(spark: SparkSession, root: str) -> int:
+    """Bytes of all snapshots."""
     fs, path = _fs(spark, root)
-    for name in snapshots(spark, root)[:-keep]:
-        fs.delete(path(f"{root}/{name}"), True)
+    return fs.getContentSummary(path(root)).getLength() if fs.exists(path(root)) else 0

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.sources import scan
+from tessera.sources.paths import FOLDER
+
 
 def file_events(events: DataFrame) -> DataFrame:
     """(event_id, ts, path, event_type) of the event table: users stand for paths."""
     return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("path"), "event_type")
 
 
-def bursts(events: DataFrame, quiet: int) -> DataFrame:
+def bursts(events: DataFrame, quiet: int, slice_seconds: int = 86_400) -> DataFrame:
     """(path, burst, first, last, n): runs of a path's events with at most ``quiet`` seconds between them; each is
-    flushed once, at its end."""
-    order = Window.partitionBy("path").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
-    rows = events.withColumn("new", (gap.isNull() | (gap > quiet * 1_000_000)).cast("int")).withColumn("burst", F.sum("new").over(order))
-    return rows.groupBy("path", "burst").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    flushed once, at its end. Events without a path or a time are left out.
+
+    The line of time is cut into slices: runs are found in each slice of a path for itself, and then those that meet at a
+    boundary are joined, a row a run. So a path with very many events is many tasks' work.
+    """
+    gap = quiet * 1_000_000
+    t = F.unix_micros("ts")
+    rows = events.where(F.col("path").isNotNull() & F.col("ts").isNotNull()).select("path", "ts", t.alias("t"), F.floor(t / (slice_seconds * 1_000_000)).alias("slice"))
+    order = Window.partitionBy("path", "slice").orderBy("t")
+    rows = rows.withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(order) > gap, F.lit(True)).cast("int"))
+    rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy("path", "slice", "run").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    by_path = Window.partitionBy("path").orderBy("first")
+    apart = F.unix_micros("first") - F.unix_micros(F.lag("last").over(by_path))
+    runs = runs.withColumn("new", F.coalesce(apart > gap, F.lit(True)).cast("int")).withColumn("burst", F.sum("new").over(by_path.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("path", "burst").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
 
 
 def storm_peaks(events: DataFrame, window: int, limit: int) -> DataFrame:
@@ -52,3 +66,36 @@ def moves(events: DataFrame) -> DataFrame:
 def keep_current(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Feeds micro-batches to apply (an upsert of the index) until what is there is read; batch ids make retries safe."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# ---- which events count
+
+
+def supported(path: Column, rules: Iterable[str] = ()) -> Column:
+    """Whether a path is a source that is watched: its suffix, its folders, the ignore rules, and not the engine's own."""
+    own = F.array_contains(F.split(path, "/"), FOLDER) | F.element_at(F.split(path, "/"), -1).startswith("._tessera")
+    parsed = scan.parse_rules(rules)
+    out = scan.language(path).isNotNull() & ~scan.skipped(path) & ~own
+    return out & ~scan.ignored(path, parsed) if parsed else out
+
+
+def watched(events: DataFrame, rules: Iterable[str] = ()) -> DataFrame:
+    """Events of sources, moves taken apart; is_directory, where there is such a column, must be false."""
+    rows = moves(events) if "dest_path" in events.columns else events
+    if "is_directory" in rows.columns:
+        rows = rows.where(~F.coalesce("is_directory", F.lit(False)))
+    return rows.where(F.coalesce(supported(F.col("path"), rules), F.lit(False)) & F.col("event_type").isin("modified", "created", "deleted"))
+
+
+def routed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path) of files to read again, and of files to remove: a file's last event decides."""
+    last = events.groupBy("path").agg(F.max_by("event_type", "ts").alias("event_type"))
+    return last.where("event_type <> 'deleted'").select("path"), last.where("event_type = 'deleted'").select("path")
+
+
+def listing_changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, event_type): what a listing (path, mtime, size) has against an earlier one."""
+    b = before.select("path", F.struct("mtime", "size").alias("b"))
+    n = now.select("path", F.struct("mtime", "size").alias("n"))
+    kind = F.when(F.col("b").isNull(), "created").when(F.col("n").isNull(), "deleted").when(F.col("b") != F.col("n"), "modified")
+    return b.join(n, "path", "full_outer").select("path", kind.alias("event_type")).where("event_type is not null")
