@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import signals, tokens
 from tessera.operators import duplicates as dup
-from tessera.operators import extract, labels, maintenance, recommend, trees
-from tessera.plans import corpus
+from tessera.operators import extract, labels, maintenance, recommend, report, trees
+from tessera.plans import corpus, texts
 from tessera.plans.corpus import PART_ENTRIES_SQL, PARTS_SQL, PROBE_ENTRIES_SQL, table
 from tessera.sources import scan
+from tessera.sources.scratch import written
 from tessera.streaming import events as ev
+from tessera.streaming import storms
 
 ENTRY_COLUMNS = ("node_count", "depth", "wl_hash", "pattern_hash", "canonical_hash", "fingerprint")
 QUERIES: dict = {}
@@ -55,14 +57,14 @@ EXACT_SQL = f"WITH {PART_ENTRIES_SQL}, ex AS (SELECT wl_hash AS group_hash, coun
 
 @query(f"{EXACT_SQL} SELECT * FROM ex")
 def dup_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return dup.exact(corpus.part_entries(spark, sf)).select("group_hash", "size", "verified")
+    return dup.exact(corpus.part_index(spark, sf)).select("group_hash", "size", "verified")
 
 
 @query(f"""WITH {PART_ENTRIES_SQL}, twice AS (SELECT wl_hash FROM entries_parts GROUP BY 1 HAVING count(*) > 1)
     SELECT pattern_hash AS group_hash, count(*) AS size, count(DISTINCT wl_hash) AS n_wl FROM entries_parts WHERE node_count >= 5 GROUP BY 1
     HAVING count(*) >= 2 AND NOT (count(DISTINCT wl_hash) = 1 AND min(wl_hash) IN (SELECT wl_hash FROM twice))""")
 def dup_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    return dup.pattern(corpus.part_entries(spark, sf)).select("group_hash", "size", "n_wl")
+    return dup.pattern(corpus.part_index(spark, sf)).select("group_hash", "size", "n_wl")
 
 
 NATIONS_SQL = "nat AS (SELECT n_nationkey AS unit_id, concat('function g() {', chr(10), 'a(', chr(10), 'if (x) {', chr(10), 'while (y) {', chr(10), 'for (z) {', chr(10), 'try {', chr(10), repeat('go w' || chr(10), CAST(n_nationkey + 1 AS INT)), CASE WHEN n_nationkey % 2 = 0 THEN 'v = ' ELSE 'call()' END, chr(10), '}}}}}') AS code FROM nation)"
@@ -80,7 +82,7 @@ def dup_near(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{EXACT_SQL} SELECT count(*) > 0 AS has_duplicates FROM ex")
 def has_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return dup.has_duplicates(corpus.part_entries(spark, sf))
+    return dup.has_duplicates(corpus.part_index(spark, sf))
 
 
 @query("""SELECT kind AS block_type, CAST(count(*) AS BIGINT) AS blocks, count(DISTINCT key) AS structures FROM (
@@ -123,14 +125,13 @@ SIMILAR_SQL = f"""WITH {PART_ENTRIES_SQL}, {PROBE_ENTRIES_SQL},
 @query(f"{SIMILAR_SQL} SELECT probe_id, ['exact', 'high', 'partial'][r] AS match, CAST(CASE WHEN r = 3 THEN depth END AS INT) AS depth, count(*) AS entries FROM best GROUP BY ALL")
 def similar_probe(spark: SparkSession, sf: str) -> DataFrame:
     """How many entries match each probe, by tier and depth."""
-    found = dup.similar(corpus.supplier_probes(spark, sf), corpus.part_entries(spark, sf))
-    return found.groupBy("probe_id", "match", "depth").agg(F.count("*").alias("entries"))
+    return dup.similar_counts(corpus.supplier_probes(spark, sf), corpus.part_index(spark, sf))
 
 
 @query(f"{SIMILAR_SQL}, top AS (SELECT probe_id, min(r) AS r FROM best GROUP BY 1) SELECT probe_id, ['exact', 'high', 'partial'][r] AS match, coalesce(['STOP', 'CAUTION', 'NOTE'][r], 'CREATE') AS decision FROM entries_probes LEFT JOIN top USING (probe_id)")
 def gate_decision(spark: SparkSession, sf: str) -> DataFrame:
-    probes = corpus.supplier_probes(spark, sf)
-    return dup.gate(dup.similar(probes, corpus.part_entries(spark, sf)), probes)
+    probes = written(corpus.supplier_probes(spark, sf), "probes")
+    return dup.gate(dup.best_matches(probes, corpus.part_index(spark, sf)), probes)
 
 
 @query(f"""WITH {PROBE_ENTRIES_SQL}, pairs AS (SELECT a.probe_id AS pair_id, a, b FROM entries_probes a JOIN entries_probes b ON b.probe_id = a.probe_id + 1)
@@ -156,14 +157,14 @@ def suppressed_three(e: DataFrame) -> DataFrame:
 
 @query(f"{EXACT_SQL}, {FIRST_SQL} SELECT * FROM ex WHERE group_hash NOT IN (SELECT group_hash FROM sup)")
 def suppress_filter(spark: SparkSession, sf: str) -> DataFrame:
-    e = corpus.part_entries(spark, sf)
+    e = corpus.part_index(spark, sf)
     return dup.exact(e, suppressed=suppressed_three(e)).select("group_hash", "size", "verified")
 
 
 @query(f"""{EXACT_SQL}, {FIRST_SQL}, a AS (SELECT group_hash, count(*) AS entry_count, count(DISTINCT file_path) AS n_files, min(name) AS first_name FROM sup JOIN entries_parts ON wl_hash = group_hash GROUP BY 1)
     SELECT group_hash AS hash, entry_count, n_files, first_name FROM a""")
 def suppress_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    e = corpus.part_entries(spark, sf)
+    e = corpus.part_index(spark, sf)
     return maintenance.suppress(e, suppressed_three(e)).select("hash", "entry_count", "n_files", "first_name")
 
 
@@ -171,7 +172,7 @@ def suppress_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     SELECT group_hash AS hash, group_hash NOT IN (SELECT wl_hash FROM now) AS stale FROM sup""")
 def suppress_stale(spark: SparkSession, sf: str) -> DataFrame:
     """Which suppressions outlive an index of which only the tests are left."""
-    e = corpus.part_entries(spark, sf)
+    e = corpus.part_index(spark, sf)
     return maintenance.stale(suppressed_three(e), e.where(F.col("file_path").startswith("tests/")))
 
 
@@ -192,42 +193,53 @@ def incremental_status(spark: SparkSession, sf: str) -> DataFrame:
       row_number() OVER (PARTITION BY wl_hash ORDER BY file_path, line_start, line_end, name) AS place FROM entries_parts WHERE node_count >= 5)
     SELECT wl_hash AS group_hash, CAST(place AS INT) AS place, location FROM m WHERE size >= 2 AND place <= 5""")
 def report_topk(spark: SparkSession, sf: str) -> DataFrame:
-    e = corpus.part_entries(spark, sf).where("node_count >= 5")
+    e = corpus.part_index(spark, sf).where("node_count >= 5")
     return dup.top_members(e, dup.exact(e), "wl_hash")
 
 
 @query(f"""WITH {PART_ENTRIES_SQL}, g AS (SELECT wl_hash AS h, 'exact' AS kind, count(*) AS n, bool_and(starts_with(file_path, 'tests/')) AS is_test FROM entries_parts WHERE node_count >= 5 GROUP BY 1 HAVING count(*) >= 2)
     SELECT kind, is_test, count(*) AS findings, CAST(sum(n) AS BIGINT) AS locations FROM g GROUP BY ALL""")
 def report_summary(spark: SparkSession, sf: str) -> DataFrame:
-    e = corpus.part_entries(spark, sf)
+    e = corpus.part_index(spark, sf)
     return recommend.summary({"exact": (e.where("node_count >= 5"), "wl_hash", dup.exact(e))})
 
 
 @query(f"""WITH {PART_ENTRIES_SQL}, g AS (SELECT wl_hash AS group_hash, count(*) AS n, avg(node_count) AS nodes, avg(line_end - line_start + 1) AS lines, avg(CASE WHEN starts_with(file_path, 'tests/') THEN 0.0 ELSE 1.0 END) AS prod,
-      count(DISTINCT regexp_replace(file_path, '/[^/]*$', '')) AS dirs, count(DISTINCT canonical_hash) = 1 AS verified FROM entries_parts WHERE node_count >= 5 GROUP BY 1 HAVING count(*) >= 2),
+      count(DISTINCT CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') ELSE '.' END) AS dirs, count(DISTINCT canonical_hash) = 1 AS verified FROM entries_parts WHERE node_count >= 5 GROUP BY 1 HAVING count(*) >= 2),
     s AS (SELECT *, least(1.0, least(0.3, 0.1 + (n - 1) * 0.05) + CASE WHEN nodes >= 50 THEN 0.3 WHEN nodes >= 20 THEN 0.25 WHEN nodes >= 10 THEN 0.15 ELSE 0.05 END + prod * 0.25 + CASE WHEN lines >= 30 THEN 0.15 WHEN lines >= 15 THEN 0.1 WHEN lines >= 5 THEN 0.05 ELSE 0 END) AS impact,
       least(1.0, 0.5 + CASE WHEN verified THEN 0.25 ELSE 0.1 END + CASE WHEN nodes >= 15 THEN 0.15 WHEN nodes >= 8 THEN 0.1 ELSE 0 END + CASE WHEN prod = 1 THEN 0.1 WHEN prod > 0 THEN 0.05 ELSE 0 END) AS confidence FROM g)
     SELECT group_hash, round(CAST(impact AS DOUBLE), 4) AS impact, round(CAST(confidence AS DOUBLE), 4) AS confidence, CASE WHEN impact >= 0.7 THEN 'high' WHEN impact >= 0.45 THEN 'medium' WHEN impact >= 0.25 THEN 'low' ELSE 'trivial' END AS level,
       CASE WHEN prod = 0 THEN 'review' WHEN dirs = 1 THEN 'consolidate' ELSE 'extract_utility' END AS action FROM s""")
 def recommendations(spark: SparkSession, sf: str) -> DataFrame:
-    e = corpus.part_entries(spark, sf)
+    e = corpus.part_index(spark, sf)
     return recommend.recommend(e.where("node_count >= 5"), "wl_hash", dup.exact(e)).select("group_hash", F.round("impact", 4).alias("impact"), F.round("confidence", 4).alias("confidence"), "level", "action")
 
 
 # ---- sources
 
-PATHS = ("src/a.py", "venv311/x.py", "env/y.py", "environment/z.py", ".git/h.py", "pkg.egg-info/m.py", "a/node_modules/b.js", "envoy/k.py", "docs/build.min.js", "vendor/lib/q.go", "keep/vendor.txt", "logs/a/b.log", "logs/keep.log")
-RULES = ("# comment", "", "*.min.js", "vendor/", "*.log", "!logs/keep.log", "/docs/*.txt")
+#: Paths, a number in place of {n}: those with a folder that is never entered, and whether the rules ignore them.
+SKIPPED = (("src/a{n}.py", False), ("venv311/x{n}.py", True), ("env/y{n}.py", True), ("environment/z{n}.py", False), (".git/h{n}.py", True), ("p{n}.egg-info/m.py", True), ("a/node_modules/b{n}.js", True), ("envoy/k{n}.py", False))
+IGNORED = (("docs/build{n}.min.js", True), ("vendor/lib/q{n}.go", True), ("logs/a/b{n}.log", True), ("logs/keep.log", False), ("keep/vendor{n}.txt", False), ("docs/r{n}.txt", True), ("x/docs/r{n}.txt", False), ("a/gen/b{n}/c.ts", True))
+RULES = ("# comment", "", "*.min.js", "vendor/", "*.log", "!logs/keep.log", "/docs/*.txt", "a/**/c.ts")
 
 
-@query("SELECT path, path IN ('venv311/x.py', 'env/y.py', '.git/h.py', 'pkg.egg-info/m.py', 'a/node_modules/b.js') AS skipped FROM (SELECT unnest([" + ", ".join(f"'{p}'" for p in PATHS) + "]) AS path)")
+def path_sql(made: tuple) -> str:
+    """An SQL expression of the path made for a part, the same in both engines."""
+    return "replace(CASE " + " ".join(f"WHEN p_partkey % {len(made)} = {i} THEN '{p}'" for i, (p, _) in enumerate(made)) + " END, '{n}', CAST(p_partkey AS VARCHAR(20)))"
+
+
+def verdict_sql(made: tuple) -> str:
+    return f"p_partkey % {len(made)} IN ({', '.join(str(i) for i, (_, yes) in enumerate(made) if yes)})"
+
+
+@query(f"SELECT {path_sql(SKIPPED)} AS path, {verdict_sql(SKIPPED)} AS skipped FROM part")
 def scan_skip_dirs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").withColumn("skipped", scan.skipped(F.col("path")))
+    return table(spark, sf, "part").select(F.expr(path_sql(SKIPPED)).alias("path")).withColumn("skipped", scan.skipped(F.col("path")))
 
 
-@query("SELECT path, path IN ('docs/build.min.js', 'vendor/lib/q.go', 'logs/a/b.log') AS ignored FROM (SELECT unnest([" + ", ".join(f"'{p}'" for p in PATHS) + "]) AS path)")
+@query(f"SELECT {path_sql(IGNORED)} AS path, {verdict_sql(IGNORED)} AS ignored FROM part")
 def ignore_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").withColumn("ignored", scan.ignored(F.col("path"), scan.parse_rules(RULES)))
+    return table(spark, sf, "part").select(F.expr(path_sql(IGNORED)).alias("path")).withColumn("ignored", scan.ignored(F.col("path"), scan.parse_rules(RULES)))
 
 
 @query("SELECT url, host, path FROM (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
@@ -244,35 +256,131 @@ def content_copies(spark: SparkSession, sf: str) -> DataFrame:
 # ---- tokens and signals
 
 
-@query("""SELECT * FROM (VALUES ('a', 0, 0, 3, 'class', '', 'int'), ('a', 0, 4, 1, 'variable', 'readonly,static', 'x'), ('a', 2, 2, 3, 'unknown_9', '', 'ret'), ('b', 7, 0, 2, 'class', '', ''))
-    AS t(file_path, line, start_char, length, token_type, modifiers, text)""")
+@query("""SELECT 's' || s_suppkey AS file_path, CAST(s_nationkey AS INT) AS line, unnest([2, 7]) AS start_char, unnest([3, 1]) AS length, unnest([['class', 'variable', 'unknown_2'][s_suppkey % 3 + 1], 'unknown_9']) AS token_type,
+      unnest([concat_ws(',', CASE WHEN s_suppkey % 4 // 2 = 1 THEN 'abstract' END, CASE WHEN s_suppkey % 8 // 4 = 1 THEN 'readonly' END, CASE WHEN s_suppkey % 2 = 1 THEN 'static' END), '']) AS modifiers,
+      unnest([CASE WHEN s_nationkey < 20 THEN 'cde' ELSE '' END, CASE WHEN s_nationkey < 20 THEN 'h' ELSE '' END]) AS text FROM supplier""")
 def tokens_decode(spark: SparkSession, sf: str) -> DataFrame:
-    types, mods, lines = ["class", "variable"], ["static", "abstract", "readonly"], ["int x;", "", "  return x;"]
-    rows = [("a", [0, 0, 3, 0, 0, 0, 4, 1, 1, 5, 2, 2, 3, 9, 0], types, mods, lines), ("b", [7, -3, 2, 0, 0], types, mods, lines), ("c", [1, 2, 3], types, mods, lines), ("d", None, types, mods, lines)]
-    raw = spark.createDataFrame(rows, "file_path string, data array<int>, token_types array<string>, token_modifiers array<string>, lines array<string>")
+    """Two tokens of a file for every supplier, on the line of its nation's number, of twenty lines."""
+    data = F.array(*(x.cast("int") for x in (F.col("s_nationkey"), F.lit(2), F.lit(3), F.col("s_suppkey") % 3, F.col("s_suppkey") % 8, F.lit(0), F.lit(5), F.lit(1), F.lit(9), F.lit(0))))
+    raw = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("file_path"), data.alias("data"), F.array(F.lit("class"), F.lit("variable")).alias("token_types"), F.array(*map(F.lit, ("static", "abstract", "readonly"))).alias("token_modifiers"), F.array_repeat(F.lit("abcdefghij"), 20).alias("lines"))
     return tokens.tokens(raw).withColumn("modifiers", F.array_join("modifiers", ","))
 
 
-@query("""SELECT key, value, count(*) AS units FROM (SELECT unnest(['async.present', 'type_system', 'module_system', 'operator.plus.present']) AS key,
-    unnest(['no', 'none', 'none', CASE WHEN p_size % 4 = 0 AND p_partkey % 5 <> 2 THEN 'yes' ELSE 'no' END]) AS value FROM part) GROUP BY ALL""")
-def signals_javascript(spark: SparkSession, sf: str) -> DataFrame:
-    """Signals of the part corpus; the oracle knows them by how the functions were made."""
-    units = corpus.part_files(spark, sf).select(F.col("p_partkey").alias("unit_id"), F.col("text").alias("code"))
-    return signals.brace_signals(units).groupBy("key", "value").agg(F.count("*").alias("units"))
+def signal_query(language: str) -> None:
+    """A query of a language's signals over a text for every part; its SQL has the signals that each text must show."""
+    made = texts.TEXTS[language]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(k)}, {quoted(v)}, CAST({p} AS DOUBLE))" for i, (_, found) in enumerate(made) for k, v, p in found)
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        code = F.element_at(F.array(*(F.lit(t) for t, _ in made)), (F.col("p_partkey") % len(made) + 1).cast("int"))
+        units = table(spark, sf, "part").select(F.col("p_partkey").alias("unit_id"), F.lit(language).alias("language"), code.alias("code"))
+        return signals.signals(units).groupBy("key", "value", "confidence").agg(F.count("*").alias("units"))
+
+    run.__name__ = f"signals_{language}"
+    query(f"SELECT key, value, confidence, count(*) AS units FROM part JOIN (VALUES {rows}) AS t(i, key, value, confidence) ON p_partkey % {len(made)} = t.i GROUP BY ALL")(run)
+
+
+for _language in texts.TEXTS:
+    signal_query(_language)
+
+
+# ---- units by language
+
+#: A text for each language (its functions numbered), and its units: name, type, block type, first and last line.
+UNITS = {
+    "c": ("#define X(a) { a\nstatic int f{n}(int a)\n{\n  // open {\n  for (;;) {\n    if (a > '{') {\n      a++;\n    }\n  }\n  return a;\n}\n", [("f{n}", "function", None, 2, 11), ("f{n}.for_1", "block", "for", 5, 9), ("f{n}.for_1.if_1", "block", "if", 6, 8)]),
+    "cpp": ("namespace n {\nclass K{n} {\n  int get() const {\n    while (x) {\n      y();\n    }\n  }\n};\n}\nvoid K{n}::run(int z) {\n}\n", [("K{n}", "class", None, 2, 8), ("get", "method", None, 3, 7), ("get.while_1", "block", "while", 4, 6), ("run", "method", None, 10, 11)]),
+    "java": ("package p;\npublic class K{n} {\n  @Override\n  public int m{n}(int a) throws E {\n    try {\n      go();\n    } catch (E e) {\n    }\n  }\n}\n", [("K{n}", "class", None, 2, 10), ("m{n}", "method", None, 3, 9), ("m{n}.try_1", "block", "try", 5, 7)]),
+    "go": ("package p\n\ntype T{n} struct {\n  a int\n}\n\nfunc (t *T{n}) M(a int) (int, error) {\n  for {\n    x()\n  }\n}\n", [("T{n}", "class", None, 3, 5), ("M", "method", None, 7, 11), ("M.for_1", "block", "for", 8, 10)]),
+    "javascript": ("class K{n} {\n  m(a) {\n    if (a) {\n      b();\n    }\n  }\n}\nconst f{n} = (x) => {\n  return x;\n};\n", [("K{n}", "class", None, 1, 7), ("m", "method", None, 2, 6), ("m.if_1", "block", "if", 3, 5), ("f{n}", "function", None, 8, 10)]),
+    "typescript": ("export function f{n}<T>(a: T[], b?: number): T {\n  for (const x of a as T[]) {\n    use(x!);\n  }\n  return a[0];\n}\n", [("f{n}", "function", None, 1, 6), ("f{n}.for_of_1", "block", "for_of", 2, 4)]),
+}
+
+
+def unit_query(language: str) -> None:
+    text, found = UNITS[language]
+    numbered = lambda x: "NULL" if x is None else f"replace('{x}', '{{n}}', CAST(p_partkey AS VARCHAR))"
+    rows = " UNION ALL ".join(f"SELECT p_partkey, {numbered(n)} AS name, '{t}' AS unit_type, {'NULL' if b is None else repr(b)} AS block_type, {first} AS line_start, {last} AS line_end FROM part" for n, t, b, first, last in found)
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        code = F.replace(F.lit(text), F.lit("{n}"), F.col("p_partkey").cast("string"))
+        files = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("file_path"), F.lit(language).alias("language"), code.alias("text"))
+        return extract.units(files).select(F.col("file_path").cast("long").alias("p_partkey"), "name", "unit_type", "block_type", "line_start", "line_end")
+
+    run.__name__ = f"units_{language}"
+    query(rows)(run)
+
 
+for _language in UNITS:
+    unit_query(_language)
 
-@query("""SELECT s_suppkey AS pair_id, CASE WHEN pa = pb THEN 'compatible' ELSE 'different' END AS verdict FROM (
-    SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN CASE s_suppkey % 3 WHEN 2 THEN 'numeric' ELSE 'unknown' END END AS pa,
-      lead(CASE WHEN s_nationkey % 4 = 0 THEN CASE s_suppkey % 3 WHEN 2 THEN 'numeric' ELSE 'unknown' END END) OVER (ORDER BY s_suppkey) AS pb, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS nxt FROM supplier)
-    WHERE nxt = s_suppkey + 1 AND (pa IS NULL OR pb IS NULL OR pa = pb) UNION ALL
-    SELECT s_suppkey, 'different' FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN CASE s_suppkey % 3 WHEN 2 THEN 'numeric' ELSE 'unknown' END END AS pa,
-      lead(CASE WHEN s_nationkey % 4 = 0 THEN CASE s_suppkey % 3 WHEN 2 THEN 'numeric' ELSE 'unknown' END END) OVER (ORDER BY s_suppkey) AS pb, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS nxt FROM supplier) WHERE nxt = s_suppkey + 1 AND pa <> pb""".replace("CASE WHEN pa = pb THEN 'compatible' ELSE 'different' END", "'compatible'"))
+
+@query("SELECT count(*) AS size FROM (SELECT p_partkey % 5 AS k, p_size % 4 AS o, p_size % 3 AS s FROM part) GROUP BY k, o, s HAVING count(*) >= 2")
+def javascript_dups(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of exact groups of the part corpus read as JavaScript; the oracle knows them by how they were made."""
+    files = corpus.part_files(spark, sf).withColumn("language", F.lit("javascript"))
+    return dup.exact(trees.entries(extract.units(files))).select("size")
+
+
+@query("""SELECT kind AS block_type, count(*) AS size FROM (SELECT unnest(CASE p_partkey % 5 WHEN 1 THEN ['for'] WHEN 2 THEN ['if'] WHEN 3 THEN ['while', 'if'] WHEN 4 THEN ['try'] ELSE [] END) AS kind,
+      CASE WHEN p_partkey % 5 = 2 THEN 'two' ELSE CAST(p_partkey % 5 AS VARCHAR) || CAST(p_size % 4 AS VARCHAR) END AS key FROM part) WHERE kind IN ('for', 'while', 'try') GROUP BY kind, key HAVING count(*) >= 2""")
+def dup_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of groups of duplicate blocks of three types."""
+    e = written(trees.entries(extract.units(corpus.part_files(spark, sf))), "units")
+    groups = dup.blocks(e, 3, ["for", "while", "try"])
+    kinds = dup.members(e.where("unit_type = 'block'"), groups, "wl_hash").groupBy(F.col("wl_hash").alias("group_hash")).agg(F.min("block_type").alias("block_type"))
+    return groups.join(kinds, "group_hash").select("block_type", "size")
+
+
+@query(f"""{EXACT_SQL}, p AS (SELECT pattern_hash AS h, count(*) AS n, min(line_end) AS lines, bool_and(starts_with(file_path, 'tests/')) AS is_test, count(DISTINCT wl_hash) AS n_wl, min(wl_hash) AS w FROM entries_parts WHERE node_count >= 5 GROUP BY 1 HAVING count(*) >= 2),
+    g AS (SELECT 'exact' AS kind, wl_hash AS h, count(*) AS n, min(line_end) AS lines, bool_and(starts_with(file_path, 'tests/')) AS is_test FROM entries_parts WHERE node_count >= 5 GROUP BY 2 HAVING count(*) >= 2
+      UNION ALL SELECT 'pattern', h, n, lines, is_test FROM p WHERE NOT (n_wl = 1 AND w IN (SELECT wl_hash FROM entries_parts GROUP BY 1 HAVING count(*) > 1)))
+    SELECT kind, is_test, count(*) AS findings, CAST(sum(n) AS BIGINT) AS locations, CAST(sum(lines * n) AS BIGINT) AS lines FROM g GROUP BY ALL""")
+def report_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The analysis of the part corpus, summed up by kind."""
+    return report.summary_table(report.findings(corpus.part_index(spark, sf)))
+
+
+@query(f"""{EXACT_SQL}, {FIRST_SQL} SELECT group_hash AS hash, 'why' AS reason, count(*) AS entry_count, arg_min(name, file_path) AS source_name, arg_min(substr(code, 1, 200), file_path) AS code_preview, count(DISTINCT file_path) AS n_files,
+      min(file_path) AS primary_file FROM sup JOIN entries_parts e ON wl_hash = group_hash JOIN parts USING (unit_id, file_path, name) GROUP BY 1""")
+def suppress_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppressions with what they keep of the three largest groups."""
+    e = corpus.part_index(spark, sf)
+    meta = maintenance.metadata_of(corpus.part_files(spark, sf).withColumn("mtime", F.lit(0.0)), e, 0.0)
+    rows = maintenance.suppressions(e, suppressed_three(e), meta, 0.0, "why")
+    return rows.select("hash", "reason", "entry_count", "source_name", "code_preview", F.size("source_files").cast("long").alias("n_files"), F.try_element_at("source_files", F.lit(1)).alias("primary_file"))
+
+
+@query("""WITH p AS (SELECT p_partkey, [1, 2, 2, 3, 2][p_partkey % 5 + 1] AS units, CASE WHEN p_partkey % 10 = 0 THEN 'added' WHEN p_partkey % 10 = 1 THEN 'removed' WHEN p_partkey % 10 = 2 THEN 'updated' ELSE 'unchanged' END AS status FROM part)
+    SELECT status, count(*) AS files, CAST(sum(CASE status WHEN 'removed' THEN 0 WHEN 'updated' THEN 1 ELSE units END) AS BIGINT) AS entries FROM p GROUP BY 1""")
+def incremental_index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of nine files of ten, brought up to date: a tenth is new, one is gone and one has other text."""
+    all_ = corpus.part_files(spark, sf).withColumn("mtime", F.lit(0.0))
+    key = F.col("p_partkey") % 10
+    before = all_.where(key != 0)
+    e = written(maintenance.with_ids(trees.entries(extract.units(before))), "before")
+    now = all_.where(key != 1).withColumn("text", F.when(key == 2, F.lit("int f(int a) {\n  return a;\n}\n")).otherwise(F.col("text")))
+    after, _, what = maintenance.incremental(now, e, maintenance.metadata_of(before, e, 0.0), 1.0)
+    counts = after.groupBy("file_path").agg(F.count("*").alias("n"))
+    return what.join(counts, "file_path", "left").groupBy("status").agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"))
+
+
+@query(f"{EXACT_SQL} SELECT group_hash, arg_min(name, (length(name), name)) AS suggested_name FROM ex JOIN entries_parts ON wl_hash = group_hash WHERE node_count >= 5 GROUP BY 1")
+def recommend_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names for what duplicates may become; the part corpus' names have no part in common."""
+    e = corpus.part_index(spark, sf).where("node_count >= 5")
+    return recommend.suggested_names(e, "wl_hash", dup.exact(e))
+
+
+@query("""WITH s AS (SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 AND s_suppkey % 3 < 2 THEN 'unknown' WHEN s_nationkey % 4 = 0 THEN 'numeric' END AS plus FROM supplier),
+    n AS (SELECT a.s_suppkey, a.plus AS pa, b.plus AS pb FROM s a JOIN s b ON b.s_suppkey = a.s_suppkey + 1) SELECT s_suppkey AS pair_id, CASE WHEN pa <> pb THEN 'different' ELSE 'compatible' END AS verdict FROM n""")
 def compare_semantic(spark: SparkSession, sf: str) -> DataFrame:
     """Each supplier's Python function against the next one's, by signals."""
-    units = python_files(spark, sf).select(F.regexp_extract("file_path", "([0-9]+)", 1).cast("long").alias("unit_id"), F.col("text").alias("code"))
+    units = python_files(spark, sf).select(F.regexp_extract("file_path", "([0-9]+)", 1).cast("long").alias("unit_id"), "language", F.col("text").alias("code"))
     pairs = units.select(F.col("unit_id").alias("pair_id"), F.col("unit_id").alias("a"), (F.col("unit_id") + 1).alias("b"))
     pairs = pairs.join(units.select(F.col("unit_id").alias("b")), "b", "left_semi")
-    return signals.compare(pairs, signals.syntax_signals(units)).select("pair_id", "verdict")
+    return signals.compare(pairs, signals.signals(units)).select("pair_id", "verdict")
 
 
 # ---- events
@@ -291,3 +399,10 @@ def debounce(spark: SparkSession, sf: str) -> DataFrame:
 def storm(spark: SparkSession, sf: str) -> DataFrame:
     """Events at which over 512 lie within the last day, and the most that do."""
     return ev.storm_peaks(ev.file_events(table(spark, sf, "events")), 86_400, 512)
+
+
+@query()
+def storm_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """How many events of each type a quarantine suppresses: more than two in a day are a storm, for two days."""
+    e = ev.file_events(table(spark, sf, "events")).withColumn("root", F.col("event_type"))
+    return storms.quarantines(e, 2, 86_400.0, 172_800.0).select("root", "suppressed")

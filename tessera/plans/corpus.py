@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import trees
+from tessera.sources.scratch import written
 
 #: Bodies of the made functions; OP stands for an operator.
 BODIES = (
@@ -19,7 +20,7 @@ OPS = ("+", "-", "*", "/")
 PYTHON_BODIES = (
     "    x = a OP b\n    return x",
     "    for i in range(b):\n        a = a OP i\n    return a",
-    "    if a > 3:\n        while b:\n            b = b OP 1\n    return a",
+    "    if a > 3:\n        while b:\n            b = 2 OP 1\n    return a",
 )
 
 
@@ -49,6 +50,11 @@ def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.entries(units)
 
 
+def part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part_entries, written once: for queries that read them more than once."""
+    return written(part_entries(spark, sf_dir), "part-index")
+
+
 def supplier_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snippet for every supplier, as entries with probe_id."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("probe_id"), F.lit("c").alias("language"), F.expr(code_expr("s_suppkey", "(s_suppkey + s_nationkey)")).alias("code"))

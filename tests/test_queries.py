@@ -28,6 +28,8 @@ def test_query(spark, duck, name):
     cols = sorted(df.columns)
     got = sorted((tuple(rounded(r[c]) for c in cols) for r in df.collect()), key=str)
     assert got
+    if name not in catalog.ORACLES:
+        return
     cur = duck.execute(catalog.ORACLES[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
