@@ -1,12 +1,15 @@
 """Near-duplicates by the exact Jaccard similarity of sets of word shingles.
 
 1. Texts with equal sets fold to one node, the smallest doc_id of them.
-2. Each set gives BANDS keys of ROWS minimum hashes. Sets that share a key are candidates: of similarity s with a
-   probability of 1 - (1 - s^ROWS)^BANDS, which is 0.999997 at 0.8. In each key the nodes hang on the smallest, and what
-   hangs together is a loose group: a place to search, no verdict.
-3. In a loose group all pairs of sets are compared exactly, whether they shared a key or not, but those already known to
+2. The texts' SimHash fingerprints are linked by the vantage-point trees of ``simhash``; nodes of one component are
+   candidates. That finds what differs in a few places. A similarity of 0.8 lets fingerprints differ in 15 % of their
+   bits, a ball in which no vantage point tells random texts apart; so
+3. each set gives BANDS keys of ROWS minimum hashes too, and sets that share a key are candidates: of similarity s with
+   a probability of 1 - (1 - s^ROWS)^BANDS, which is 0.999997 at 0.8. In each key, and in each component, the nodes hang
+   on the smallest, and what hangs together is a loose group: a place to search, no verdict.
+4. In a loose group all pairs of sets are compared exactly, whether they shared a key or not, but those already known to
    hang together. A large group is dealt into tiles: parts of it, each pair of parts being one task.
-4. Components are formed from the links that reach the similarity, and from no others.
+5. Components are formed from the links that reach the similarity, and from no others.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Groups, by_group, components, partitions, starts, trim, written
-from tessera.llm.simhash import SEED, shingle_hashes
+from tessera.llm.simhash import SEED, bit_counts, near_groups, shingle_hashes
 from tessera.llm.textops import mix
 
 BANDS, ROWS = 32, 5
@@ -50,25 +53,39 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(text: str | None, width: int) -> tuple[bytes, np.ndarray, bytes]:
+    """The MD5 of a text's set, the set's keys, and the text's fingerprint, from one pass over its shingles."""
+    parts, counts, n = [], np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, width):
+        parts.append(np.unique(h))
+        counts += bit_counts(h)
+        n += len(h)
+    own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return hashlib.md5(own.tobytes()).digest(), band_keys(own), np.packbits(counts * 2 > n).tobytes()
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, digest, keys): the MD5 of a text's set, and the set's keys."""
+    """(doc_id, digest, keys, fp) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), width) for t in b.column(1)]
-            digests = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), digests, pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "digest", "keys"])
+            digests, keys, fps = zip(*(sketch(t.as_py(), width) for t in b.column(1))) if b.num_rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.binary())], ["doc_id", "digest", "keys", "fp"])
         trim()
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, keys array<long>, fp binary")
 
 
-def loose_groups(classes: DataFrame) -> DataFrame:
-    """(node, root) of the nodes that share a key with another, root naming what hangs together."""
+def loose_groups(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that share a key, or a component of near (doc_id, component_id), with another; root names
+    what hangs together."""
+    own = written(classes.select("rep").join(near, F.col("rep") == F.col("doc_id")).select("rep", "component_id").distinct(), "near-nodes")
+    least = own.groupBy("component_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("component_id", "low")
+    close = own.join(least, "component_id").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     rows = classes.select("rep", F.explode("keys").alias("key"))
     first = written(rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "low"), "first-keys")
     edges = rows.join(first, "key").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    found = written(components(edges), "loose")
+    found = written(components(edges.unionByName(close)), "loose")
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -139,7 +156,8 @@ def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFr
     sketched = written(sketches(rows, width), "sketches")
     named = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"))
     classes = written(named, "classes")
-    loose = written(loose_groups(classes), "loose-groups")
+    near = near_groups(sketched.select("doc_id", "fp")).select("doc_id", "component_id")
+    loose = written(loose_groups(classes, near), "loose-groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
