@@ -16,7 +16,8 @@ def test_index_to_check(spark, tmp_path, capsys):
     out = run("duplicates", base)[1]
     assert out.count("\n") == 1 and "x2 a.py:add:L1-3 b.py:plus:L1-3" in out
     assert run("check", base, str(root / "skip.py"))[1] == "STOP\n"
-    assert "consolidate" in run("recommend", base)[1] or "extract_utility" in run("recommend", base)[1]
+    assert " consolidate " in run("recommend", base)[1]
+    assert run("duplicates", base, "--json")[1].startswith('{"hash": ') and run("doctor")[1].count("\n") == 7
     assert run("compare", str(root / "a.py"), str(root / "b.py"))[1] == "equivalent\n"
     run("index", base, str(root))
     run("index", base, str(root))
