@@ -165,7 +165,8 @@ def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.binary())], ["root", "rep", "own"])
         trim()
 
-    texts = rows.join(loose, rows.doc_id == loose.node).select("root", F.col("doc_id").alias("rep"), "text")
+    # a merge join at every size: what is joined with texts grows with them
+    texts = rows.join(loose.hint("merge"), rows.doc_id == loose.node).select("root", F.col("doc_id").alias("rep"), "text")
     sets = written(texts.mapInArrow(run, "root long, rep long, own binary"), "sets")
     same = sketched.join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").where("doc_id <> rep")
     links = exact_links(sets, similarity).unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
