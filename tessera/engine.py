@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.operators import content, extract, maintenance, recommend, report, trees
 from tessera.operators import duplicates as dup
 from tessera.sources import paths, scan, store
+from tessera.sources.scratch import written
 from tessera.streaming import events as ev
 from tessera.streaming.storms import Watchers
 
@@ -75,7 +76,7 @@ class Engine:
         if self.table("entries") is not None:
             return self.sync()
         files = scan.files(self.spark, path, self.rules(), recursive)
-        entries = maintenance.with_ids(trees.entries(extract.units(files)))
+        entries = written(maintenance.with_ids(trees.entries(extract.units(files))), "entries")
         at = time.time()
         store.save({"entries": entries, "metadata": maintenance.metadata_of(files, entries, at), "suppressions": self.known()}, self.location)
         return self._stats()
@@ -105,7 +106,7 @@ class Engine:
 
     def _apply(self, changed: DataFrame, removed: DataFrame | None) -> str:
         """Writes a delta of files that changed and files that went."""
-        entries = maintenance.with_ids(trees.entries(extract.units(changed)))
+        entries = written(maintenance.with_ids(trees.entries(extract.units(changed))), "entries")
         meta = maintenance.metadata_of(changed, entries, time.time())
         gone = changed.select("file_path") if removed is None else changed.select("file_path").unionByName(removed.select("file_path"))
         both = gone.select(F.explode(F.array(F.lit("entries"), F.lit("metadata"))).alias("table"), F.col("file_path").alias("key"))

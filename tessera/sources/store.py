@@ -59,13 +59,15 @@ def save(tables: dict[str, DataFrame], root: str) -> str:
 def save_delta(spark: SparkSession, root: str, gone: DataFrame | None = None, **came: DataFrame) -> str:
     """Writes what changed: gone (table, key) names rows that went by their table and its key (a file's path, a
     suppression's hash), and rows that came replace those of their keys. Returns the delta's name."""
-    parts = [came[t].select(F.lit(t).alias("table"), F.col(TABLES[t]).alias("key")).distinct() for t in came]
     out = gone.select("table", "key") if gone is not None else None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    if out is None:
+    if out is None and not came:
         raise ValueError("nothing changed")
-    return _write(spark, root, _new(spark, root, DELTA), {"gone": out.distinct(), **came})
+    name = _new(spark, root, DELTA)
+    for t, df in came.items():
+        df.write.parquet(f"{root}/{name}/{t}")
+        keys = spark.read.schema(df.schema).parquet(f"{root}/{name}/{t}").select(F.lit(t).alias("table"), F.col(TABLES[t]).alias("key"))
+        out = keys if out is None else out.unionByName(keys)
+    return _write(spark, root, name, {"gone": out.distinct()})
 
 
 def _has(spark: SparkSession, root: str, name: str, table: str) -> bool:
