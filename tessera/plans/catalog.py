@@ -242,12 +242,6 @@ def ignore_rules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.expr(path_sql(IGNORED)).alias("path")).withColumn("ignored", scan.ignored(F.col("path"), scan.parse_rules(RULES)))
 
 
-@query("SELECT url, host, path FROM (SELECT url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
-def page_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as a tree of files: host and path of each url."""
-    return table(spark, sf, "pages").select("url", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
-
-
 @query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def content_copies(spark: SparkSession, sf: str) -> DataFrame:
     return maintenance.content_copies(table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "text")).withColumnRenamed("first_file", "first_doc")
