@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 5
 #: Shingles that are hashed for all keys at a time.
 BLOCK = 1 << 10
 #: Bytes of sets in a part of a loose group, at least.
-PART = 4 << 20
+PART = 2 << 20
 _rng = np.random.default_rng(SEED)
 MULT = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -146,7 +146,7 @@ def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
         far = rep[root] != rep
         return pa.RecordBatch.from_arrays([pa.array(rep[root[far]]), pa.array(rep[far])], ["a", "b"])
 
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(by_group(process, keys, 1000), "a long, b long")
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(by_group(process, keys, 500), "a long, b long")
 
 
 def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFrame:

@@ -43,7 +43,7 @@ LANES = np.uint64(0x0101010101010101)
 #: Shingles that are hashed at a time: bounds the memory that one very long text takes.
 BLOCK = 1 << 16
 #: Rows of whole shards that are searched together.
-ROWS = 40_000
+ROWS = 20_000
 
 
 def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
