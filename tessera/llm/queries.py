@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html, mixing, pieces, quality, simhash, substring, tokenids, topk, toxicity, warc
+from tessera.llm import centroids, html, mixing, pieces, quality, simhash, substring, tokenids, topk, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_topk_branch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op11_centroid_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the pipeline stands at the repository's top, above this subpackage
     import corpus_pipeline
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining}
+QUERIES = {"pipeline": pipeline, "op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining, "op11_centroid_screening": op11_centroid_screening}
 
 #: Sweeps that the SQL spells out: by then the raked cells have settled to far more digits than are compared.
 SQL_SWEEPS = 25
@@ -104,7 +108,30 @@ def raking_sql() -> str:
         FROM e LEFT JOIN p ON e.s = p.source AND e.l = p.lang AND e.topic = p.topic"""
 
 
+def clustering_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64) -> str:
+    """Every round as two common table expressions: who is nearest, and where the centroids go."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+            SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (
+                SELECT r, c, list_sum(list_transform(list_zip(x.v, k{i}.v), lambda z: CAST(z[1] - z[2] AS HUGEINT) * (z[1] - z[2]))) AS d FROM x, k{i}) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT best.c AS c, unnest(v) AS x, unnest(range({dims})) AS pos FROM a{i} JOIN x USING (r)),
+            m{i} AS (SELECT c, pos, CAST(sum(x) AS HUGEINT) AS t, CAST(count(*) AS HUGEINT) AS n FROM s{i} GROUP BY ALL),
+            k{i + 1} AS MATERIALIZED (SELECT k{i}.c, coalesce(w.v, k{i}.v) AS v FROM k{i} LEFT JOIN (SELECT c, list(CAST((t - ((t % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS v FROM m{i} GROUP BY c) w ON w.c = k{i}.c)""")
+    return f"""
+        WITH x AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: CAST(floor({scale} * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        k0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM x ORDER BY h, v LIMIT {k})),
+        {", ".join(steps)}
+        SELECT vec_id, best.c AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k{rounds}.v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN x USING (r) JOIN k{rounds} ON k{rounds}.c = best.c"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_centroid_screening": clustering_sql(),
     "op7_raked_mixture": raking_sql(),
     "op1_warc_index": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
