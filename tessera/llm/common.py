@@ -52,6 +52,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    ours = shared_dir(spark).split(":", 1)[-1].lstrip("/") + "/"
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.split(":", 1)[-1].lstrip("/").startswith(ours):
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import centroids, html, mixing, pieces, quality, simhash, substring, tokenids, topk, toxicity, warc
+from tessera.llm import centroids, html, mixing, phrases, pieces, quality, simhash, substring, tokenids, topk, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op11_centroid_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), min_count=30, share=80, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the pipeline stands at the repository's top, above this subpackage
     import corpus_pipeline
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining, "op11_centroid_screening": op11_centroid_screening}
+QUERIES = {"pipeline": pipeline, "op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining, "op11_centroid_screening": op11_centroid_screening, "op12_phrase_collocations": op12_phrase_collocations}
 
 #: Sweeps that the SQL spells out: by then the raked cells have settled to far more digits than are compared.
 SQL_SWEEPS = 25
@@ -133,6 +137,25 @@ def clustering_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64
 ORACLES: dict[str, str] = {
     "op11_centroid_screening": clustering_sql(),
     "op7_raked_mixture": raking_sql(),
+    "op12_phrase_collocations": """
+        WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+              FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+                SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)) GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS i FROM c),
+        s AS (SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, x.a AS l, y.a AS r, i, CAST(CAST(cuts.a AS HUGEINT) * 2000000 // (x.a + y.a) AS BIGINT) AS score FROM cuts
+              JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[:i], ' ') AND x.k = i
+              JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[i + 1:], ' ') AND y.k = cuts.k - i),
+        best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase, k ORDER BY score, i) = 1),
+        inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS cover FROM (
+            SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best LEFT JOIN inside USING (lang, phrase) JOIN n USING (lang) WHERE cover IS NULL OR 100 * cover < 80 * a QUALIFY rank <= 2000""",
     "op1_warc_index": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
         k AS (SELECT html, max(page_id) AS kept FROM p WHERE strlen(html) >= 1000 GROUP BY html)
