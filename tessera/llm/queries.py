@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import centroids, html, mixing, phrases, pieces, quality, simhash, substring, tokenids, topk, toxicity, warc
+from tessera.llm import centroids, html, jaccard, mixing, phrases, pieces, quality, simhash, substring, tokenids, topk, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), min_count=30, share=80, top=2000)
 
 
+def op13_shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the pipeline stands at the repository's top, above this subpackage
     import corpus_pipeline
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining, "op11_centroid_screening": op11_centroid_screening, "op12_phrase_collocations": op12_phrase_collocations}
+QUERIES = {"pipeline": pipeline, "op5_unigram_pieces": op5_unigram_pieces, "op7_raked_mixture": op7_raked_mixture, "op3_html_blocks_lstm": op3_html_blocks_lstm, "op2_toxicity_nnpu": op2_toxicity_nnpu, "op4_risk_controlled_rules": op4_risk_controlled_rules, "op10_topk_branch_bound": op10_topk_branch_bound, "op1_warc_index": op1_warc_index, "op8_token_ids": op8_token_ids, "op6_simhash_vptree": op6_simhash_vptree, "op9_substring_chaining": op9_substring_chaining, "op11_centroid_screening": op11_centroid_screening, "op12_phrase_collocations": op12_phrase_collocations, "op13_shingle_jaccard_join": op13_shingle_jaccard_join}
 
 #: Sweeps that the SQL spells out: by then the raked cells have settled to far more digits than are compared.
 SQL_SWEEPS = 25
@@ -137,6 +141,17 @@ def clustering_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64
 ORACLES: dict[str, str] = {
     "op11_centroid_screening": clustering_sql(),
     "op7_raked_mixture": raking_sql(),
+    "op13_shingle_jaccard_join": """
+        WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE doc_id IS NOT NULL),
+        w AS (SELECT r, doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM t),
+        s AS MATERIALIZED (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        both AS (SELECT a.r AS x, b.r AS y, a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+        links AS MATERIALIZED (SELECT DISTINCT i, j FROM both JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c) AND i <> j),
+        sides AS MATERIALIZED (SELECT i, j FROM links UNION SELECT j, i FROM links),
+        reach AS (SELECT i, j FROM sides UNION SELECT reach.i, sides.j FROM reach JOIN sides ON reach.j = sides.i),
+        c AS (SELECT i, min(j) AS low FROM reach GROUP BY i)
+        SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(low, t.doc_id)) AS component_id FROM t LEFT JOIN n USING (r) LEFT JOIN c ON c.i = t.doc_id""",
     "op12_phrase_collocations": """
         WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
                           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
