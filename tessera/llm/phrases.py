@@ -8,9 +8,10 @@ phrases that lie in it are all found by following them, and no text is compared
    words with their counts.
 2. Counts of a level's pairs are added up over chunks (in a chunk each pair stands once, so a hot word or pair is one row a
    chunk), and those of at least min_count get ids by being written.
-3. Chunks tell which frequent pairs they hold, the ids are joined with these, grouped by chunk and joined with the streams,
-   in which they replace the pairs. So that not every rare pair of every chunk is sent, a bitmap of the frequent ones goes to
-   the tasks: its size is fixed (BITS), a full one only sends more.
+3. Chunks count the pairs of neighbouring pairs, and the frequent ones are named by joining the ids of both. Then chunks tell
+   which of these they hold, the ids are joined with that, grouped by chunk and joined with the streams, where they stand in
+   for three words from then on. So that not every rare pair of every chunk is sent, bitmaps of the frequent ones go to the
+   tasks: their size is fixed (BITS), a full one only sends more.
 4. A phrase's row joins its parents' rows: text, counts of all its beginnings and ends (the cuts), and the ids of phrases
    within it (subsumption).
 
@@ -110,34 +111,52 @@ def numbered(counts: DataFrame, keys: list[str], least: int, name: str) -> DataF
     return written(often.withColumn("id", F.monotonically_increasing_id() + 1), name)
 
 
-def slot(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+def slot(parts: list[np.ndarray], bits: int) -> np.ndarray:
+    z = np.zeros(len(parts[0]), np.uint64)
     with np.errstate(over="ignore"):
-        z = mix(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(right.astype(np.uint64)))
+        for p in parts:
+            z = mix(z * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64))
     return (z % np.uint64(bits)).astype(np.int64)
 
 
-def bitmap(names: DataFrame, bits: int) -> np.ndarray:
-    """A bit for the slots of the pairs of names, gathered as at most bits / 64 words."""
+def bitmap(names: DataFrame, columns: list[str], bits: int) -> np.ndarray:
+    """A bit for the slots of the names, gathered as at most bits / 64 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits, bool)
         for b in batches:
-            own[slot(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)] = True
+            own[slot([c.to_numpy() for c in b.columns], bits)] = True
         packed = np.packbits(own, bitorder="little").view(np.int64)
         at = np.nonzero(packed)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], ["at", "bits"])
 
     out = np.zeros(bits // 64, np.int64)
-    found = names.select("l", "r").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = names.select(*columns).mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     out[found["at"].to_numpy()] = found["bits"].to_numpy()
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def pairs_of(stream: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs of neighbours in a stream whose numbers stand for ids: positions, keys, and key of each."""
-    s = np.frombuffer(stream, np.int32).astype(np.int64)
-    at = np.nonzero((s[:-1] > 0) & (s[1:] > 0))[0]
-    return at, s[at] * (len(ids) + 1) + s[at + 1], np.concatenate([[0], ids])
+class Pairs:
+    """The different pairs of neighbours in a stream whose numbers stand for ids: where they begin, which one, its ids."""
+
+    def __init__(self, stream: bytes, ids: np.ndarray):
+        s = np.frombuffer(stream, np.int32).astype(np.int64)
+        name = np.concatenate([[0], ids])
+        self.length = len(s)
+        self.at = np.nonzero((s[:-1] > 0) & (s[1:] > 0))[0]
+        keys, self.which, self.n = np.unique(s[self.at] * len(name) + s[self.at + 1], return_inverse=True, return_counts=True)
+        self.left, self.right = name[keys // len(name)], name[keys % len(name)]
+
+    def triples(self, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where triples begin of which the map knows both pairs, and their keys: the numbers of both pairs in one."""
+        good = often[slot([self.left, self.right], len(often))][self.which]
+        i = np.nonzero((np.diff(self.at) == 1) & good[:-1] & good[1:])[0]
+        return self.at[i], self.which[i] * len(self.n) + self.which[i + 1]
+
+    def ids(self, keys: np.ndarray) -> list[np.ndarray]:
+        """The three ids of triples."""
+        first, second = keys // max(1, len(self.n)), keys % max(1, len(self.n))
+        return [self.left[first], self.right[first], self.right[second]]
 
 
 def pair_counts(level: DataFrame) -> DataFrame:
@@ -146,46 +165,59 @@ def pair_counts(level: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for stream, ids in zip(b.column(0), b.column(1)):
-                _, key, name = pairs_of(stream.as_py(), ids.values.to_numpy())
-                key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(name[key // len(name)]), pa.array(name[key % len(name)]), pa.array(n.astype(np.int64))], ["l", "r", "n"])
+                p = Pairs(stream.as_py(), ids.values.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(p.left), pa.array(p.right), pa.array(p.n.astype(np.int64))], ["l", "r", "n"])
         trim()
 
     return level.select("stream", "ids").mapInArrow(run, "l long, r long, n long")
 
 
-def renamed(level: DataFrame, names: DataFrame, bits: int = BITS) -> DataFrame:
-    """The next level's streams: the ids of frequent pairs where they begin, 0 elsewhere."""
-    often = level.sparkSession.sparkContext.broadcast(bitmap(names, bits))
+def triple_counts(level: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(a, b, c, n): each different triple of a chunk whose pairs may both be frequent. pairs: their bitmap, as a broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for stream, ids in zip(b.column(0), b.column(1)):
+                p = Pairs(stream.as_py(), ids.values.to_numpy())
+                keys, n = np.unique(p.triples(pairs.value)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, p.ids(keys)), pa.array(n.astype(np.int64))], ["a", "b", "c", "n"])
+        trim()
+
+    return level.select("stream", "ids").mapInArrow(run, "a long, b long, c long, n long")
+
+
+def renamed(level: DataFrame, names: DataFrame, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """The streams of triples: the ids of frequent ones (a, b, c, id) where they begin, 0 elsewhere; without the chunks that
+    have none."""
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, stream, ids in zip(b.column(0), b.column(1), b.column(2)):
-                _, key, name = pairs_of(stream.as_py(), ids.values.to_numpy())
-                key = np.unique(key)
-                left, right = name[key // len(name)], name[key % len(name)]
-                may = often.value[slot(left, right, bits)]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * int(may.sum()), pa.string()), pa.array(key[may]), pa.array(left[may]), pa.array(right[may])], ["chunk", "key", "l", "r"])
+                p = Pairs(stream.as_py(), ids.values.to_numpy())
+                keys = np.unique(p.triples(pairs.value)[1])
+                keys = keys[triples.value[slot(p.ids(keys), len(triples.value))]]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * len(keys), pa.string()), pa.array(keys), *map(pa.array, p.ids(keys))], ["chunk", "key", "a", "b", "c"])
         trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, lang, stream, ids, known in zip(*b.columns):
-                at, key, _ = pairs_of(stream.as_py(), ids.values.to_numpy())
+            for chunk, stream, ids, known in zip(*b.columns):
+                p = Pairs(stream.as_py(), ids.values.to_numpy())
+                at, key = p.triples(pairs.value)
                 known = known.values
                 keys, new = known.field("key").to_numpy(), known.field("id").to_numpy()
                 order = np.argsort(keys)
                 keys, new = keys[order], new[order]
                 place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 hit = keys[place] == key
-                out = np.zeros(len(stream.as_py()) // 4, np.int32)
+                out = np.zeros(p.length, np.int32)
                 out[at[hit]] = place[hit] + 1
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([lang.as_py()]), pa.array([out.tobytes()], pa.binary()), pa.array([new], pa.list_(pa.int64()))], ["chunk", "lang", "stream", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([out.tobytes()], pa.binary()), pa.array([new], pa.list_(pa.int64()))], ["chunk", "stream", "ids"])
         trim()
 
-    held = level.select("chunk", "stream", "ids").mapInArrow(holds, "chunk string, key long, l long, r long")
-    known = held.join(names.select("l", "r", "id"), ["l", "r"]).groupBy("chunk").agg(F.collect_list(F.struct("key", "id")).alias("known"))
-    return level.join(known.hint("merge"), "chunk").select("chunk", "lang", "stream", "ids", "known").mapInArrow(run, "chunk string, lang string, stream binary, ids array<long>")
+    held = level.select("chunk", "stream", "ids").mapInArrow(holds, "chunk string, key long, a long, b long, c long")
+    known = held.join(names.select("a", "b", "c", "id"), ["a", "b", "c"]).groupBy("chunk").agg(F.collect_list(F.struct("key", "id")).alias("known"))
+    return level.join(known.hint("merge"), "chunk").select("chunk", "stream", "ids", "known").mapInArrow(run, "chunk string, stream binary, ids array<long>")
 
 
 def first_level(chunks: DataFrame, words: DataFrame) -> DataFrame:
@@ -195,15 +227,15 @@ def first_level(chunks: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, lang, stream, known in zip(*b.columns):
+            for chunk, stream, known in zip(*b.columns):
                 pos, new = known.values.field("pos").to_numpy(), known.values.field("id").to_numpy()
                 s = np.frombuffer(stream.as_py(), np.int32)
                 number = np.zeros(int(s.max()) + 1, np.int32)
                 number[pos + 1] = np.arange(1, len(pos) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([lang.as_py()]), pa.array([number[s].tobytes()], pa.binary()), pa.array([new], pa.list_(pa.int64()))], ["chunk", "lang", "stream", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([number[s].tobytes()], pa.binary()), pa.array([new], pa.list_(pa.int64()))], ["chunk", "stream", "ids"])
         trim()
 
-    return chunks.select("chunk", "lang", "stream").join(known.hint("merge"), "chunk").select("chunk", "lang", "stream", "known").mapInArrow(run, "chunk string, lang string, stream binary, ids array<long>")
+    return chunks.select("chunk", "stream").join(known.hint("merge"), "chunk").select("chunk", "stream", "known").mapInArrow(run, "chunk string, stream binary, ids array<long>")
 
 
 def grown(names: DataFrame, parents: DataFrame, k: int) -> DataFrame:
@@ -251,15 +283,18 @@ def collocations(docs: DataFrame, min_count: int = 30, share: int = 80, top: int
     known = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("pre"), F.array("f").alias("suf"), F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"))
     level = written(first_level(chunks.repartition(n, "chunk"), words), "phrase-level")
     dropped(chunks)
-    found = []
-    for k in (2, 3, 4):
-        names = numbered(pair_counts(level), ["l", "r"], min_count, "phrase-names")
-        known = written(grown(names, known, k), "phrases")
-        found.append(known)
-        if k < 4:
-            after = written(renamed(level.repartition(n, "chunk"), names, bits), "phrase-level")
-            dropped(level)
-            level = after
+    pairs = numbered(pair_counts(level), ["l", "r"], min_count, "phrase-pairs")
+    two = written(grown(pairs, known, 2), "phrases")
+    some_pairs = spark.sparkContext.broadcast(bitmap(pairs, ["l", "r"], bits))
+    counted = triple_counts(level, some_pairs).groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    first, second = (pairs.select(F.col("l").alias(x), F.col("r").alias(y), F.col("id").alias(p)) for x, y, p in (("a", "b", "l"), ("b", "c", "r")))
+    triples = numbered(counted.join(first, ["a", "b"]).join(second, ["b", "c"]), ["a", "b", "c", "l", "r"], min_count, "phrase-triples")
+    three = written(grown(triples, two, 3), "phrases")
+    some_triples = spark.sparkContext.broadcast(bitmap(triples, ["a", "b", "c"], bits))
+    after = written(renamed(level.repartition(n, "chunk"), triples, some_pairs, some_triples), "phrase-level")
     dropped(level)
-    whole = found[0].unionByName(found[1]).unionByName(found[2])
+    fours = numbered(pair_counts(after), ["l", "r"], min_count, "phrase-fours")
+    four = written(grown(fours, three, 4), "phrases")
+    dropped(after)
+    whole = two.unionByName(three).unionByName(four)
     return ranked(whole, totals, share, top)
