@@ -31,16 +31,19 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import by_group, components, dropped, partitions, starts, trim, written
-from tessera.llm.simhash import shingle_hashes
-from tessera.llm.textops import MULT, mix
+from tessera.llm.textops import MULT, mix, word_hashes, words_of
+
+SPACES = re.compile(rb"[\x20\x09-\x0D]")
 
 #: Open lists of up to so many nodes are compared as they are.
 HOT = 256
@@ -50,6 +53,8 @@ SHORT = 48
 PART = 1 << 20
 #: Bytes that are compared at a time.
 BLOCK = 1 << 23
+#: Bits of the map of keys that several nodes give.
+BITS = 1 << 25
 
 
 class Bands:
@@ -84,61 +89,208 @@ class Bands:
         return -(-most // 2) if self.short(band) else most + most // 8 + 1
 
 
+#: Bytes of texts that are read together, and of a text that are read at a time.
+TEXTS = 4 << 20
+
+
+def words_at(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of lower-cased bytes begin, and their hashes; long texts are read in steps that end between words."""
+    found, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + TEXTS)
+        if end < len(raw):
+            space = SPACES.search(raw, end)
+            end = space.start() if space else len(raw)
+        data = np.frombuffer(raw, np.uint8, end - at, at)
+        start, stop = words_of(data)
+        found.append((start + at, word_hashes(data, start, stop)))
+        at = end
+    return (np.concatenate([x for x, _ in found]), np.concatenate([h for _, h in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of the texts' shingles, in order, text after text; and how many each text has."""
+    raws = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    start, words = words_at(b" ".join(raws))
+    first = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raws])])
+    place = np.searchsorted(start, first)
+    count = np.diff(place)
+    owner = np.repeat(np.arange(len(raws)), count)
+    left = place[1:][owner] - np.arange(len(owner))  # words from here to the text's end
+    # a text of fewer words is one shingle
+    length = np.where(left >= width, width, np.where((count < width)[owner] & (left == count[owner]), left, 0))
+    at = np.nonzero(length)[0]
+    h = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(width):
+            more = length[at] > j
+            h[more] = mix(h[more] * np.uint64(MULT) + words[at[more] + j] + np.uint64(j + 1))
+    owner = owner[at]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = starts(owner, h)
+    return h[new], np.bincount(owner[new], minlength=len(raws))
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order."""
-    parts = [np.unique(h) for h in shingle_hashes(text, width)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return shingle_sets([text], width)[0]
+
 
+def together(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts to be read together."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(size, size[at] + TEXTS, "right")) - 1)
+        yield at, end
+        at = end
 
-def named(sums: np.ndarray, segment: np.ndarray, band: int) -> np.ndarray:
-    """Keys of a band's segments by the sums of their shingles; the last byte is the band."""
+
+def named(sums: np.ndarray, segment: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Keys of bands' segments by the sums of their shingles; the last byte is the band."""
+    band = np.asarray(band).astype(np.uint64)
     with np.errstate(over="ignore"):
-        z = mix(sums + (segment.astype(np.uint64) + np.uint64(band << 32) + np.uint64(1)) * np.uint64(MULT))
-    return ((z & ~np.uint64(255)) | np.uint64(band)).view(np.int64)
+        z = mix(sums + (segment.astype(np.uint64) + (band << np.uint64(32)) + np.uint64(1)) * np.uint64(MULT))
+    return ((z & ~np.uint64(255)) | band).view(np.int64)
 
 
-def segment_keys(own: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The key of each of the m segments; of each shingle its segment, and the key that this has without the shingle."""
+def segment_keys(own: np.ndarray, size: np.ndarray, band: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets that follow each other (size shingles each, with a band and its number of segments): the key of each segment;
+    of each shingle its segment, and the key that this has without the shingle."""
+    base = np.concatenate([[0], np.cumsum(m)])
+    of = np.repeat(np.arange(len(size)), size)
     with np.errstate(over="ignore"):
-        z = mix(own + np.uint64(0x632BE59BD9B4E019 * (band + 1) % 2**64))
-        segment = (z >> np.uint64(20)) % np.uint64(m)
+        z = mix(own + (np.uint64(0x632BE59BD9B4E019) * (band[of].astype(np.uint64) + np.uint64(1))))
+        segment = ((z >> np.uint64(20)) % m[of].astype(np.uint64)).astype(np.int64)
         value = mix(z ^ np.uint64(0xD6E8FEB86659FD93))
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, segment, value)
-        return named(sums, np.arange(m), band), segment.astype(np.int64), named(sums[segment] - value, segment, band)
+        sums = np.zeros(base[-1], np.uint64)
+        np.add.at(sums, base[of] + segment, value)
+        number = np.arange(base[-1]) - np.repeat(base[:-1], m)
+        return named(sums, number, np.repeat(band, m)), segment, named(sums[base[of] + segment] - value, segment, band[of])
+
+
+def parities(own: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+    """For each set a map of at least a bit a shingle, a power of two of longs: the parity of the shingles that fall on a
+    bit. None for empty sets."""
+    longs = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(1, -(-size // 64)))).astype(np.int64), 0)
+    base = np.concatenate([[0], np.cumsum(64 * longs)])
+    of = np.repeat(np.arange(len(size)), size)
+    slot = (mix(own ^ np.uint64(0xA0761D6478BD642F)) % (64 * longs[of]).astype(np.uint64)).astype(np.int64) if len(own) else np.zeros(0, np.int64)
+    packed = np.packbits((np.bincount(base[of] + slot, minlength=base[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[s // 8 : e // 8] if e > s else None for s, e in zip(base[:-1].tolist(), base[1:].tolist())]
+
 
+def digests(own: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+    ends = np.cumsum(size)
+    return [hashlib.md5(own[e - n : e].tobytes()).digest() if n else None for e, n in zip(ends.tolist(), size.tolist())]
 
-def parity(own: np.ndarray) -> bytes:
-    """A map of at least a bit a shingle, a power of two of longs: the parity of the shingles that fall on a bit."""
-    longs = 1 << max(0, (len(own) - 1) // 64).bit_length()
-    slot = (mix(own ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(64 * longs)).astype(np.int64)
-    return np.packbits((np.bincount(slot, minlength=64 * longs) & 1).astype(bool), bitorder="little").tobytes()
+
+def names(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, digest, n) of every text; an empty set has no digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, end in together(b.column(1)):
+                own, size = shingle_sets(b.column(1)[at:end].to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([b.column(0)[at:end], pa.array(digests(own, size), pa.binary()), pa.array(size, pa.int64())], ["doc_id", "digest", "n"])
+        trim()
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, n long")
+
+
+def all_keys(own: np.ndarray, size: np.ndarray, bands: Bands) -> pa.Array:
+    """The keys of each set in all its bands."""
+    which = [bands.of(n) if n else [] for n in size.tolist()]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    of, key = [], []
+    for r in range(max(map(len, which), default=0)):
+        sets = np.array([i for i, w in enumerate(which) if len(w) > r], np.int64)
+        band = np.array([which[i][r] for i in sets], np.int64)
+        m = np.array([bands.segments(x) for x in band.tolist()], np.int64)
+        part = own if len(sets) == len(size) else np.concatenate([own[ends[i] : ends[i + 1]] for i in sets])
+        whole, _, less = segment_keys(part, size[sets], band, m)
+        short = np.array([bands.short(x) for x in band.tolist()])
+        of += [np.repeat(sets, m), np.repeat(sets, size[sets])[np.repeat(short, size[sets])]]
+        key += [whole, less[np.repeat(short, size[sets])]]
+    of_, key_ = (np.concatenate(of), np.concatenate(key)) if of else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(of_, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of_, minlength=len(size)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key_[order]))
 
 
 def sketches(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """(doc_id, digest, n, bits, keys) of every text with a shingle; for empty texts digest is null and n is 0."""
-
-    def row(text: str | None) -> tuple:
-        own = shingle_set(text, width)
-        if not len(own):
-            return None, 0, None, []
-        keys = [np.zeros(0, np.int64)]
-        for band in bands.of(len(own)):
-            whole, _, less = segment_keys(own, band, bands.segments(band))
-            keys += [whole, less] if bands.short(band) else [whole]
-        return hashlib.md5(own.tobytes()).digest(), len(own), parity(own), np.unique(np.concatenate(keys))
+    """(doc_id, digest, n, bits, keys) of every text with a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                digest, n, bits, keys = zip(*(row(t.as_py()) for t in part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "bits", "keys"])
+            for at, end in together(b.column(1)):
+                own, size = shingle_sets(b.column(1)[at:end].to_pylist(), width)
+                out = [b.column(0)[at:end], pa.array(digests(own, size), pa.binary()), pa.array(size, pa.int64()), pa.array(parities(own, size), pa.binary()), all_keys(own, size, bands)]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "digest", "n", "bits", "keys"]).filter(pa.array(size > 0))
         trim()
 
     return docs.mapInArrow(run, "doc_id long, digest binary, n long, bits binary, keys array<long>")
 
 
+def listed(classes: DataFrame) -> DataFrame:
+    """(key, size, low): the keys that several nodes give, and the smallest of these. Tasks read sorted keys in a stream, so a
+    key may have any number of nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int, int] | None = None  # key, size, low of the last key so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
+            first = starts(key)
+            size, low, key = np.diff(np.append(first, len(key))), rep[first].copy(), key[first]
+            if held is not None:
+                if key[0] == held[0]:
+                    size[0], low[0] = size[0] + held[1], held[2]
+                else:
+                    key, size, low = (np.append(x, y) for x, y in zip(held, (key, size, low)))
+            held = (int(key[-1]), int(size[-1]), int(low[-1]))
+            many = np.nonzero(size[:-1] > 1)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(size[many].astype(np.int64)), pa.array(low[many])], ["key", "size", "low"])
+        if held is not None and held[1] > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], ["key", "size", "low"])
+
+    keyed = classes.select(F.explode("keys").alias("key"), "rep").repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
+    return keyed.mapInArrow(run, "key long, size long, low long")
+
+
+def held_by(classes: DataFrame, lists: DataFrame, bits: int) -> DataFrame:
+    """(key, size, low, rep) of the nodes of lists. A map of the lists' keys, of a fixed size, spares most other keys the
+    way; where it is full, it spares none."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for b in batches:
+            own[slots(b.column(0).to_numpy())] = True
+        packed = np.packbits(own, bitorder="little").view(np.int64)
+        at = np.nonzero(packed)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], ["at", "bits"])
+
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+    found = lists.select("key").mapInArrow(marks, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    packed = np.zeros(bits // 64, np.int64)
+    packed[found["at"].to_numpy()] = found["bits"].to_numpy()
+    map_ = classes.sparkSession.sparkContext.broadcast(packed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            key = b.column(1).flatten().to_numpy()
+            slot = slots(key)
+            may = (map_.value[slot >> 6] >> (slot & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), count)[may]), pa.array(key[may])], ["rep", "key"])
+        trim()
+
+    return classes.select("rep", "keys").mapInArrow(run, "rep long, key long").join(lists, "key")
+
+
 def maps_of(bits: list[bytes]) -> np.ndarray:
     """Parity maps as rows of longs, folded to the smallest of them: the parity of two bits is the parity of their sum."""
     width = min(map(len, bits))
@@ -243,32 +395,45 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def entries(sets: DataFrame, hot: DataFrame, bands: Bands) -> DataFrame:
-    """(band, segment, rep, cls, key, role, missing) of the sets in long lists: role 0 are keys of whole segments, role 1 of
-    segments without a shingle; missing is the weight that a set needs beyond its other lists, hot marks its long lists."""
+def wanting(long_: DataFrame, maps: DataFrame, bands: Bands) -> DataFrame:
+    """(rep, band, missing): nodes whose other lists do not weigh enough, and the weight that they miss."""
+    rows = long_.withColumn("band", F.col("key").bitwiseAND(F.lit(255)).cast("int")).groupBy("rep", "band").agg(F.countDistinct("key").alias("dropped")).join(maps.select("rep", "n").hint("merge"), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rep, band, dropped_, n = (c.to_pylist() for c in b.columns)
+            missing = [bands.need(x, k) - (bands.segments(x) - d) for x, d, k in zip(band, dropped_, n)]
+            out = pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(band, pa.int32()), pa.array(missing, pa.int32())], ["rep", "band", "missing"])
+            yield out.filter(pc.greater(out.column(2), 0))
+
+    return rows.select("rep", "band", "dropped", "n").mapInArrow(run, "rep long, band int, missing int").groupBy("rep", "band").agg(F.max("missing").alias("missing"))
+
+
+def entries(sets: DataFrame, hot: DataFrame, lack: DataFrame, bands: Bands) -> DataFrame:
+    """(band, segment, rep, cls, key, role, missing, hot) of the sets in long lists that wanting nodes hold: role 0 are keys
+    of whole segments, role 1 of segments without a shingle; hot marks a set's long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rep, raw, long_keys in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for rep, raw, long_keys, own_bands, misses in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 own, long_keys = np.frombuffer(raw.as_buffer(), np.uint64), long_keys.values.to_numpy()
                 cls = int.from_bytes(hashlib.md5(own.tobytes()).digest()[:8], "little", signed=True)
-                for band in bands.of(len(own)):
-                    if bands.short(band):
-                        continue
+                lacks = dict(zip(own_bands, misses))
+                for band in set((long_keys & 255).tolist()) & set(bands.of(len(own))):
                     m = bands.segments(band)
-                    whole, segment, less = segment_keys(own, band, m)
+                    whole, segment, less = segment_keys(own, np.array([len(own)]), np.array([band]), np.array([m]))
                     hot_ = np.isin(whole, long_keys)
-                    if not hot_.any():
-                        continue
-                    missing = max(0, bands.need(band, len(own)) - int(m - hot_.sum()))
                     n = m + len(own)
                     seg = np.concatenate([np.arange(m), segment])
-                    cols = [np.full(n, band), seg, np.full(n, rep), np.full(n, cls), np.concatenate([whole, less]), np.concatenate([np.zeros(m, int), np.ones(len(own), int)]), np.full(n, missing)]
+                    cols = [np.full(n, band), seg, np.full(n, rep), np.full(n, cls), np.concatenate([whole, less]), np.concatenate([np.zeros(m, int), np.ones(len(own), int)]), np.full(n, lacks.get(band, 0))]
                     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(hot_[seg])], ["band", "segment", "rep", "cls", "key", "role", "missing", "hot"])
         trim()
 
-    rows = sets.join(hot.groupBy("rep").agg(F.collect_list("key").alias("keys")).hint("merge"), "rep").select("rep", "own", "keys")
+    needs = lack.groupBy("rep").agg(F.collect_list("band").alias("bands"), F.collect_list("missing").alias("misses"))
+    rows = sets.join(hot.groupBy("rep").agg(F.collect_list("key").alias("keys")).hint("merge"), "rep").join(needs.hint("merge"), "rep", "left")
+    none = F.array().cast("array<int>")
+    rows = rows.select("rep", "own", "keys", F.coalesce("bands", none).alias("bands"), F.coalesce("misses", none).alias("misses"))
     return rows.mapInArrow(run, "band int, segment int, rep long, cls long, key long, role int, missing int, hot boolean")
 
 
@@ -292,28 +457,26 @@ def allocated(found: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(probes.unionByName(met), "neighbours"), chosen.where("list is not null").select(F.col("list").alias("key")).distinct()
 
 
-def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, hot: int = HOT, extra: DataFrame | None = None) -> DataFrame:
+def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, hot: int = HOT, extra: DataFrame | None = None, blanks: bool = False, bits: int = BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text) with an id: the smallest doc_id reachable over
-    links. ``extra`` (a, b) may name pairs of doc_ids to be tried first, where others know of likely copies."""
+    links. ``extra`` (a, b) may name pairs of doc_ids to be tried first, where others know of likely copies; with ``blanks`` texts without words
+    are equal to each other."""
     bands = Bands(percent)
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(sketches(rows, width, bands), "set-sketches")
-    own = written(sketched.select("doc_id", "digest", "n"), "set-names")
-    folded = sketched.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
+    own = written(names(rows, width), "set-names")
+    folded = sketches(rows, width, bands).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
     classes = written(folded, "set-classes")
-    dropped(sketched)
     maps = written(classes.select("rep", "n", "bits"), "set-maps")
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
-    lists = written(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("low")).where("size > 1"), "set-lists")
-    members = written(keyed.join(lists, "key"), "set-members")
+    lists = written(listed(classes), "set-lists")
+    members = written(held_by(classes, lists, bits), "set-members")
     dropped(classes)
     dropped(lists)
 
     # each node against the first of its lists
     stars = members.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
     if extra is not None:
-        names = own.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-        of = own.join(names, "digest").select("doc_id", "rep")
+        named_ = own.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+        of = own.join(named_, "digest").select("doc_id", "rep")
         said = extra.join(of.select(F.col("doc_id").alias("a"), F.col("rep").alias("x")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("rep").alias("y")), "b")
         stars = stars.unionByName(said.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     stars = written(stars.distinct(), "set-stars")
@@ -336,7 +499,11 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, hot:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in b.column(1)], pa.binary())], ["rep", "own"])
+            for at, end in together(b.column(1)):
+                own, size = shingle_sets(b.column(1)[at:end].to_pylist(), width)
+                ends = np.cumsum(size)
+                sets = [own[e - n : e].tobytes() for e, n in zip(ends.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0)[at:end], pa.array(sets, pa.binary())], ["rep", "own"])
         trim()
 
     def sets_of(reps: DataFrame, name: str) -> DataFrame:
@@ -361,9 +528,14 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, hot:
     cold = grouped.where(is_short | (F.col("size") <= hot)).select("key", F.lit(2).alias("role"), "rep", F.lit(BOTH).alias("kind"))
     long_ = written(grouped.where(~is_short & (F.col("size") > hot)).select("key", "size", "rep"), "long-lists")
     todo = cold
-    if long_.limit(1).count():
+    lack = written(wanting(long_, maps, bands), "wanting")
+    if lack.limit(1).count():
+        # a lost pair shares a long list, and one of it is wanting in its band
+        with_band = long_.withColumn("band", F.col("key").bitwiseAND(F.lit(255)).cast("int"))
+        told = with_band.join(lack, ["rep", "band"], "left_semi").select("key").distinct()
+        long_ = written(long_.join(told, "key", "left_semi"), "wanted-lists")
         long_sets = sets_of(long_.select("rep"), "long-sets")
-        found = written(entries(long_sets, long_, bands), "segment-entries")
+        found = written(entries(long_sets, long_, lack, bands), "segment-entries")
         dropped(long_sets)
         neighbours, whole_lists = allocated(found, long_)
         dropped(found)
@@ -376,8 +548,9 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, hot:
     late = written(similar_pairs(more, last_sets, percent), "last-links")
     dropped(last_sets)
 
-    reps = own.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    same = own.join(reps, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    alike = own.withColumn("digest", F.coalesce("digest", F.lit(bytearray()))) if blanks else own.where("n > 0")
+    reps = alike.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    same = alike.join(reps, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     edges = hung.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(late).unionByName(same)
     ended = components(edges)
     return own.join(ended, own.doc_id == ended.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

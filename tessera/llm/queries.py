@@ -146,8 +146,8 @@ ORACLES: dict[str, str] = {
         w AS (SELECT r, doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM t),
         s AS MATERIALIZED (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
         n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
-        both AS (SELECT a.r AS x, b.r AS y, a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
-        links AS MATERIALIZED (SELECT DISTINCT i, j FROM both JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c) AND i <> j),
+        met AS (SELECT a.r AS x, b.r AS y, a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+        links AS MATERIALIZED (SELECT DISTINCT i, j FROM met JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c) AND i <> j),
         sides AS MATERIALIZED (SELECT i, j FROM links UNION SELECT j, i FROM links),
         reach AS (SELECT i, j FROM sides UNION SELECT reach.i, sides.j FROM reach JOIN sides ON reach.j = sides.i),
         c AS (SELECT i, min(j) AS low FROM reach GROUP BY i)

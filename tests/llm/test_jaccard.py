@@ -86,7 +86,7 @@ def test_pairs_near_the_limit_and_templates(spark, hot):
             rows.append(prose(rng, size // 10) + template[: int(size * 0.9)])
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    assert got(jaccard.similar_components(frame(spark, rows), hot=hot)) == brute(rows)
+    assert got(jaccard.similar_components(frame(spark, rows), hot=hot, bits=64 if hot == 5 else jaccard.BITS)) == brute(rows)
 
 
 def test_extra_pairs_are_only_tried(spark):
@@ -118,7 +118,7 @@ def test_weights_find_every_pair(percent):
             continue
         assert band in bands.of(len(a))
         m = bands.segments(band)
-        (wa, ga, la), (wb, gb, lb) = (jaccard.segment_keys(x, band, m) for x in (a, b))
+        (wa, ga, la), (wb, gb, lb) = (jaccard.segment_keys(x, np.array([len(x)]), np.array([band]), np.array([m])) for x in (a, b))
         if bands.short(band):
             assert 2 * m >= bands.need(band, len(a)) and set(np.concatenate([wa, la])) & set(np.concatenate([wb, lb]))
             continue
@@ -134,5 +134,29 @@ def test_maps_never_overstate():
     rng = np.random.default_rng(3)
     for _ in range(200):
         a, b = (np.unique(rng.integers(0, 600, int(rng.integers(1, 500))).astype(np.uint64)) for _ in range(2))
-        maps = jaccard.maps_of([jaccard.parity(a), jaccard.parity(b)])
+        maps = jaccard.maps_of(jaccard.parities(np.concatenate([a, b]), np.array([len(a), len(b)])))
         assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_sets_do_not_depend_on_the_texts_beside_them(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(prose(rng, int(n), 30)) for n in rng.integers(0, 40, 60)] + [None, "", "  ", "a", "A b\tc\x0bd", "é\x85x  y"]
+    own, size = jaccard.shingle_sets(texts, 5)
+    monkeypatch.setattr(jaccard, "TEXTS", 20)
+    ends = np.cumsum(size)
+    for t, e, n in zip(texts, ends, size):
+        assert n == len(shingles(t)) and np.array_equal(own[e - n : e], jaccard.shingle_set(t, 5))
+
+
+def test_weights_are_missing_and_allocated(spark, monkeypatch):
+    """The templates above do lead to allocation, and what it compares finds pairs that nothing else would."""
+    seen = []
+    whole = jaccard.allocated
+    monkeypatch.setattr(jaccard, "allocated", lambda *a: seen.append(whole(*a)) or seen[-1])
+    rng = np.random.default_rng(1)
+    template = prose(rng, 300)
+    rows = [(i, " ".join(template[:150] + prose(rng, 150))) for i in range(30)]
+    rows += [(100 + i, " ".join(changed(rng, rows[i][1].split(), 8))) for i in range(10)]
+    assert got(jaccard.similar_components(frame(spark, rows), hot=3)) == brute(rows)
+    neighbours, lists = seen[0]
+    assert neighbours.where(f"kind = {jaccard.PROBER}").count() and lists.count() >= 0
