@@ -17,7 +17,7 @@ How links are found, without pairs of documents ever meeting all at once:
   its shards. In a shard the tree goes on with vantage points of its own down to leaves, whose members are compared over all
   bits. Where no vantage point tells members apart, as in a group of near copies, the distances over all bits are split at
   their median, and the bands on either side of it are searched against each other.
-* A shard with more rows than an average task is dealt into tiles: parts of it, each pair of parts being one task.
+* A shard of more than TILE rows is dealt into tiles: parts of it, each pair of parts being one task, whatever the table's size.
 
 Only the links of a spanning forest leave a shard; their components are found by distributed rounds.
 """
@@ -37,7 +37,7 @@ from tessera.llm.common import Groups, by_group, components, partitions, starts,
 SEED = 42
 #: Members of a leaf, about; a node is split if its larger side has no more than this share of it.
 LEAF, TELLING = 8, 0.9
-#: Fingerprints that the tops of the trees are built from; rows of a shard, about; least rows of a tile.
+#: Fingerprints that the tops of the trees are built from; rows of a shard, about; most rows of a part of a shard, about.
 SAMPLE, SHARD, TILE = 1 << 16, 1000, 20_000
 LANES = np.uint64(0x0101010101010101)
 #: Shingles that are hashed at a time: bounds the memory that one very long text takes.
@@ -332,9 +332,7 @@ def shard_links(rows: DataFrame, bits: int, radius: int) -> DataFrame:
     n = partitions(rows.sparkSession)
     masks, ball = parts_of(bits, radius)
     sizes = written(rows.groupBy("part", "shard").agg(F.count("*").alias("size")).where("size > 1"), "shard-sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    tile = max(TILE, -(-total // n))
-    parts = F.ceil(F.col("size") / F.lit(tile)).cast("int")
+    parts = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
     dealt = rows.join(sizes.withColumn("parts", parts), ["part", "shard"])
     own = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
     dealt = dealt.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
