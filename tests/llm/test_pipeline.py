@@ -153,3 +153,52 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in cp.STAGES:
         rows = stage(spark, rows, sf)
         assert rows.count() == 0
+
+
+def shingled(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute(texts, least):
+    ids, root, sets = sorted(texts), {i: i for i in texts}, {i: shingled(t) for i, t in texts.items()}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in ids:
+        for j in ids:
+            if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def made():
+    """Families of texts whose neighbours have similarities about 0.8, on both sides, and a chain of templates under it."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    texts = {}
+    for f in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        texts[f * 10] = " ".join(base)
+        for m, tail in enumerate((0.08, 0.1, 0.12, 0.15, 0.2, 0.3)):
+            cut = int(len(base) * (1 - tail))
+            texts[f * 10 + 1 + m] = " ".join(base[:cut] + [word() for _ in base[cut:]])
+    line = [word() for _ in range(150)]
+    for c in range(12):
+        texts[9000 + c] = " ".join(line)
+        line = line[25:] + [word() for _ in range(25)]
+    texts[9100] = " ".join(["again and again we say it"] * 30 + ["end"])
+    texts[9101] = "again and again we say it again and again we say it end"
+    return texts
+
+
+def test_stage_equals_exact_similarity(spark):
+    texts = made()
+    want = brute(texts, 0.8)
+    assert any(0.8 <= similarity(texts[f * 10], texts[f * 10 + m]) < 0.83 for f in range(40) for m in range(1, 7))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in cp.near_dedup_stage(spark, df, "").collect()}
+    assert kept == {i for i in want if want[i] == i}
+    assert {9000 + c for c in range(12)} <= kept
