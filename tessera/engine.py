@@ -58,9 +58,6 @@ class Engine:
     def rules(self) -> list[str]:
         return (paths.read_ignore(self.root) or []) if self.root and os.path.isdir(self.root) else []
 
-    def files(self) -> DataFrame:
-        return scan.files(self.spark, self.root, self.rules())
-
     # ---- indexing
 
     def index_codebase(self, path: str, recursive: bool = True) -> str:
@@ -90,13 +87,20 @@ class Engine:
         """Reads one file again."""
         if not self.location:
             return self.index_codebase(os.path.dirname(path) or ".")
-        return self._apply(self.files().where(F.col("file_path") == os.path.relpath(path, self.root)), None)
+        named = self.spark.createDataFrame([(os.path.relpath(path, self.root),)], "file_path string").where(ev.supported(F.col("file_path"), self.rules()))
+        return self._apply(scan.read(named, self.root), None)
+
+    def changes(self) -> tuple[DataFrame, DataFrame]:
+        """(file_path, status, opened) of the folder against its metadata, and the files that had to be opened for it."""
+        listed, meta = scan.listing(self.spark, self.root, self.rules()), self.table("metadata")
+        opened = written(scan.read(maintenance.to_open(listed, meta), self.root), "opened")
+        return written(maintenance.gated_status(listed, opened, meta), "status"), opened
 
     def sync(self) -> str:
-        """An incremental step over the whole folder; only what changed is read into units and written."""
-        files, meta = self.files(), self.table("metadata")
-        what = maintenance.status(files, meta)
-        changed = files.join(what.where("status in ('added', 'updated')"), "file_path", "left_semi")
+        """An incremental step over the whole folder: a listing, and only files of another time are opened; only what changed
+        is read into units and written."""
+        what, opened = self.changes()
+        changed = opened.join(what.where("status in ('added', 'updated')"), "file_path", "left_semi")
         n = {r.status: r["count"] for r in what.groupBy("status").count().collect()}
         text = f" ({n.get('added', 0)} added, {n.get('updated', 0)} updated, {n.get('unchanged', 0)} unchanged, {n.get('removed', 0)} removed)"
         if set(n) - {"unchanged"}:
@@ -137,7 +141,8 @@ class Engine:
         entries, known = self.table("entries"), self.known()
         if entries is None or not known.limit(1).count() or not self.root:
             return ""
-        go_on, ended = maintenance.invalidate(known, entries, self.files())
+        named = written(scan.read(known.select(F.explode("source_files").alias("file_path")), self.root), "named-files")
+        go_on, ended = maintenance.invalidate(known, entries, named)
         changed = go_on.join(known.select("hash", F.col("file_hashes").alias("before")), "hash").where(F.to_json("before") != F.to_json("file_hashes")).drop("before")
         text = report.invalidated_text(ended)
         if text or changed.limit(1).count():
@@ -186,7 +191,7 @@ class Engine:
         entries = self.table("entries")
         if entries is None:
             return "No codebase indexed yet."
-        return self.invalidate() + report.staleness_text(maintenance.staleness_report(self.files(), self.table("metadata"), entries, self.known()))
+        return self.invalidate() + report.staleness_text(maintenance.staleness_report(self.changes()[0], entries, self.known()))
 
     def status(self) -> str:
         entries = self.table("entries")
@@ -289,7 +294,7 @@ class Engine:
         """Applies a micro-batch of file events (ts, path, event_type; paths relative to the root)."""
         with self.lock:
             again, gone = ev.routed(ev.watched(batch, self.rules()))
-            files = self.files().join(again.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+            files = scan.read(again.select(F.col("path").alias("file_path")), self.root)
             if again.limit(1).count() or gone.limit(1).count():
                 self._apply(files, gone.select(F.col("path").alias("file_path")))
 

@@ -7,7 +7,7 @@ files changed and nothing in them has the structure any longer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import extract, trees
@@ -136,6 +136,23 @@ def status(files: DataFrame, indexed: DataFrame) -> DataFrame:
     return now.join(indexed.select("file_path", "content_hash"), "file_path", "full_outer").select("file_path", kind.alias("status"))
 
 
+def to_open(listing: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(file_path) of a listing (file_path, mtime) whose time is not that of the metadata: nothing else need be opened.
+    A null time is never known."""
+    return listing.join(metadata.select("file_path", "mtime"), ["file_path", "mtime"], "left_anti").select("file_path")
+
+
+def gated_status(listing: DataFrame, opened: DataFrame, metadata: DataFrame) -> DataFrame:
+    """(file_path, status, opened): status() by a listing and the texts of to_open()'s files alone. A file that was listed
+    but couldn't be opened any more counts as removed."""
+    now = opened.select("file_path", content_hash(F.col("text")).alias("now"), F.lit(True).alias("opened"))
+    asked = to_open(listing, metadata).withColumn("asked", F.lit(True))
+    rows = listing.select("file_path", F.lit(True).alias("listed")).join(asked, "file_path", "left").join(now, "file_path", "left").join(metadata.select("file_path", "content_hash"), "file_path", "full_outer")
+    there = F.col("listed").isNotNull() & (F.col("asked").isNull() | F.col("opened").isNotNull())
+    kind = F.when(~there, "removed").when(F.col("asked").isNull() | (F.col("now") == F.col("content_hash")), "unchanged").when(F.col("content_hash").isNull(), "added").otherwise("updated")
+    return rows.select("file_path", kind.alias("status"), F.col("opened").isNotNull().alias("opened"))
+
+
 def upsert(entries: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
     """entries without those of changed or removed files, and changed's entries."""
     gone = changed.select("file_path").union(removed.select("file_path")).distinct()
@@ -158,13 +175,19 @@ def with_ids(entries: DataFrame) -> DataFrame:
     """entries with unit_id: the first 32 hex digits of a hash of what and where a unit is, the same on every run; units
     that are alike in all of that, as repeated rows are, are counted up."""
     parts = ("file_path", "unit_type", "name", "line_start", "line_end", "code")
-    return entries.withColumn("unit_id", F.substring(F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in parts)), 256), 1, 32))
+    where = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in parts))
+    rows = entries.withColumn("unit_id", F.sha2(where, 256))
+    again = F.row_number().over(Window.partitionBy("unit_id").orderBy(F.lit(0)))  # units of one id are alike: any order
+    rows = rows.withColumn("_again", again)
+    later = F.sha2(F.concat_ws("\u0001", "unit_id", F.col("_again").cast("string")), 256)
+    return rows.withColumn("unit_id", F.substring(F.when(F.col("_again") > 1, later).otherwise(F.col("unit_id")), 1, 32)).drop("_again")
 
 
-def staleness_report(files: DataFrame, metadata: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame:
-    """(kind, item): modified, deleted and new files, and suppressions that are stale; no row: all is up to date."""
+def staleness_report(what: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame:
+    """(kind, item): modified, deleted and new files of a status (file_path, status), and suppressions that are stale; no
+    row: all is up to date."""
     names = F.create_map(*map(F.lit, ("updated", "modified", "removed", "deleted", "added", "new")))
-    changed = status(files, metadata).where("status <> 'unchanged'").select(F.element_at(names, F.col("status")).alias("kind"), F.col("file_path").alias("item"))
+    changed = what.where("status <> 'unchanged'").select(F.element_at(names, F.col("status")).alias("kind"), F.col("file_path").alias("item"))
     return changed.unionByName(staleness(known, entries).select(F.lit("stale suppression").alias("kind"), F.concat_ws(": ", "hash", "reason").alias("item")))
 
 

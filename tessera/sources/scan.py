@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import written
+
 # Folders that are never entered, and the languages of file suffixes.
-SKIP = ("__pycache__", ".git", ".hg", ".svn", ".tox", ".nox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "node_modules", "build", "dist", "venv", ".venv", "env", ".env", "virtualenv")
+SKIP = ("__pycache__", ".git", ".hg", ".svn", ".tox", ".nox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "node_modules", ".next", ".nuxt", "build", "dist", "out", "target", ".gradle", "cmake-build-debug", "cmake-build-release", "vendor", "coverage", ".eggs", "venv", ".venv", "env", ".env", "virtualenv")
 VENV = r"(?i)^\.?(venv|env|virtualenv)([^a-z].*)?$"
 LANGUAGES = {"py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "ipp": "cpp", "java": "java", "go": "go"}
 
@@ -85,16 +90,23 @@ def ignored(path: Column, rules: list[tuple[bool, bool, bool, str]]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-SUFFIXES = "*.{" + ",".join(LANGUAGES) + "}"
+#: Folders that a task lists before it hands the folders in them to the next round.
+LISTED = 1000
+LISTING = "file_path string, size long, mtime double"
+
+
+def opened_store(root: str) -> tuple[fs.FileSystem, str]:
+    """The store that a root is on, and its path there."""
+    store, path = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else "file://" + posixpath.abspath(root))
+    return store, path.rstrip("/")
 
 
-def sources(spark: SparkSession, root: str, rules: Iterable[str] = (), recursive: bool = True) -> tuple[str, list[str]]:
-    """The root as the store names it, and the paths of the files under it that are sources, folders that are never entered
-    or that a rule ignores left out unread. A listing: no file is opened."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = fs.makeQualified(path).toString().rstrip("/")
+def listing(spark: SparkSession, root: str, rules: Iterable[str] = (), recursive: bool = True, budget: int = LISTED) -> DataFrame:
+    """(file_path, size, mtime) of the sources under root, paths relative to it; no file is opened.
+
+    The frontier of folders is a table. A round's tasks list its folders and those in them, up to a budget; the folders that
+    remain are the next round's frontier. The driver sees only whether there is another. Folders that are skipped or that
+    a rule ignores are not entered, so rules that bring single files back from an ignored folder don't."""
     judged = [(negated, only, anchored, re.compile(glob_regex(glob))) for negated, only, anchored, glob in parse_rules(rules)]
 
     def dropped(rel: str, folder: bool) -> bool:
@@ -104,30 +116,65 @@ def sources(spark: SparkSession, root: str, rules: Iterable[str] = (), recursive
                 out = not negated
         return out
 
-    found, todo = [], [path]
-    while todo:
-        for s in fs.listStatus(todo.pop()):
-            name, full = s.getPath().getName(), s.getPath().toString()
-            rel = full[len(base) + 1 :]
-            if s.isDirectory():
-                if recursive and not (name in SKIP or name.endswith(".egg-info") or re.match(VENV, name)) and not dropped(rel, True):
-                    todo.append(s.getPath())
-            elif name.rpartition(".")[2].lower() in LANGUAGES and "." in name and not dropped(rel, False):
-                found.append(full)
-    return base, found
+    def entered(rel: str, name: str) -> bool:
+        return recursive and not (name in SKIP or name.endswith(".egg-info") or re.match(VENV, name)) and not dropped(rel, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened_store(root)
+        for b in batches:
+            todo, left = b.column(0).to_pylist(), budget
+            while todo and left:
+                found = []
+                for s in store.get_file_info(fs.FileSelector(posixpath.join(base, todo.pop()).rstrip("/") or "/", allow_not_found=True)):
+                    rel = s.path[len(base) :].lstrip("/")
+                    if s.type == fs.FileType.Directory:
+                        if entered(rel, s.base_name):
+                            todo.append(rel)
+                    elif s.extension.lower() in LANGUAGES and not dropped(rel, False):
+                        found.append((rel, s.size, (s.mtime_ns or 0) // 1_000_000 / 1000, False))
+                left -= 1
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["file_path", "size", "mtime", "folder"])
+            if todo:
+                yield pa.RecordBatch.from_arrays([pa.array(todo), pa.nulls(len(todo), pa.int64()), pa.nulls(len(todo), pa.float64()), pa.array([True] * len(todo))], ["file_path", "size", "mtime", "folder"])
+
+    frontier, rounds = spark.createDataFrame([("",)], "file_path string"), []
+    while True:
+        rounds.append(written(frontier.mapInArrow(run, LISTING + ", folder boolean"), "listing"))
+        frontier = rounds[-1].where("folder").select("file_path")
+        if not frontier.limit(1).count():
+            break
+        frontier = frontier.repartition(spark.sparkContext.defaultParallelism * 4)
+    return reduce(DataFrame.unionByName, (r.where("not folder").drop("folder") for r in rounds))
+
+
+def read(paths: DataFrame, root: str) -> DataFrame:
+    """(file_path, language, text, mtime) of named files (file_path) under root: only these are opened, in the tasks. Files
+    that are not there, or went meanwhile, have no row; text that isn't UTF-8 is null; a path named twice is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened_store(root)
+        for b in batches:
+            for rel in b.column(0).to_pylist():
+                info = store.get_file_info(posixpath.join(base, rel))
+                if info.type != fs.FileType.File:
+                    continue
+                try:
+                    with store.open_input_stream(info.path, compression=None) as f:
+                        raw = f.read()
+                except FileNotFoundError:
+                    continue
+                try:
+                    text = raw.decode("utf-8")
+                except UnicodeDecodeError:
+                    text = None
+                yield pa.RecordBatch.from_arrays([pa.array([rel]), pa.array([text], pa.string()), pa.array([(info.mtime_ns or 0) // 1_000_000 / 1000])], ["file_path", "text", "mtime"])
+
+    named = paths.select("file_path").where("file_path is not null").distinct()
+    rows = named.mapInArrow(run, "file_path string, text string, mtime double")
+    return rows.withColumn("language", language(F.col("file_path"))).select("file_path", "language", "text", "mtime")
 
 
 def files(spark: SparkSession, root: str, rules: Iterable[str] = (), recursive: bool = True) -> DataFrame:
-    """(file_path, language, text, mtime) of the sources under root; paths are relative to it. Only sources are read:
-    folders are listed first, and those that are skipped or ignored as a whole are not entered. Rules that bring single
-    files back from an ignored folder don't, as the folder isn't entered. Text that isn't UTF-8 is null."""
-    rules = list(rules)
-    base, paths = sources(spark, root, rules, recursive)
-    if not paths:
-        return spark.createDataFrame([], "file_path string, language string, text string, mtime double")
-    raw = spark.read.format("binaryFile").load(paths)
-    plain = lambda x: F.regexp_replace(x, "^[a-z]+:/*", "/")
-    rel = F.substr(plain(F.col("path")), F.length(plain(F.lit(base))) + 2)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    rows = raw.select(rel.alias("file_path"), text.alias("text"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
-    return rows.withColumn("language", language(F.col("file_path"))).select("file_path", "language", "text", "mtime")
+    """(file_path, language, text, mtime) of all sources under root: the listing, and what read() makes of it."""
+    return read(listing(spark, root, list(rules), recursive), root)

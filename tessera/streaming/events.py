@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.sources import scan
 from tessera.sources.paths import FOLDER
+from tessera.sources.scratch import written
 
 
 def file_events(events: DataFrame) -> DataFrame:
@@ -38,17 +39,24 @@ def bursts(events: DataFrame, quiet: int, slice_seconds: int = 86_400) -> DataFr
 
 
 def storm_peaks(events: DataFrame, window: int, limit: int) -> DataFrame:
-    """(over, most): events at which more than ``limit`` lie within the last ``window`` seconds, and the most that do.
+    """(over, most): events at which more than ``limit`` lie within the last ``window`` seconds, and the most that do; 0 and
+    null without events. Events without a time don't count.
 
-    The line of time is cut into slices of the window's length, so no task sees more than two of them: an event of one
-    slice is counted with those of its own and the one before.
+    Each time enters a line twice: as itself, and a window earlier as a probe. Along the line, the probes so far less the
+    events so far are, at a probe, the events of its window. So one sorted pass is enough, and the line is cut anywhere: a
+    part's sum is what the parts after it start from. Equal times are one row, and a part may lie within one window.
     """
-    t = events.select(F.unix_micros("ts").alias("t"))
-    size = window * 1_000_000
-    own = t.withColumn("slice", F.floor(F.col("t") / size)).withColumn("counted", F.lit(True))
-    both = own.unionByName(own.select("t", (F.col("slice") + 1).alias("slice"), F.lit(False).alias("counted")))
-    over = Window.partitionBy("slice").orderBy("t").rangeBetween(-size, 0)
-    return both.withColumn("n", F.count("*").over(over)).where("counted").agg(F.count_if(F.col("n") > limit).alias("over"), F.max("n").alias("most"))
+    times = events.select(F.unix_micros("ts").alias("t")).where("t is not null").groupBy("t").agg(F.count("*").alias("w"))
+    steps = F.explode(F.array(F.struct(F.col("t").alias("at"), (-F.col("w")).alias("step")), F.struct((F.col("t") - window * 1_000_000).alias("at"), F.col("w").alias("step"))))
+    line = times.select(steps.alias("x")).select("x.*").repartitionByRange("at").withColumn("part", F.spark_partition_id())
+    line = written(line, "storm-line")  # the cuts stay where they are
+    sums = sorted(tuple(r) for r in line.groupBy("part").agg(F.sum("step")).collect())  # a row for each partition
+    before = [(p, sum(s for _, s in sums[:i])) for i, (p, _) in enumerate(sums)]
+    base = events.sparkSession.createDataFrame(before, "part int, base long")
+    # a probe stands before events of its place: those belong to its window
+    along = Window.partitionBy("part").orderBy("at", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = line.withColumn("n", F.sum("step").over(along)).where("step > 0").join(F.broadcast(base), "part").select("step", (F.col("n") + F.col("base")).alias("n"))
+    return counted.agg(F.coalesce(F.sum(F.when(F.col("n") > limit, F.col("step"))), F.lit(0)).alias("over"), F.max("n").alias("most"))
 
 
 def sessions(events: DataFrame, quiet: int, late: str = "10 minutes") -> DataFrame:
@@ -88,8 +96,9 @@ def watched(events: DataFrame, rules: Iterable[str] = ()) -> DataFrame:
 
 
 def routed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path) of files to read again, and of files to remove: a file's last event decides."""
-    last = events.groupBy("path").agg(F.max_by("event_type", "ts").alias("event_type"))
+    """(path) of files to read again, and of files to remove: a file's last event decides, and among events of one time a
+    deletion comes first, so that what may still be there is looked for."""
+    last = events.groupBy("path").agg(F.max_by("event_type", F.struct("ts", F.col("event_type") != "deleted")).alias("event_type"))
     return last.where("event_type <> 'deleted'").select("path"), last.where("event_type = 'deleted'").select("path")
 
 
