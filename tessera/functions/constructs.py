@@ -1,76 +1,88 @@
-"""What each signal of a language looks for, said in terms of names and what stands around them.
+"""What each signal of a language looks for, said in tokens.
 
-A construct is a regular expression built from names by the helpers below: a whole word, a call, an annotation, a member of
-an object, a name with type arguments, a keyword before a name. A signal lists the constructs found, in order, or says
-which of two are there.
+A text is read as its tokens first (``streams``): comments are gone, a literal is its opening quote, and what is left stands
+with one blank between tokens. A construct is then written down as the tokens that make it up, so nothing in a comment or a
+literal is ever taken for code, and spacing never matters. In a construct
+
+* a word or sign is itself, ``a|b`` is either of two, ``Register*Server`` a name of that shape;
+* NAME is a name (``NAME-x``: any but x), TYPE a name with a capital, NUMBER a number, TEXT a literal, BLOCK a text block;
+* LINE is the end of the line before; constructs that name it are looked for among lines, others whatever the lines;
+* GAP is anything within a statement, LABEL anything up to a colon, ARGS anything within a list, BODY anything up to ``}``;
+* after COMMENT stands a word of a comment.
+
+Several constructs in a tuple are alternatives. A signal lists the constructs found, in order, or says which of two are there.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-NAME = r"[A-Za-z_]\w*"
-UPPER = r"[A-Z]\w*"
-
-
-def one(names: str) -> str:
-    parts = names.split()
-    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
-
-
-def word(names: str) -> str:
-    return rf"\b{one(names)}\b"
-
-
-def call(names: str) -> str:
-    return rf"\b{one(names)}\s*\("
-
-
-def bare_call(names: str) -> str:
-    return rf"\b{one(names)}\s*\(\s*\)"
-
-
-def marked(names: str) -> str:
-    """An annotation of one of the names."""
-    return rf"@{one(names)}\b"
-
-
-def marked_call(names: str) -> str:
-    return rf"@{one(names)}\s*\("
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+NAME = r"[A-Za-z_]\w*"
 
-def member(owner: str, names: str) -> str:
-    return rf"\b{one(owner)}\.{one(names)}\b"
+#: A token each; groups: comment, then what stands for a literal (its opening quote), then any other token or line end.
+#: Loops over groups are possessive, so that long literals need no stack.
+SIGNS = r"<=>|\.\.\.|->|=>|<-|::|:=|\+\+|--|&&|\|\||\?\.|[-+*/%&|^!=<>]="
+OTHER = rf"([\p{{L}}_$][\w$]*+|\d(?:[\w.]|'(?=\d))*+|{SIGNS}|\n|\S)|[^\S\n]+"
+QUOTED = "|".join(rf"({q})[^{q}\\\n]*+(?:\\(?s:.)[^{q}\\\n]*+)*+{q}?" for q in "\"'")
+BRACES = rf'(?U)(//[^\n]*+|/\*(?s:.*?)(?:\*/|\z))|(""")(?s:.*?)(?:"""|\z)|{QUOTED}|(`)[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`?|{OTHER}'
+PYTHON = rf"(?U)(#[^\n]*+)|(\"\"\"|''')(?s:.*?)(?:\2|\z)|{QUOTED}|(\x00)|{OTHER}"
 
+KINDS = {"NAME": r"[\p{L}_$][\w$]*", "TYPE": r"\p{Lu}[\w$]*", "NUMBER": r"\d[^ ]*", "TEXT": "[\"'`]", "BLOCK": '"""', "LINE": r"\n"}
+GAPS = {"GAP": r"[^;{}\n]*?(?<= )", "LABEL": r"[^:;{}]*?(?<= )", "ARGS": r"[^(){};]*?(?<= )", "BODY": r"[^}]*?(?<= )"}
 
-def member_call(owner: str, names: str) -> str:
-    return rf"\b{one(owner)}\.{one(names)}\s*\("
+Construct = str | tuple[str, ...]
 
 
-def method_call(names: str) -> str:
-    return rf"\.{one(names)}\s*\("
+def streams(code: Column, language: Column) -> Column:
+    """struct<flat, lined, notes> of texts: the tokens, the tokens with line ends, the words of comments. In Go a line's end
+    is a token, except after what can't end a statement; so flat is lined there."""
+    read = lambda kept: F.when(language == "python", F.regexp_replace(code, PYTHON, kept)).otherwise(F.regexp_replace(code, BRACES, kept))
+    single = lambda text: F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), " +", " ")
+    lined = single(F.concat(F.lit("\n "), read(" $2$3$4$5$6 "), F.lit(" \n")))
+    flat = F.when(language == "go", F.regexp_replace(lined, r"(?<= [(,]) \n(?: \n)*+", "")).otherwise(F.regexp_replace(lined, r" \n", ""))
+    return F.struct(flat.alias("flat"), lined.alias("lined"), F.regexp_replace(F.concat(F.lit(" "), read(" $1 "), F.lit(" ")), r"\s+", " ").alias("notes"))
 
 
-def of_type(names: str) -> str:
-    """A name with type arguments."""
-    return rf"\b{one(names)}\s*<"
+def token(item: str) -> str:
+    kind, _, but = item.partition("-")
+    if kind in KINDS:
+        return (rf"(?!{re.escape(but)} )" if but else "") + KINDS[kind]
+    return r"[\w$]+".join(map(re.escape, item.split("*"))) if len(item) > 2 and "*" in item else re.escape(item)
 
 
-def made(names: str) -> str:
-    return rf"\bnew\s+{one(names)}\s*\("
+def regex(construct: str, named: bool = False) -> str:
+    """The expression that finds a construct in a stream; ``named``: its last token is a group."""
+    items = construct.split()
+    items = items[1:] if items[0] == "COMMENT" else items
+    out = ["(?<= )"]
+    for i, item in enumerate(items):
+        group = "(" if named and i == len(items) - 1 else "(?:"
+        out.append(GAPS[item] if item in GAPS else group + "|".join(map(token, item.split("|"))) + ") ")
+    return "".join(out)
 
 
-def before(keyword: str, what: str = NAME) -> str:
-    """A keyword before a name."""
-    return rf"\b{one(keyword)}\s+{what}"
+def stream_of(construct: str) -> str:
+    return "notes" if construct.startswith("COMMENT ") else "lined" if "LINE" in construct else "flat"
 
 
-def directive(names: str) -> str:
-    return rf"(?m)^\s*#\s*{one(names)}\b"
+def found(text: Column, construct: Construct) -> Column:
+    """Whether streams hold a construct."""
+    by_stream: dict[str, list[str]] = {}
+    for one in (construct,) if isinstance(construct, str) else construct:
+        by_stream.setdefault(stream_of(one), []).append(regex(one))
+    out = F.lit(False)
+    for name, expressions in by_stream.items():
+        out = out | text[name].rlike("(?U)" + "|".join(expressions))
+    return out
 
 
-def some(*patterns: str) -> str:
-    return "|".join(patterns)
+def names(text: Column, construct: str) -> Column:
+    """The last tokens of all places where streams hold a construct."""
+    return F.regexp_extract_all(text[stream_of(construct)], F.lit("(?U)" + regex(construct, named=True)), 1)
 
 
 @dataclass(frozen=True)
@@ -79,7 +91,7 @@ class Listed:
 
     key: str
     confidence: float
-    parts: dict[str, str]
+    parts: dict[str, Construct]
     none: str = "none"
 
 
@@ -87,7 +99,7 @@ class Listed:
 class Present:
     key: str
     confidence: float
-    pattern: str
+    construct: Construct
 
 
 @dataclass(frozen=True)
@@ -96,8 +108,8 @@ class Either:
 
     key: str
     confidence: float
-    first: tuple[str, str]
-    second: tuple[str, str]
+    first: tuple[str, Construct]
+    second: tuple[str, Construct]
     both: str = "both"
 
 
@@ -107,107 +119,111 @@ class First:
 
     key: str
     confidence: float
-    parts: dict[str, str]
+    parts: dict[str, Construct]
     none: str | None = "none"
 
 
 @dataclass(frozen=True)
 class Names:
-    """The different names that a pattern's group finds, in order."""
+    """The different last tokens of a construct, in order."""
 
     key: str
     confidence: float
-    pattern: str
+    construct: str
     none: str | None = "none"
 
 
 # ---- Fixed values: keys, confidences, the names of constructs and their order, and the names that they look for.
 
-ROUTES = some(bare_call("express Router"), member_call("app router", "get post put delete patch"))
+ROUTES = ("express|Router ( )", "app|router . get|post|put|delete|patch (")
 
 C = (
-    Listed("c.preprocessor", 0.95, {"include": directive("include"), "define": directive("define"), "conditional": directive("ifdef ifndef if")}),
-    Listed("c.pointer_usage", 0.90, {"dereference": rf"\*\s*{NAME}", "address_of": rf"&\s*{NAME}", "arithmetic": rf"{NAME}\s*(?:[+]{{2}}|-{{2}}|[+-]=|[+-]\s+\d)"}),
-    Listed("c.composite_types", 0.90, {"struct": before("struct"), "union": before("union"), "enum": before("enum"), "typedef": word("typedef")}),
-    Either("c.memory_management", 0.90, ("alloc_only", call("malloc calloc realloc")), ("free_only", call("free")), "alloc_free"),
-    Listed("c.control_flow", 0.90, {"goto": before("goto", r"\w"), "function_pointer": rf"\(\s*\*\s*{NAME}\s*\)\s*\(", "switch": call("switch")}),
-    Listed("c.c23_features", 0.90, {"constexpr": word("constexpr"), "nullptr": word("nullptr"), "typeof": call("typeof"), "static_assert": call("static_assert _Static_assert"), "embed": directive("embed"), "attributes": r"\[{2}\s*\w", "bool": word("bool")}),
+    Listed("c.preprocessor", 0.95, {"include": "LINE # include", "define": "LINE # define", "conditional": "LINE # if|ifdef|ifndef"}),
+    Listed("c.pointer_usage", 0.90, {"dereference": "* NAME", "address_of": "(|[|{|,|;|=|?|:|!|==|!=|&&|return & NAME", "arithmetic": ("NAME ++|--", "NAME +=|-=", "NAME +|- NUMBER")}),
+    Listed("c.composite_types", 0.90, {"struct": "struct NAME", "union": "union NAME", "enum": "enum NAME", "typedef": "typedef"}),
+    Either("c.memory_management", 0.90, ("alloc_only", "malloc|calloc|realloc ("), ("free_only", "free ("), "alloc_free"),
+    Listed("c.control_flow", 0.90, {"goto": "goto NAME", "function_pointer": "( * NAME ) (", "switch": "switch ("}),
+    Listed("c.c23_features", 0.90, {"constexpr": "constexpr", "nullptr": "nullptr", "typeof": "typeof (", "static_assert": "static_assert|_Static_assert (", "embed": "LINE # embed", "attributes": "[ [ NAME", "bool": "bool"}),
 )
 
 CPP = (
-    Present("cpp.template.present", 0.95, of_type("template")),
-    Either("cpp.virtual_override", 0.90, ("virtual", word("virtual")), ("override", word("override"))),
-    Names("cpp.namespace", 0.90, rf"\bnamespace\s+({NAME})"),
-    Either("cpp.const_correctness", 0.85, ("const_method", r"\)\s*const\b"), ("constexpr", word("constexpr"))),
-    Listed("cpp.modern_features", 0.90, {"concept": before("concept"), "requires": word("requires"), "coroutine": word("co_await co_return co_yield"), "module": r"(?m)^\s*(?:export\s+)?(?:module|import)\s+\w", "spaceship": "<=>", "consteval": word("consteval"), "constinit": word("constinit")}),
+    Present("cpp.template.present", 0.95, "template <"),
+    Either("cpp.virtual_override", 0.90, ("virtual", "virtual"), ("override", "override")),
+    Names("cpp.namespace", 0.90, "namespace NAME"),
+    Either("cpp.const_correctness", 0.85, ("const_method", ") const"), ("constexpr", "constexpr")),
+    Listed("cpp.modern_features", 0.90, {"concept": "concept NAME", "requires": "requires", "coroutine": "co_await|co_yield|co_return", "module": ("LINE module|import NAME", "LINE export module|import NAME"), "spaceship": "<=>", "consteval": "consteval", "constinit": "constinit"}),
 )
 
 JAVA = (
-    Names("java.annotations", 0.95, rf"(?m)^\s*@({NAME})"),
-    Listed("java.access_modifiers", 0.90, {x: word(x) for x in ("public", "private", "protected")}, "package"),
-    Present("java.generic.present", 0.90, r"<\s*[A-Z]"),
-    Either("java.exception_handling", 0.90, ("throws", before("throws", r"\w")), ("try_catch", some(r"\btry\s*\{", call("catch")))),
-    Either("java.functional_style", 0.85, ("stream", method_call("stream map filter collect")), ("lambda", r"[\w)]\s*->"), "stream_lambda"),
-    First("java.class_kind", 0.90, {"interface": before("interface", "[A-Z]"), "abstract": before("abstract", r"class\b"), "class": before("class", "[A-Z]")}),
-    Listed("java.modern_features", 0.90, {"record": before("record", rf"{UPPER}\s*\("), "sealed": before("sealed", r"(?:class|interface)\b"), "pattern_instanceof": before("instanceof", r"[A-Z]\w+\s+\w"), "switch_expression": before("case", r"[^:]+->"), "text_block": '"{3}', "var": before("var", r"\w")}),
-    Listed("java.spring_stereotypes", 0.90, {"rest_controller": marked("RestController"), "controller": marked("Controller"), "service": marked("Service"), "repository": marked("Repository"), "component": marked("Component"), "configuration": marked("Configuration")}),
-    Listed("java.rest_http_patterns", 0.90, {"mapping": marked("RequestMapping GetMapping PostMapping PutMapping DeleteMapping PatchMapping"), "response_entity": word("ResponseEntity"), "path_variable": marked("PathVariable"), "request_body": marked("RequestBody"), "request_param": marked("RequestParam")}),
-    Listed("java.persistence_jpa", 0.90, {"entity": marked("Entity"), "table": marked("Table"), "column": marked("Column"), "repository_interface": before("extends", word("JpaRepository CrudRepository PagingAndSortingRepository")), "entity_manager": word("EntityManager"), "transactional": marked("Transactional"), "query": marked("Query")}),
-    Listed("java.dependency_injection", 0.90, {"autowired": marked("Autowired"), "inject": marked("Inject"), "bean": marked("Bean"), "qualifier": marked("Qualifier"), "value": marked_call("Value")}),
-    Listed("java.async_reactive", 0.90, {"completable_future": word("CompletableFuture"), "executor_service": word("ExecutorService"), "mono": r"\bMono<", "flux": r"\bFlux<", "async": marked("Async"), "scheduled": marked("Scheduled")}),
+    Names("java.annotations", 0.95, "LINE @ NAME-interface"),
+    Listed("java.access_modifiers", 0.90, {x: x for x in ("public", "private", "protected")}, "package"),
+    Present("java.generic.present", 0.90, ("< TYPE >|,|<|.|[|&|extends", "< ? >|extends|super")),
+    Either("java.exception_handling", 0.90, ("throws", "throws NAME"), ("try_catch", ("try {|(", "catch ("))),
+    Either("java.functional_style", 0.85, ("stream", ". stream|map|filter|collect ("), ("lambda", (") ->", "(|,|=|?|:|return NAME ->")), "stream_lambda"),
+    First("java.class_kind", 0.90, {"interface": "interface NAME", "abstract": "abstract class", "class": "class NAME"}),
+    Listed("java.modern_features", 0.90, {"record": "record NAME (|<", "sealed": "sealed class|interface|abstract", "pattern_instanceof": "instanceof NAME NAME", "switch_expression": ("case LABEL ->", "default ->"), "text_block": "BLOCK", "var": "var NAME"}),
+    Listed("java.spring_stereotypes", 0.90, {"rest_controller": "@ RestController", "controller": "@ Controller", "service": "@ Service", "repository": "@ Repository", "component": "@ Component", "configuration": "@ Configuration"}),
+    Listed("java.rest_http_patterns", 0.90, {"mapping": "@ RequestMapping|GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping", "response_entity": "ResponseEntity", "path_variable": "@ PathVariable", "request_body": "@ RequestBody", "request_param": "@ RequestParam"}),
+    Listed("java.persistence_jpa", 0.90, {"entity": "@ Entity", "table": "@ Table", "column": "@ Column", "repository_interface": "extends GAP JpaRepository|CrudRepository|PagingAndSortingRepository", "entity_manager": "EntityManager", "transactional": "@ Transactional", "query": "@ Query"}),
+    Listed("java.dependency_injection", 0.90, {"autowired": "@ Autowired", "inject": "@ Inject", "bean": "@ Bean", "qualifier": "@ Qualifier", "value": "@ Value ("}),
+    Listed("java.async_reactive", 0.90, {"completable_future": "CompletableFuture", "executor_service": "ExecutorService", "mono": "Mono <", "flux": "Flux <", "async": "@ Async", "scheduled": "@ Scheduled"}),
 )
 
 GO = (
-    Listed("go.concurrency", 0.90, {"goroutine": before("go", some(r"(?:func\b", r"\w+\s*\()")), "channel": some(r"\bmake\s*\(\s*chan\b", "<-"), "select": r"\bselect\s*\{"}),
-    Listed("go.error_handling", 0.90, {"err_nil_check": r"\bif\s+err\s*!=\s*nil\b", "error_creation": some(member_call("errors", "New"), member_call("fmt", "Errorf")), "error_return": r"\breturn\b.*\berr\b"}),
-    Listed("go.interface_usage", 0.85, {"declaration": r"\binterface\s*\{", "type_assertion": r"\.\(\s*[A-Z*]", "type_switch": r"\bswitch\b.*\.\(\s*type\s*\)"}),
-    Present("go.struct_embedding", 0.85, r"(?s)\bstruct\s*\{[^}]*\n\s*\*?\s*[A-Z][A-Za-z0-9_]*\s*\n"),
-    Either("go.receiver_style", 0.90, ("pointer", r"\bfunc\s*\(\s*\w+\s+\*\w+\s*\)"), ("value", rf"\bfunc\s*\(\s*\w+\s+{UPPER}\s*\)"), "mixed"),
-    Listed("go.defer_recover", 0.90, {"defer": word("defer"), "panic": call("panic"), "recover": call("recover")}),
-    Listed("go.modern_features", 0.90, {"generics": rf"\[{UPPER}\s+(?:any|comparable|constraints\.\w|~)", "go_embed": r"//go:embed\b", "range_over_int": before("range", r"\d+\b"), "range_over_func": before("range", r"\w+\s*\(")}),
-    Listed("go.context_usage", 0.90, {"param": r"\bfunc\b[^)]*\bcontext\.Context\b", **{f"with_{x.lower()}": member("context", f"With{x}") for x in ("Cancel", "Timeout", "Deadline", "Value")}, "background": r"context\.Background\(\)", "todo": r"context\.TODO\(\)"}),
-    Listed("go.http_patterns", 0.90, {"handler": some(member("http", "HandlerFunc Handler ResponseWriter"), call("ServeHTTP")), "listener": member_call("http", "ListenAndServe ListenAndServeTLS"), "mux": some(member("http", "NewServeMux"), member("chi", "NewRouter"), member("gin", "Default"), member("echo", "New")), "middleware": r"\bfunc\b[^{]*\bhttp\.Handler\b[^{]*\)\s*http\.Handler\b"}),
-    Listed("go.grpc_patterns", 0.90, {"server": member_call("grpc", "NewServer"), "service_registry": r"\bRegister\w+Server\s*\(", "client": member_call("grpc", "Dial NewClient")}),
-    Listed("go.sync_primitives", 0.90, {"mutex": member("sync", "Mutex RWMutex"), "waitgroup": member("sync", "WaitGroup"), "once": member("sync", "Once")}),
-    Present("go.init_functions", 0.85, before("func", r"init\s*\(\s*\)")),
+    Listed("go.concurrency", 0.90, {"goroutine": ("go func", "go NAME (|."), "channel": ("make ( chan", "<-"), "select": "select {"}),
+    Listed("go.error_handling", 0.90, {"err_nil_check": "if|;|(|&& err != nil", "error_creation": ("errors . New", "fmt . Errorf"), "error_return": "return GAP err"}),
+    Listed("go.interface_usage", 0.85, {"declaration": "interface {", "type_assertion": ". ( NAME-type|*|[", "type_switch": "switch GAP . ( type )"}),
+    Present("go.struct_embedding", 0.85, ("struct { BODY LINE TYPE LINE", "struct { BODY LINE * TYPE LINE", "struct { BODY LINE NAME . TYPE LINE", "struct { BODY LINE * NAME . TYPE LINE")),
+    Either("go.receiver_style", 0.90, ("pointer", ("func ( NAME * NAME ) NAME-func (", "func ( * NAME ) NAME-func (", "func ( NAME * NAME [")), ("value", ("func ( NAME NAME ) NAME-func (", "func ( NAME ) NAME-func (", "func ( NAME NAME [ ARGS ) NAME-func (")), "mixed"),
+    Listed("go.defer_recover", 0.90, {"defer": "defer", "panic": "panic (", "recover": "recover ("}),
+    Listed("go.modern_features", 0.90, {"generics": ("[ NAME any|comparable|constraints|cmp|interface|~", "[ NAME , NAME any|comparable|constraints|cmp|interface|~"), "go_embed": "COMMENT //go:embed", "range_over_int": "range NUMBER", "range_over_func": "range NAME-len ("}),
+    Listed("go.context_usage", 0.90, {"param": ("func NAME ( ARGS context . Context", "func ( ARGS context . Context"), **{f"with_{x.lower()}": f"context . With{x}" for x in ("Cancel", "Timeout", "Deadline", "Value")}, "background": "context . Background ( )", "todo": "context . TODO ( )"}),
+    Listed("go.http_patterns", 0.90, {"handler": ("http . HandlerFunc|Handler|ResponseWriter", "ServeHTTP ("), "listener": "http . ListenAndServe|ListenAndServeTLS (", "mux": ("http . NewServeMux", "chi . NewRouter", "gin . Default", "echo . New"), "middleware": "func GAP http . Handler ) http . Handler"}),
+    Listed("go.grpc_patterns", 0.90, {"server": "grpc . NewServer (", "service_registry": "Register*Server (", "client": "grpc . Dial|NewClient ("}),
+    Listed("go.sync_primitives", 0.90, {"mutex": "sync . Mutex|RWMutex", "waitgroup": "sync . WaitGroup", "once": "sync . Once"}),
+    Present("go.init_functions", 0.85, "func init ( )"),
 )
 
-SIMPLE_TYPES = "string number boolean void any never unknown"
-TYPED = rf"[\w$]\s*:\s*[\w$]+(?:<[^>]+>)?\s*[,);=\]|}}]"
+#: Where only a type can stand behind a colon; between braces a colon may be a literal's.
+TYPED = ("( NAME : NAME|{|[|(", "( NAME ? :", "const|let|var NAME :", "public|private|protected|readonly NAME :", ") NAME : NAME", ") : NAME {|=>|<|[", "interface NAME {|<|extends", "type NAME =|<")
 JAVASCRIPT = (
-    Present("javascript.async.present", 0.95, some(before("async", r"(?:function\b|[\w$]+\s*\(|\()"), before("await", ""), call("async"))),
-    First("javascript.type_system", 0.85, {"flow": r"(?://|/\*)\s*@flow\b", "typescript": some(TYPED, r"\b(?:interface|type)\s+[A-Z]"), "jsdoc": marked("type param return returns typedef")}),
-    Either("javascript.module_system", 0.95, ("esm", r"\b(?:import|export)\s"), ("commonjs", some(call("require"), r"module\.exports\b", r"exports\.\w")), "mixed"),
-    First("javascript.class_pattern", 0.90, {"class": before("class", "[A-Z]"), "prototype": r"\.prototype\s*[.=]"}, None),
-    Names("javascript.decorators.present", 0.95, r"(?m)^\s*@([A-Za-z_$][\w$]*)", None),
-    Listed("javascript.http_framework", 0.90, {"express": ROUTES, "fastify": some(call("Fastify fastify"), member_call("fastify", "get post register decorate addHook")), "koa": made("Koa"), "hapi": member_call("Hapi", "server Server"), "native_http": member_call("http https", "createServer")}),
-    Listed("javascript.middleware_patterns", 0.90, {"body_parser": member_call("bodyParser express", "json urlencoded"), "cors": call("cors"), "helmet": call("helmet"), "morgan": call("morgan"), "error_handler": r"\(\s*err\s*,\s*req\s*,\s*res\s*,\s*next\s*\)", "static_files": member_call("express", "static")}),
-    Listed("javascript.database_client", 0.90, {"mongoose": some(member("mongoose", "Schema model connect"), made("Schema")), "sequelize": some(made("Sequelize"), member_call("sequelize", "define"), r"\bDataTypes\."), "knex": some(call("knex"), r"\bknex\.(?:schema|migrate)\."), "mongodb_native": word("MongoClient"), "redis": some(made("Redis"), member_call("redis", "createClient")), "prisma": some(word("PrismaClient"), r"prisma\.\w+\.(?:findMany|create|update|delete)\s*\(")}),
-    Listed("javascript.auth_patterns", 0.90, {"jwt": member_call("jwt", "sign verify decode"), "passport": member_call("passport", "authenticate use initialize session"), "bcrypt": member_call("bcrypt", "hash compare genSalt hashSync compareSync"), "oauth": word("OAuth2Client OAuth2Strategy"), "session_auth": some(member("req", "session"), member_call("req", "isAuthenticated"))}),
-    Listed("javascript.realtime_messaging", 0.90, {"socketio": some(member_call("socket", "join leave"), member_call("io", "of to emit"), r"\bio\.on\s*\(\s*['\"]connection['\"]"), "websocket": some(made("WebSocket"), word("WebSocketServer")), "event_emitter": word("EventEmitter"), "message_queue": some(member_call("channel", "sendToQueue consume assertQueue"), member_call("amqp", "connect"))}),
+    Present("javascript.async.present", 0.95, ("async function|(", "async NAME (|=>", "await")),
+    First("javascript.type_system", 0.85, {"flow": "COMMENT @flow|//@flow|/*@flow", "typescript": TYPED, "jsdoc": "COMMENT @type|@param|@return|@returns|@typedef"}),
+    Either("javascript.module_system", 0.95, ("esm", "import|export NAME|{|*|TEXT"), ("commonjs", ("require (", "module . exports", "exports . NAME")), "mixed"),
+    First("javascript.class_pattern", 0.90, {"class": "class NAME", "prototype": ". prototype .|=|["}, None),
+    Names("javascript.decorators.present", 0.95, "LINE @ NAME", None),
+    Listed("javascript.http_framework", 0.90, {"express": ROUTES, "fastify": ("Fastify|fastify (", "fastify . get|post|register|decorate|addHook ("), "koa": "new Koa (", "hapi": "Hapi . server|Server (", "native_http": "http|https . createServer ("}),
+    Listed("javascript.middleware_patterns", 0.90, {"body_parser": "bodyParser|express . json|urlencoded (", "cors": "cors (", "helmet": "helmet (", "morgan": "morgan (", "error_handler": "( err , req , res , next )", "static_files": "express . static ("}),
+    Listed("javascript.database_client", 0.90, {"mongoose": ("mongoose . Schema|model|connect", "new Schema ("), "sequelize": ("new Sequelize (", "sequelize . define (", "DataTypes ."), "knex": ("knex (", "knex . schema|migrate ."), "mongodb_native": "MongoClient", "redis": ("new Redis (", "redis . createClient ("), "prisma": ("PrismaClient", "prisma . NAME . findMany|create|update|delete (")}),
+    Listed("javascript.auth_patterns", 0.90, {"jwt": "jwt . sign|verify|decode (", "passport": "passport . authenticate|use|initialize|session (", "bcrypt": "bcrypt . hash|compare|genSalt|hashSync|compareSync (", "oauth": "OAuth2Client|OAuth2Strategy", "session_auth": ("req . session", "req . isAuthenticated (")}),
+    Listed("javascript.realtime_messaging", 0.90, {"socketio": ("socket . join|leave (", "io . of|to|emit (", "io . on ( TEXT"), "websocket": ("new WebSocket (", "WebSocketServer"), "event_emitter": "EventEmitter", "message_queue": ("channel . sendToQueue|consume|assertQueue (", "amqp . connect (")}),
 )
 
 TYPESCRIPT = (
-    Present("typescript.strict_mode", 0.85, some(before("as", r"\w"), r"\w\s*!\s*[.\[]", rf"\w\s*:\s*{one(SIMPLE_TYPES)}")),
-    Present("typescript.generic.present", 0.90, some(r"<\s*[A-Z]", r"(?:function|class|interface|type)\s+\w+\s*<")),
-    Listed("typescript.framework_decorators", 0.90, {"controller": marked_call("Controller"), "injectable": marked_call("Injectable"), "module": marked_call("Module"), "guard": marked_call("UseGuards"), "pipe": marked_call("UsePipes"), "interceptor": marked_call("UseInterceptors")}),
-    Listed("typescript.rest_http_patterns", 0.90, {"http_method": marked_call("Get Post Put Delete Patch Head Options All"), "param_decorator": marked_call("Param Query Body Headers"), "status_header": marked_call("HttpCode Header"), "express_router": ROUTES, "fastify": some(call("Fastify fastify"), method_call("register"))}),
-    Listed("typescript.orm_persistence", 0.90, {"typeorm_entity": marked_call("Entity"), "typeorm_column": marked_call("Column PrimaryGeneratedColumn PrimaryColumn"), "typeorm_relation": marked_call("OneToMany ManyToOne OneToOne ManyToMany"), "typeorm_repository": some(of_type("Repository"), r"getRepository\s*\(", marked_call("InjectRepository")), "prisma": some(word("PrismaClient"), r"prisma\.\w+\.(?:findMany|findUnique|create|update|delete)\s*\("), "mongoose": some(member("mongoose", "Schema"), member_call("mongoose", "model"), made("Schema"))}),
-    Listed("typescript.dependency_injection", 0.90, {"inject": marked_call("Inject"), "nest_inject": marked_call("InjectRepository InjectModel InjectConnection"), "inversify": r"@(?:injectable|inject)\s*\(\s*\)", "provide": r"\b(?:useFactory|useClass|useValue)\s*:"}),
-    Listed("typescript.reactive_rxjs", 0.90, {"observable": of_type("Observable"), "subject": of_type("Subject BehaviorSubject ReplaySubject"), "pipe": method_call("pipe"), "operators": call("switchMap mergeMap concatMap exhaustMap catchError")}),
+    Present("typescript.strict_mode", 0.85, (")|]|} as NAME", "=|(|.|return NAME as NAME", "as any|unknown|const|string|number|boolean|never|object", "NAME|)|] ! .|[|;|)|,", "NAME|)|? : string|number|boolean|void|any|never|unknown")),
+    Present("typescript.generic.present", 0.90, ("< TYPE >|,|<|.|[|=|extends", "TYPE < NAME >|,|[|<", "function|class|interface|type NAME <")),
+    Listed("typescript.framework_decorators", 0.90, {"controller": "@ Controller (", "injectable": "@ Injectable (", "module": "@ Module (", "guard": "@ UseGuards (", "pipe": "@ UsePipes (", "interceptor": "@ UseInterceptors ("}),
+    Listed("typescript.rest_http_patterns", 0.90, {"http_method": "@ Get|Post|Put|Delete|Patch|Head|Options|All (", "param_decorator": "@ Param|Query|Body|Headers (", "status_header": "@ HttpCode|Header (", "express_router": ROUTES, "fastify": ("Fastify|fastify (", ". register (")}),
+    Listed("typescript.orm_persistence", 0.90, {"typeorm_entity": "@ Entity (", "typeorm_column": "@ Column|PrimaryGeneratedColumn|PrimaryColumn (", "typeorm_relation": "@ OneToMany|ManyToOne|OneToOne|ManyToMany (", "typeorm_repository": ("Repository <", "getRepository (", "@ InjectRepository ("), "prisma": ("PrismaClient", "prisma . NAME . findMany|findUnique|create|update|delete ("), "mongoose": ("mongoose . Schema", "mongoose . model (", "new Schema (")}),
+    Listed("typescript.dependency_injection", 0.90, {"inject": "@ Inject (", "nest_inject": "@ InjectRepository|InjectModel|InjectConnection (", "inversify": "@ injectable|inject (", "provide": "useFactory|useClass|useValue :"}),
+    Listed("typescript.reactive_rxjs", 0.90, {"observable": "Observable <", "subject": "Subject|BehaviorSubject|ReplaySubject <", "pipe": ". pipe (", "operators": "switchMap|mergeMap|concatMap|exhaustMap|catchError ("}),
 )
 
 BY_LANGUAGE = {"c": C, "cpp": CPP, "java": JAVA, "go": GO, "javascript": JAVASCRIPT, "typescript": JAVASCRIPT + TYPESCRIPT, "python": ()}
 
-#: What any language may show: a name with a type behind a colon, a type before a name; an addition of two names; an
-#: operator + of one's own.
-HINTS = some(rf"\b{NAME}\s*:\s*[A-Za-z_]", rf"\b(?:const\s+)?[A-Za-z_][\w:<>]*\s+[*&\s]*{NAME}\s*[,);=]")
-ADDED = rf"\b{NAME}\s*\+\s*{NAME}\b"
-OWN_PLUS = r"\boperator\s*\+\s*\("
-USER_TYPE = before("class struct")
-
-PRIMITIVE = frozenset(
-    "auto;bool;char;char8_t;char16_t;char32_t;double;float;int;long;long double;long long;short;signed;signed char;signed int;signed long;signed long long;signed short;size_t;std::size_t;std::string;"
-    "unsigned;unsigned char;unsigned int;unsigned long;unsigned long long;unsigned short;void;wchar_t".split(";")
-)
-QUALIFIERS = frozenset("const constexpr volatile static inline friend typename mutable register".split())
+#: Words that stand before a name without being its type.
+NO_TYPE = "return else new delete in is not and or if elif import from as await yield throw throws goto case package using go defer of typeof instanceof raise assert del lambda class def func function".split()
+KINDS["WORD"] = rf"(?!(?:{'|'.join(NO_TYPE)}) ){KINDS['NAME']}"
+#: What any language may show: a name with a type behind a colon, or a type before a name that a list, a statement or a value
+#: follows; an addition of two names; an operator + of one's own.
+HINTS = ("NAME : NAME", "WORD|> NAME ,|)|;|=", "WORD|> *|&|&& NAME ,|)|;|=", "] WORD NAME ,|)|;|=")
+ADDED = "NAME + NAME"
+OWN_PLUS = "operator + ("
+USER_TYPE = "class|struct NAME"
+
+#: Types that come with C++, and words before a type that aren't part of it.
+PRIMITIVE = frozenset({
+    "auto", "bool", "char", "char8_t", "char16_t", "char32_t", "double", "float", "int", "long", "long double", "long long", "short", "signed", "signed char", "signed int", "signed long",
+    "signed long long", "signed short", "size_t", "std::size_t", "std::string", "unsigned", "unsigned char", "unsigned int", "unsigned long", "unsigned long long", "unsigned short", "void", "wchar_t",
+})
+QUALIFIERS = frozenset({"const", "constexpr", "volatile", "static", "inline", "friend", "typename", "mutable", "register"})
