@@ -19,8 +19,13 @@ CONTROL = frozenset("if else for while do switch try catch finally synchronized
 HIDDEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|\"\"\".*?(?:\"\"\"|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
 RAW = re.compile(r"`[^`]*`")
 DIRECTIVE = re.compile(r"(?m)^[ \t]*#(?:[^\n\\]|\\.|\\\n)*")
-ANNOTATION = re.compile(r"@[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?")
-TYPE = re.compile(r"\b(class|struct|interface|record|union|@interface)\s+(?:alignas\s*\([^)]*\)\s*)?([A-Za-z_]\w*)")
+ANNOTATION = re.compile(r"@(?!interface\b)[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?")
+TYPE = re.compile(r"\b(class|struct|interface|record|union)\b")
+NATIVE_ENUM, JAVA_ENUM = re.compile(r"\benum\b[^()=]*$"), re.compile(r"\benum\s+[A-Za-z_]\w*\s*(?:implements\b[^()]*)?$")
+#: What may stand between a type's keyword and its name: attributes, and calls such as alignas(8) or EXPORT(x).
+ATTRIBUTE = re.compile(r"\[\[.*?\]\]|\b\w+\s*\((?:[^()]|\([^()]*\))*\)", re.S)
+#: A C function's head before types stood in its parentheses, up to its first declaration; one more declaration.
+OLD_HEAD, OLD_DECLARATION = re.compile(r"[A-Za-z_]\w*\s*\([\w\s,]+\)\s*[A-Za-z_][\w\s*,\[\]]*$"), re.compile(r"\s*[A-Za-z_][\w\s*,\[\]]*")
 GO_TYPE = re.compile(r"\btype\s+([A-Za-z_]\w*)(?:\[[^\]]*\])?\s+(struct|interface)\s*$")
 GO_FUNC = re.compile(r"\bfunc\s*(?:\(\s*(?:\w+\s+)?\*?\s*([A-Za-z_]\w*)(?:\[[^\]]*\])?\s*\)\s*)?([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)?\(")
 SCRIPT_FUNC = re.compile(r"(?:\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*\([^()]*\)|([A-Za-z_$][\w$]*)\s*[=:]\s*(?:async\s+)?(?:function\s*\*?\s*\([^()]*\)|\([^()]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)|^\s*(?:(?:async|static|get|set|public|private|protected)\s+)*([A-Za-z_$][\w$]*)\s*\([^()]*\))[^;{}]*$")
@@ -55,10 +60,35 @@ def matching(text: str) -> dict[int, int]:
     return out
 
 
+def without_template(head: str) -> str:
+    """A head with its template parameter lists blanked out; places stay."""
+    while m := re.search(r"\btemplate\s*<", head):
+        depth, round_, at = 1, 0, m.end()
+        while at < len(head) and depth:
+            c = head[at]
+            round_ += (c == "(") - (c == ")")
+            depth += 0 if round_ else (c == "<") - (c == ">")
+            at += 1
+        head = head[: m.start()] + " " * (at - m.start()) + head[at:]
+    return head
+
+
+def type_name(head: str, at: int, language: str) -> re.Match | None:
+    """The name of the type whose keyword ends at a place of its head. In C and C++ macros and qualifiers may stand before it:
+    it is the last name before bases, type arguments, ``final`` or the brace; what is initialized is no type."""
+    if language == "java":
+        return re.compile(r"\s+([A-Za-z_]\w*)").match(head, at)
+    rest = ATTRIBUTE.sub(lambda m: " " * len(m[0]), head[at:])
+    end = re.search(r"(?<!:):(?!:)|<|\bfinal\b|=|$", rest)
+    if end[0] == "=":
+        return None
+    return next(iter([*re.compile(r"([A-Za-z_]\w*)").finditer(head[:at] + rest, at, at + end.start())][::-1]), None)
+
+
 def declared(head: str, language: str, within: tuple[str, str] | None) -> tuple[str, str, str | None, int] | None:
     """(kind, name, class, where the name is) of what a head declares, if it declares anything; within: kind and name of
-    what it stands in."""
-    owner = within[1] if within and within[0] == "class" else None
+    what it stands in. An enum is no unit: what it holds are methods of what stands around it."""
+    owner = within[1] if within and within[0] in ("class", "enum") else None
     if language == "go":
         if m := GO_TYPE.search(head):
             return "class", m[1], None, m.start(1)
@@ -76,9 +106,14 @@ def declared(head: str, language: str, within: tuple[str, str] | None) -> tuple[
     first = re.match(r"\s*(?:\}\s*)?([A-Za-z_]\w*)", head)
     if first and first[1] in CONTROL:
         return None
+    if language != "java":
+        head = without_template(head)
+    if (JAVA_ENUM if language == "java" else NATIVE_ENUM).search(head):
+        return "enum", owner, None, 0
     m = TYPE.search(head)
-    if m and not re.search(r"\)\s*(?:const|noexcept|override|final|throws\b.*)?\s*$", head[m.end() :]) or m and m[1] == "record":
-        return "class", m[2], None, m.start(2)
+    if m and (m[1] == "record" or not re.search(r"\)\s*(?:const|noexcept|override|final|throws\b.*)?\s*$", head[m.end() :])):
+        name = type_name(head, m.end(), language)
+        return name and ("class", name[1], None, name.start(1))
     opening = head.find("(")
     while opening >= 0:
         m = NAME.search(head[:opening])
@@ -87,13 +122,13 @@ def declared(head: str, language: str, within: tuple[str, str] | None) -> tuple[
         if m and m[1] in CONTROL:
             return None
         opening = head.find("(", opening + 1)
-    if opening < 0 or "=" in head[:opening] and not m[1].startswith("operator") or re.search(r"\bnew\b|->\s*$|\benum\b", head[:opening] if "->" not in head else head[:opening] + head[head.rfind("->") :]):
+    if opening < 0 or "=" in head[:opening] and not m[1].startswith("operator") or re.search(r"\bnew\b|->\s*$", head[:opening] if "->" not in head else head[:opening] + head[head.rfind("->") :]):
         return None
     name = re.sub(r"\s+", "", m[1])
     outer = QUALIFIED.search(head[: m.start()])
     if outer:
         return "method", name, outer[1], m.start()
-    return ("method" if owner else "function"), name, owner, m.start()
+    return ("method" if owner or within and within[0] == "enum" else "function"), name, owner, m.start()
 
 
 def units(code: str, path: str, language: str, most: int) -> list[tuple]:
@@ -113,7 +148,8 @@ def units(code: str, path: str, language: str, most: int) -> list[tuple]:
     cut = lambda a, b: textwrap.dedent("\n".join(x.rstrip("\r") for x in lines[a - 1 : b]))
     out: list[tuple] = []
     open_: list[tuple[int, tuple[str, str] | None]] = []  # end of what stands around, and what it is
-    since, depth = 0, 0
+    since, depth, old = 0, 0, None  # old: where a head began whose parameters are declared behind it
+    constants = -1  # the end of the enum whose constants are being listed
     for m in re.finditer(r"[;{}()]", text):
         c, at = m[0], m.start()
         if c in "()":
@@ -122,10 +158,17 @@ def units(code: str, path: str, language: str, most: int) -> list[tuple]:
         while open_ and open_[-1][0] < at:
             open_.pop()
         if c == "{" and at in close:
-            head = text[since:at]
+            if old is not None and not text[since:at].strip():
+                since = old
+            head, old = text[since:at], None
+            if language == "c" and ";" in head:
+                head = head[: head.find(")") + 1]
             within = open_[-1][1] if open_ else None
-            found = None if within and within[0] in ("function", "method") and language not in ("javascript", "typescript") else declared(head, language, within)
-            if found:
+            in_constant = open_ and open_[-1][0] == constants
+            found = None if in_constant or within and within[0] in ("function", "method") and language not in ("javascript", "typescript") else declared(head, language, within)
+            if found and found[0] == "enum":
+                constants = close[at] if language == "java" else -1
+            elif found:
                 kind, name, owner, offset = found
                 # where statements need no semicolon, a declaration starts on its name's line
                 first = line(since + (len(head) - len(head.lstrip()) if language in ("c", "cpp", "java") else offset))
@@ -137,6 +180,11 @@ def units(code: str, path: str, language: str, most: int) -> list[tuple]:
             open_.append((close[at], (found[0], found[1]) if found else within if within and within[0] != "class" else None))
             since, depth = at + 1, 0
         elif c != ";" or not depth:
+            if c == ";" and open_ and open_[-1][0] == constants:
+                constants = -1
+            if language == "c":
+                said = text[since:at]
+                old = since if c == ";" and not open_ and OLD_HEAD.search(said) else old if c == ";" and OLD_DECLARATION.fullmatch(said) else None
             since = at + 1
     return sorted(out, key=lambda r: (r[8], -r[9], r[6] or 0))
 

@@ -286,11 +286,11 @@ def signal_query(language: str) -> None:
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         code = F.element_at(F.array(*(F.lit(t) for t, _ in made)), (F.col("p_partkey") % len(made) + 1).cast("int"))
-        units = table(spark, sf, "part").select(F.col("p_partkey").alias("unit_id"), F.lit(language).alias("language"), code.alias("code"))
+        units = table(spark, sf, "part").select(F.col("p_partkey").alias("unit_id"), F.lit(language).alias("language"), F.replace(code, F.lit("{n}"), F.col("p_partkey").cast("string")).alias("code"))
         return signals.signals(units).groupBy("key", "value", "confidence").agg(F.count("*").alias("units"))
 
     run.__name__ = f"signals_{language}"
-    query(f"SELECT key, value, confidence, count(*) AS units FROM part JOIN (VALUES {rows}) AS t(i, key, value, confidence) ON p_partkey % {len(made)} = t.i GROUP BY ALL")(run)
+    query(f"SELECT key, replace(value, '{{n}}', CAST(p_partkey AS VARCHAR)) AS value, confidence, count(*) AS units FROM part JOIN (VALUES {rows}) AS t(i, key, value, confidence) ON p_partkey % {len(made)} = t.i GROUP BY ALL")(run)
 
 
 for _language in texts.TEXTS:
@@ -301,9 +301,9 @@ for _language in texts.TEXTS:
 
 #: A text for each language (its functions numbered), and its units: name, type, block type, first and last line.
 UNITS = {
-    "c": ("#define X(a) { a\nstatic int f{n}(int a)\n{\n  // open {\n  for (;;) {\n    if (a > '{') {\n      a++;\n    }\n  }\n  return a;\n}\n", [("f{n}", "function", None, 2, 11), ("f{n}.for_1", "block", "for", 5, 9), ("f{n}.for_1.if_1", "block", "if", 6, 8)]),
-    "cpp": ("namespace n {\nclass K{n} {\n  int get() const {\n    while (x) {\n      y();\n    }\n  }\n};\n}\nvoid K{n}::run(int z) {\n}\n", [("K{n}", "class", None, 2, 8), ("get", "method", None, 3, 7), ("get.while_1", "block", "while", 4, 6), ("run", "method", None, 10, 11)]),
-    "java": ("package p;\npublic class K{n} {\n  @Override\n  public int m{n}(int a) throws E {\n    try {\n      go();\n    } catch (E e) {\n    }\n  }\n}\n", [("K{n}", "class", None, 2, 10), ("m{n}", "method", None, 3, 9), ("m{n}.try_1", "block", "try", 5, 7)]),
+    "c": ("#define X(a) { a\nstatic int f{n}(int a)\n{\n  // open {\n  for (;;) {\n    if (a > '{') {\n      a++;\n    }\n  }\n  return a;\n}\nint add{n}(a, b)\n  int a;\n  char *b;\n{\n  return a;\n}\nenum e{n} { A };\n", [("f{n}", "function", None, 2, 11), ("f{n}.for_1", "block", "for", 5, 9), ("f{n}.for_1.if_1", "block", "if", 6, 8), ("add{n}", "function", None, 12, 17)]),
+    "cpp": ("namespace n {\nclass K{n} {\n  int get() const {\n    while (x) {\n      y();\n    }\n  }\n};\n}\nvoid K{n}::run(int z) {\n}\ntemplate <class T, class U = K<T>>\nclass EXPORT V{n} final : public K<T> {\n  void f() {\n  }\n};\nenum class E{n} : int {\n  A\n};\n", [("K{n}", "class", None, 2, 8), ("get", "method", None, 3, 7), ("get.while_1", "block", "while", 4, 6), ("run", "method", None, 10, 11), ("V{n}", "class", None, 12, 16), ("f", "method", None, 14, 15)]),
+    "java": ("package p;\npublic class K{n} {\n  @Override\n  public int m{n}(int a) throws E {\n    try {\n      go();\n    } catch (E e) {\n    }\n  }\n}\nenum Z{n} {\n  A {\n    int g() {\n      return 1;\n    }\n  }, B;\n  int h{n}() {\n    return 2;\n  }\n}\n", [("K{n}", "class", None, 2, 10), ("m{n}", "method", None, 3, 9), ("m{n}.try_1", "block", "try", 5, 7), ("g", "method", None, 13, 15), ("h{n}", "method", None, 17, 19)]),
     "go": ("package p\n\ntype T{n} struct {\n  a int\n}\n\nfunc (t *T{n}) M(a int) (int, error) {\n  for {\n    x()\n  }\n}\n", [("T{n}", "class", None, 3, 5), ("M", "method", None, 7, 11), ("M.for_1", "block", "for", 8, 10)]),
     "javascript": ("class K{n} {\n  m(a) {\n    if (a) {\n      b();\n    }\n  }\n}\nconst f{n} = (x) => {\n  return x;\n};\n", [("K{n}", "class", None, 1, 7), ("m", "method", None, 2, 6), ("m.if_1", "block", "if", 3, 5), ("f{n}", "function", None, 8, 10)]),
     "typescript": ("export function f{n}<T>(a: T[], b?: number): T {\n  for (const x of a as T[]) {\n    use(x!);\n  }\n  return a[0];\n}\n", [("f{n}", "function", None, 1, 6), ("f{n}.for_of_1", "block", "for_of", 2, 4)]),

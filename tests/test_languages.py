@@ -80,6 +80,26 @@ def test_brace_units(language):
     assert rows(code, language) == want
 
 
+DECLARED = [
+    ("cpp", "template <class T>\nclass V {\n void f() {\n }\n};", [("V", "class", None), ("f", "method", "V")]),
+    ("cpp", "template <class T, class U = std::map<T, int>> struct P {\n};", [("P", "class", None)]),
+    ("cpp", "template <template <class> class C, int N = (1 > 0)> class alignas(8) Q : public C<int> {\n};", [("Q", "class", None)]),
+    ("cpp", "class EXPORT K final : public B {\n int g() const {\n return 1;\n }\n};", [("K", "class", None), ("g", "method", "K")]),
+    ("cpp", "class API(x) [[nodiscard]] L {\n};\ntemplate <> struct H<int> {\n};\nstruct O::I {\n};", [("L", "class", None), ("H", "class", None), ("I", "class", None)]),
+    ("cpp", "enum class Color : int {\n A, B\n};\nenum E { X };\nclass C { enum D { Y }; void h() {\n } };", [("C", "class", None), ("h", "method", "C")]),
+    ("cpp", "template <class T> T top(T a) {\n return a;\n}\nclass T2 *made() {\n return 0;\n}", [("top", "function", None), ("made", "function", None)]),
+    ("c", "struct P x = { 1, 2 };\nenum color f(void) {\n return 0;\n}\nstruct __attribute__((packed)) Q { int a; };\nstruct P *g(int a) {\n}", [("f", "function", None), ("Q", "class", None), ("g", "function", None)]),
+    ("c", "int add(a, b)\n int a;\n char *b;\n{\n if (a) {\n a++;\n }\n}\nint x;\nstruct S { int y; };\nvoid last() {\n}", [("add", "function", None), ("add.if_1", "block", None), ("S", "class", None), ("last", "function", None)]),
+    ("c", "MACRO(x) int a;\nint main(void) {\n}", [("main", "function", None)]),
+    ("java", "public enum Z implements I {\n A(1) {\n  int f() {\n   return 1;\n  }\n }, B(2);\n final int n;\n Z(int n) {\n  this.n = n;\n }\n int g() {\n  return n;\n }\n}\nclass O {\n enum Y { C; void h() {\n } }\n void k() {\n }\n}\n@interface M {\n}", [("f", "method", None), ("Z", "method", None), ("g", "method", None), ("O", "class", None), ("h", "method", "O"), ("k", "method", "O"), ("M", "class", None)]),
+]
+
+
+@pytest.mark.parametrize("language, code, want", DECLARED)
+def test_declarations(language, code, want):
+    assert [(r[0], r[1], r[2] if r[1] != "block" else None) for r in rows(code, language)] == want
+
+
 def test_cleaned_text_keeps_its_places():
     code = "a /* {\n */ b // }\n'\\'{' \"{\\\"\" `{\n`"
     got = braces.cleaned(code, "go")
