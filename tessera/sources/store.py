@@ -4,8 +4,10 @@ A snapshot is a folder of its own that counts once its marker is written, after
 newest that has one. A writer that dies leaves no half index, and nothing is ever overwritten: a snapshot's name holds the
 time and a random part, so that two writers never share one, and its marker is made once or not at all.
 
-Changes of some files are written as deltas, a snapshot each that names the one it follows: entries that came, files whose
-entries went, suppressions that came or went. A read lays them over the last whole snapshot; compacting writes that anew.
+Changes of some files are written as deltas, a snapshot each: entries that came, files whose entries went, suppressions
+that came or went. A read merges all deltas with the last whole snapshot at once: the version that a row came in against
+the last that its key went in, one join whatever number of deltas there are. Compacting writes the state anew, and names
+the deltas that it covers: one that another writer finished meanwhile, whatever its name, still counts.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 PREFIX = f"schema{SCHEMA_VERSION}-"
 DELTA = "-delta"
+#: Deltas after which a writer compacts.
+MOST_DELTAS = 64
+COMPACTED = "compacted"
 TABLES = {"entries": "file_path", "metadata": "file_path", "suppressions": "hash"}
 
 
@@ -42,14 +47,46 @@ def _new(spark: SparkSession, root: str, kind: str = "") -> str:
     return f"{PREFIX}{max([*old, int(time.time() * 1000) - 1]) + 1:016d}-{uuid.uuid4().hex[:12]}{kind}"
 
 
-def _write(spark: SparkSession, root: str, name: str, tables: dict[str, DataFrame]) -> str:
+def _write(spark: SparkSession, root: str, name: str, tables: dict[str, DataFrame], covered: list[str] | None = None) -> str:
+    """Writes tables and then their marker, which names the deltas that they cover."""
     for table, df in tables.items():
         df.write.parquet(f"{root}/{name}/{table}")
     fs, path = _fs(spark, root)
-    fs.create(path(f"{root}/{name}/WHOLE"), False).close()
+    out = fs.create(path(f"{root}/{name}/WHOLE"), False)
+    if covered is not None:
+        out.write(bytearray("\n".join([COMPACTED, *covered]).encode()))
+    out.close()
     return name
 
 
+def _covered(spark: SparkSession, root: str, name: str) -> list[str] | None:
+    """The deltas that a compaction covers; None for a snapshot that stands for all before it."""
+    fs, path = _fs(spark, root)
+    at = path(f"{root}/{name}/WHOLE")
+    n = fs.getFileStatus(at).getLen()
+    if not n:
+        return None
+    source = fs.open(at)
+    try:
+        return bytes(source.readNBytes(n)).decode().split("\n")[1:]
+    finally:
+        source.close()
+
+
+def layers(spark: SparkSession, root: str, table: str, upto: str | None = None) -> tuple[str | None, list[str]]:
+    """The last whole snapshot that has the table and the deltas to be laid over it, oldest first; upto: as of that one."""
+    known = snapshots(spark, root)
+    if upto is not None:
+        known = known[: known.index(upto) + 1] if upto in known else []
+    last = next((i for i in reversed(range(len(known))) if not known[i].endswith(DELTA) and _has(spark, root, known[i], table)), None)
+    if last is None:
+        deltas = [n for n in known if n.endswith(DELTA)]
+        return None, deltas if any(_has(spark, root, n, table) for n in deltas) else []
+    covered = _covered(spark, root, known[last])
+    late = [n for n in known[:last] if n.endswith(DELTA) and n not in set(covered)] if covered is not None else []
+    return known[last], late + [n for n in known[last + 1 :] if n.endswith(DELTA)]
+
+
 def save(tables: dict[str, DataFrame], root: str) -> str:
     """Writes the tables as the next snapshot; returns its name."""
     spark = next(iter(tables.values())).sparkSession
@@ -76,39 +113,47 @@ def _has(spark: SparkSession, root: str, name: str, table: str) -> bool:
 
 
 def load(spark: SparkSession, root: str, table: str, snapshot: str | None = None) -> DataFrame | None:
-    """A table as of the newest (or the named) snapshot, deltas laid over; None if there is none. Each delta is an anti
-    join with its own few keys; compact() where there are many."""
-    known = snapshots(spark, root)
-    if snapshot is not None:
-        known = known[: known.index(snapshot) + 1] if snapshot in known else []
-    last = max((i for i, n in enumerate(known) if not n.endswith(DELTA) and _has(spark, root, n, table)), default=None)
-    out = spark.read.parquet(f"{root}/{known[last]}/{table}") if last is not None else None
-    for name in known[last + 1 if last is not None else 0 :]:
-        if not name.endswith(DELTA):
-            continue
-        if out is not None:
-            gone = spark.read.parquet(f"{root}/{name}/gone").where(F.col("table") == table).select(F.col("key").alias(TABLES[table]))
-            out = out.join(gone, TABLES[table], "left_anti")
-        if _has(spark, root, name, table):
-            came = spark.read.parquet(f"{root}/{name}/{table}")
-            out = came if out is None else out.unionByName(came, allowMissingColumns=True)
-    return out
+    """A table as of the newest (or the named) snapshot, deltas laid over; None if there is none. A row counts if its key
+    went in no later version than the row came in; all deltas are one scan, and one join tells."""
+    whole, deltas = layers(spark, root, table, snapshot)
+    key, at = TABLES[table], F.regexp_extract("_metadata.file_path", f"/({PREFIX}[^/]+)/", 1)
+    base = spark.read.parquet(f"{root}/{whole}/{table}") if whole else None
+    if not deltas:
+        return base
+    parts = [f"{root}/{n}/{table}" for n in deltas if _has(spark, root, n, table)]
+    came = spark.read.option("mergeSchema", "true").parquet(*parts).withColumn("_version", at) if parts else None
+    rows = None if base is None else base.withColumn("_version", F.lit(""))
+    if came is not None:
+        rows = came if rows is None else rows.unionByName(came, allowMissingColumns=True)
+    if rows is None:
+        return None
+    gone = spark.read.parquet(*(f"{root}/{n}/gone" for n in deltas)).where(F.col("table") == table)
+    went = gone.groupBy(F.col("key").alias(key)).agg(F.max(at).alias("_went"))
+    return rows.join(went, key, "left").where(F.col("_went").isNull() | (F.col("_went") <= F.col("_version"))).drop("_version", "_went")
 
 
 def compact(spark: SparkSession, root: str) -> str | None:
     """Writes the newest state as a whole snapshot; its name, or None if there is nothing."""
-    tables = {t: df for t in TABLES if (df := load(spark, root, t)) is not None}
-    return save(tables, root) if tables else None
+    known = snapshots(spark, root)
+    tables = {t: df for t in TABLES if known and (df := load(spark, root, t, known[-1])) is not None}
+    return _write(spark, root, _new(spark, root), tables, [n for n in known if n.endswith(DELTA)]) if tables else None
+
+
+def compact_many(spark: SparkSession, root: str, most: int = MOST_DELTAS) -> str | None:
+    """compact(), where over ``most`` deltas are laid over at each read."""
+    return compact(spark, root) if max(len(layers(spark, root, t)[1]) for t in TABLES) > most else None
 
 
 def prune(spark: SparkSession, root: str, keep: int = 2) -> None:
-    """Deletes all but the newest whole snapshots, and the deltas before them."""
+    """Deletes all but the newest whole snapshots, and the deltas before them that the newest stands for."""
     fs, path = _fs(spark, root)
     known = snapshots(spark, root)
     whole = [n for n in known if not n.endswith(DELTA)]
     if len(whole) > keep:
+        used = {n for t in TABLES for n in layers(spark, root, t)[1]}
         for name in known[: known.index(whole[-keep])]:
-            fs.delete(path(f"{root}/{name}"), True)
+            if name not in used:
+                fs.delete(path(f"{root}/{name}"), True)
 
 
 def erase(spark: SparkSession, root: str) -> bool:
