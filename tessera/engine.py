@@ -115,6 +115,7 @@ class Engine:
         gone = changed.select("file_path") if removed is None else changed.select("file_path").unionByName(removed.select("file_path"))
         both = gone.select(F.explode(F.array(F.lit("entries"), F.lit("metadata"))).alias("table"), F.col("file_path").alias("key"))
         store.save_delta(self.spark, self.location, both, entries=entries, metadata=meta)
+        store.compact_many(self.spark, self.location)
         return self._stats()
 
     def _stats(self, changes: str = "") -> str:
@@ -178,7 +179,8 @@ class Engine:
             return f"Unsupported language '{language}': no registered language plugin."
         probe = trees.entries(self.spark.createDataFrame([("p", language, code)], "probe_id string, language string, code string"))
         found = dup.similar(probe, entries, CHECK_NODES).join(entries.drop("depth"), "unit_id").withColumns({"content_id": F.lit(1).cast("long"), "same_language": F.col("language") == language})
-        best = found.where("same_language").orderBy(dup.rank(F.col("match")), F.desc("depth"), "file_path", "line_start", "name").limit(1).collect()
+        own = entries.where(F.col("language") == language)
+        best = dup.top_similar(probe, own, 1, CHECK_NODES, ("file_path", "line_start", "name")).join(own.drop("depth"), "unit_id").limit(1).collect()
         one = self.spark.createDataFrame([(1, None, language, code)], "content_id long, file_path string, language string, text string")
         return "\n\n".join(filter(None, [self.invalidate() + content.check_text(best[0] if best else None, language), content.assist_text(content.assist(one, found))]))
 

@@ -63,7 +63,7 @@ class BasePlugin:
         labels, parents = self.tree(code)
         own = (self.pattern(labels), parents)
         tree = (labels, parents)
-        return len(labels), max(trees.node_levels(tree), default=0), trees.wl_hash(tree), trees.wl_hash(own), trees.canonical_hash(tree), trees.fingerprint(tree), trees.hierarchy(tree)
+        return len(labels), max(trees.node_levels(tree), default=0), trees.wl_hash(tree), trees.wl_hash(own), trees.canonical_hash(tree), trees.fingerprint(tree), trees.hierarchy(tree), trees.canonical_hash(own)
 
 
 class KnownPlugin(BasePlugin):

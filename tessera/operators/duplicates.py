@@ -14,13 +14,20 @@ def unsuppressed(entries: DataFrame, key: str, suppressed: DataFrame | None) ->
 
 
 def groups(entries: DataFrame, key: str, min_nodes: int = 5, suppressed: DataFrame | None = None) -> DataFrame:
-    """(group_hash, size, n_wl, wl_hash, verified): values of key that at least two entries of min_nodes share. Members
-    are joined back where they are needed: a group of any size is one row here."""
+    """(group_hash, size, n_wl, any_wl, verified): values of key that at least two entries of min_nodes share. Members
+    are joined back where they are needed: a group of any size is one row here. Groups by pattern are verified by the
+    canonical form of patterns, others by that of trees."""
     rows = unsuppressed(entries.where(F.col("node_count") >= min_nodes), key, suppressed)
-    agg = rows.groupBy(F.col(key).alias("group_hash")).agg(F.count("*").alias("size"), F.count_distinct("wl_hash").alias("n_wl"), F.min("wl_hash").alias("any_wl"), (F.min("canonical_hash") == F.max("canonical_hash")).alias("verified"))
+    agg = rows.groupBy(F.col(key).alias("group_hash")).agg(F.count("*").alias("size"), F.count_distinct("wl_hash").alias("n_wl"), F.min("wl_hash").alias("any_wl"), one_form(key).alias("verified"))
     return agg.where("size >= 2")
 
 
+def one_form(key: str) -> Column:
+    """Whether all rows of a group by key have one canonical form."""
+    form = "pattern_form" if key == "pattern_hash" else "canonical_hash"
+    return F.min(form) == F.max(form)
+
+
 def code_units(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("unit_type") != BLOCK)
 
@@ -123,12 +130,48 @@ def similar(probes: DataFrame, entries: DataFrame, min_nodes: int = 5) -> DataFr
 
 def expanded(probes: DataFrame, entries: DataFrame, matched: DataFrame, min_nodes: int) -> DataFrame:
     best = best_tiers(matched)
-    p = probes.where(F.col("node_count") >= min_nodes).select("probe_id", F.col("wl_hash").alias("p_wl_hash"), F.col("fingerprint").alias("p_fingerprint"), F.array_join("hierarchy", "|").alias("p_levels"))
-    e = entries.select("unit_id", "wl_hash", "fingerprint", F.array_join("hierarchy", "|").alias("levels"), (F.col("unit_type") == BLOCK if "unit_type" in entries.columns else F.lit(False)).alias("is_block"))
-    rows = p.join(best, ["p_wl_hash", "p_fingerprint", "p_levels"]).join(e, ["wl_hash", "fingerprint", "levels", "is_block"])
+    rows = probe_structures(probes, min_nodes).join(best, PROBE_KEY).join(entry_structures(entries), ENTRY_KEY)
     return rows.select("probe_id", "unit_id", F.element_at(F.array(*map(F.lit, MATCH)), F.col("tier")).alias("match"), "depth")
 
 
+PROBE_KEY, ENTRY_KEY = ["p_wl_hash", "p_fingerprint", "p_levels"], ["wl_hash", "fingerprint", "levels", "is_block"]
+
+
+def probe_structures(probes: DataFrame, min_nodes: int) -> DataFrame:
+    """(probe_id and PROBE_KEY) of probes of min_nodes."""
+    return probes.where(F.col("node_count") >= min_nodes).select("probe_id", F.col("wl_hash").alias("p_wl_hash"), F.col("fingerprint").alias("p_fingerprint"), F.array_join("hierarchy", "|").alias("p_levels"))
+
+
+def entry_structures(entries: DataFrame, *more: Column) -> DataFrame:
+    """(unit_id, ENTRY_KEY, ...) of entries."""
+    is_block = F.col("unit_type") == BLOCK if "unit_type" in entries.columns else F.lit(False)
+    return entries.select("unit_id", "wl_hash", "fingerprint", F.array_join("hierarchy", "|").alias("levels"), is_block.alias("is_block"), *more)
+
+
+def top_similar(probes: DataFrame, entries: DataFrame, k: int, min_nodes: int = 5, order: tuple[str, ...] = ()) -> DataFrame:
+    """(probe_id, place, unit_id, match, depth): the first k of similar() for every probe, the strongest first; of equal
+    strength those that come first by the columns of order, then by unit_id.
+
+    Counts of structures decide what is named: a strength (tier and depth) of which k stronger entries exist names none. Of
+    a strength that still has places, only the structures with the smallest first members can fill them, as many as there
+    are places, each with as many members: k * k rows at most for a structure of the probes, whatever number of entries
+    match, and k for a probe. A probe that nothing matches has no row; repeated rows count each for itself.
+    """
+    at = F.struct(*order, "unit_id").alias("at")
+    nth = F.row_number().over(Window.partitionBy(*ENTRY_KEY).orderBy("at"))
+    heads = entry_structures(entries, at).withColumn("nth", nth).where(F.col("nth") <= k)
+    best = best_tiers(matched_structures(probes, entries, min_nodes)).withColumn("minus", -F.coalesce("depth", F.lit(0)))
+    strength = [*PROBE_KEY, "tier", "minus"]
+    before = F.sum("n").over(Window.partitionBy(*PROBE_KEY).orderBy("tier", "minus").rowsBetween(Window.unboundedPreceding, -1))
+    places = best.groupBy(*strength).agg(F.sum("n").alias("n")).withColumn("places", k - F.coalesce(before, F.lit(0))).where("places > 0").drop("n")
+    firsts = heads.where("nth = 1").select(*ENTRY_KEY, F.col("at").alias("first"))
+    nearest = F.row_number().over(Window.partitionBy(*strength).orderBy("first"))
+    asked = best.join(firsts, ENTRY_KEY).withColumn("s", nearest).where(F.col("s") <= k).join(places, strength).where("s <= places")
+    place = F.row_number().over(Window.partitionBy(*PROBE_KEY).orderBy("tier", "minus", "at"))
+    named = asked.join(heads, ENTRY_KEY).where("nth <= places").withColumn("place", place).where(F.col("place") <= k)
+    return probe_structures(probes, min_nodes).join(named, PROBE_KEY).select("probe_id", "place", "unit_id", F.element_at(F.array(*map(F.lit, MATCH)), F.col("tier")).alias("match"), "depth")
+
+
 def best_tiers(matched: DataFrame) -> DataFrame:
     """(p_..., wl_hash, fingerprint, levels, is_block, n, tier, depth): the best tier of every two structures, for blocks
     and for other units."""
@@ -141,8 +184,7 @@ def best_tiers(matched: DataFrame) -> DataFrame:
 def similar_counts(probes: DataFrame, entries: DataFrame, min_nodes: int = 5) -> DataFrame:
     """(probe_id, match, depth, entries): how many entries match each probe, without naming them."""
     best = best_tiers(matched_structures(probes, entries, min_nodes)).groupBy("p_wl_hash", "p_fingerprint", "p_levels", "tier", "depth").agg(F.sum("n").alias("entries"))
-    p = probes.where(F.col("node_count") >= min_nodes).select("probe_id", F.col("wl_hash").alias("p_wl_hash"), F.col("fingerprint").alias("p_fingerprint"), F.array_join("hierarchy", "|").alias("p_levels"))
-    return p.join(best, ["p_wl_hash", "p_fingerprint", "p_levels"]).select("probe_id", F.element_at(F.array(*map(F.lit, MATCH)), F.col("tier")).alias("match"), "depth", "entries")
+    return probe_structures(probes, min_nodes).join(best, PROBE_KEY).select("probe_id", F.element_at(F.array(*map(F.lit, MATCH)), F.col("tier")).alias("match"), "depth", "entries")
 
 
 def best_matches(probes: DataFrame, entries: DataFrame, min_nodes: int = 5) -> DataFrame:
@@ -195,7 +237,7 @@ def bucket(entries: DataFrame, hashes: DataFrame) -> DataFrame:
 def verified(entries: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(group_hash, verified): whether all members of a group have one canonical form."""
     rows = members(entries, found, key)
-    return rows.groupBy(F.col(key).alias("group_hash")).agg((F.min("canonical_hash") == F.max("canonical_hash")).alias("verified"))
+    return rows.groupBy(F.col(key).alias("group_hash")).agg(one_form(key).alias("verified"))
 
 
 def gate(best: DataFrame, probes: DataFrame) -> DataFrame:

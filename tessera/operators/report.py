@@ -32,9 +32,9 @@ def location_record(code: bool = False) -> Column:
 
 
 UNIT_FIELDS = ("name", "code", "file_path", "line_start", "line_end", "unit_type", "parent_name", "language", "block_type", "parent_block", "nesting_depth")
-ENTRY_FIELDS = ("unit_id", "wl_hash", "pattern_hash", "canonical_hash", "fingerprint", "hierarchy", "node_count", "depth")
+ENTRY_FIELDS = ("unit_id", "wl_hash", "pattern_hash", "canonical_hash", "fingerprint", "hierarchy", "node_count", "depth", "pattern_form")
 ENTRY_SCHEMA = (
-    "unit_id string, wl_hash string, pattern_hash string, canonical_hash string, fingerprint string, hierarchy array<string>, node_count int, depth int, "
+    "unit_id string, wl_hash string, pattern_hash string, canonical_hash string, fingerprint string, hierarchy array<string>, node_count int, depth int, pattern_form string, "
     "unit struct<name:string,code:string,file_path:string,line_start:int,line_end:int,unit_type:string,parent_name:string,language:string,block_type:string,parent_block:string,nesting_depth:int>"
 )
 

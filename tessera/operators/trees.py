@@ -142,7 +142,7 @@ def fingerprint(tree: Tree) -> str:
     return f"{len(labels)};{len(labels) - 1};{counts};{degrees}"
 
 
-ENTRY = "node_count int, depth int, wl_hash string, pattern_hash string, canonical_hash string, fingerprint string, hierarchy array<string>"
+ENTRY = "node_count int, depth int, wl_hash string, pattern_hash string, canonical_hash string, fingerprint string, hierarchy array<string>, pattern_form string"
 
 
 @functools.lru_cache(20_000)
@@ -150,7 +150,7 @@ def shape(labels: tuple[str, ...], parents: tuple[int, ...], language: str) -> t
     """What ENTRY says of a tree: units of one structure are hashed once a worker."""
     tree = list(labels), list(parents)
     pattern = (pattern_of(tree[0], language), tree[1])
-    return len(tree[0]), max(node_levels(tree), default=0), wl_hash(tree), wl_hash(pattern), canonical_hash(tree), fingerprint(tree), hierarchy(tree)
+    return len(tree[0]), max(node_levels(tree), default=0), wl_hash(tree), wl_hash(pattern), canonical_hash(tree), fingerprint(tree), hierarchy(tree), canonical_hash(pattern)
 
 
 def describe(code: str | None, language: str) -> tuple:
@@ -160,7 +160,7 @@ def describe(code: str | None, language: str) -> tuple:
 
 def entries(units: DataFrame) -> DataFrame:
     """units with the columns of ENTRY added; reads code and language, keeps all columns."""
-    kinds = [pa.int32(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.string())]
+    kinds = [pa.int32(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.string()), pa.string()]
     names = [x.split()[0] for x in ENTRY.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,11 +60,11 @@ def dup_exact(spark: SparkSession, sf: str) -> DataFrame:
     return dup.exact(corpus.part_index(spark, sf)).select("group_hash", "size", "verified")
 
 
-@query(f"""WITH {PART_ENTRIES_SQL}, twice AS (SELECT wl_hash FROM entries_parts GROUP BY 1 HAVING count(*) > 1)
-    SELECT pattern_hash AS group_hash, count(*) AS size, count(DISTINCT wl_hash) AS n_wl FROM entries_parts WHERE node_count >= 5 GROUP BY 1
+@query(f"""WITH {PART_ENTRIES_SQL}, {corpus.form_sql('g_parts_', 'nodes_parts', 'plabel')}, twice AS (SELECT wl_hash FROM entries_parts GROUP BY 1 HAVING count(*) > 1)
+    SELECT pattern_hash AS group_hash, count(*) AS size, count(DISTINCT wl_hash) AS n_wl, count(DISTINCT f) = 1 AS verified FROM entries_parts JOIN g_parts_0 USING (unit_id) WHERE node_count >= 5 GROUP BY 1
     HAVING count(*) >= 2 AND NOT (count(DISTINCT wl_hash) = 1 AND min(wl_hash) IN (SELECT wl_hash FROM twice))""")
 def dup_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    return dup.pattern(corpus.part_index(spark, sf)).select("group_hash", "size", "n_wl")
+    return dup.pattern(corpus.part_index(spark, sf)).select("group_hash", "size", "n_wl", "verified")
 
 
 NATIONS_SQL = "nat AS (SELECT n_nationkey AS unit_id, concat('function g() {', chr(10), 'a(', chr(10), 'if (x) {', chr(10), 'while (y) {', chr(10), 'for (z) {', chr(10), 'try {', chr(10), repeat('go w' || chr(10), CAST(n_nationkey + 1 AS INT)), CASE WHEN n_nationkey % 2 = 0 THEN 'v = ' ELSE 'call()' END, chr(10), '}}}}}') AS code FROM nation)"
@@ -128,6 +128,14 @@ def similar_probe(spark: SparkSession, sf: str) -> DataFrame:
     return dup.similar_counts(corpus.supplier_probes(spark, sf), corpus.part_index(spark, sf))
 
 
+@query(f"""{SIMILAR_SQL}, placed AS (SELECT probe_id, unit_id, r, CASE WHEN r = 3 THEN depth END AS depth, row_number() OVER (PARTITION BY probe_id ORDER BY r, CASE WHEN r = 3 THEN depth ELSE 0 END DESC, unit_id) AS place FROM best)
+    SELECT probe_id, CAST(place AS INT) AS place, unit_id, ['exact', 'high', 'partial'][r] AS match, CAST(depth AS INT) AS depth FROM placed WHERE place <= 10""")
+def similar_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten entries that match each probe best: only those are named."""
+    probes = written(corpus.supplier_probes(spark, sf), "probes")
+    return dup.top_similar(probes, corpus.part_index(spark, sf), 10)
+
+
 @query(f"{SIMILAR_SQL}, top AS (SELECT probe_id, min(r) AS r FROM best GROUP BY 1) SELECT probe_id, ['exact', 'high', 'partial'][r] AS match, coalesce(['STOP', 'CAUTION', 'NOTE'][r], 'CREATE') AS decision FROM entries_probes LEFT JOIN top USING (probe_id)")
 def gate_decision(spark: SparkSession, sf: str) -> DataFrame:
     probes = written(corpus.supplier_probes(spark, sf), "probes")

@@ -107,15 +107,20 @@ def wl_sql(name: str, nodes: str, label: str, rounds: int, where: str = "true")
     return ", ".join(out)
 
 
+def form_sql(name: str, nodes: str, label: str, deepest: int = 6) -> str:
+    """Common table expressions ending in {name}0 (unit_id, id, parent, f): canonical forms, from the deepest level up."""
+    out = [f"{name}{deepest + 1} AS (SELECT unit_id, id, parent, '' AS f FROM {nodes} WHERE false)"]
+    for d in range(deepest, -1, -1):
+        out.append(f"{name}{d} AS (SELECT v.unit_id, v.id, v.parent, sha256(v.{label} || '(' || coalesce(k.fs, '') || ')') AS f FROM (SELECT * FROM {nodes} WHERE level = {d}) v LEFT JOIN (SELECT unit_id, parent, string_agg(f, '' ORDER BY f) AS fs FROM {name}{d + 1} GROUP BY ALL) k ON k.unit_id = v.unit_id AND k.parent = v.id)")
+    return ", ".join(out)
+
+
 def entries_sql(x: str, columns: str) -> str:
     """Common table expressions ending in entries_X (columns of X, and the hashes)."""
     n = f"nodes_{x}"
     parts = [nodes_sql(x), wl_sql(f"wl_{x}_", n, "label", 3), wl_sql(f"pw_{x}_", n, "plabel", 3)]
     parts += [wl_sql(f"h{d}_{x}_", n, "label", 2, f"level < {d}") for d in range(1, 6)]
-    deepest = 6
-    parts.append(f"f{deepest + 1}_{x} AS (SELECT unit_id, id, parent, '' AS f FROM {n} WHERE false)")
-    for d in range(deepest, -1, -1):
-        parts.append(f"f{d}_{x} AS (SELECT v.unit_id, v.id, v.parent, sha256(v.label || '(' || coalesce(k.fs, '') || ')') AS f FROM (SELECT * FROM {n} WHERE level = {d}) v LEFT JOIN (SELECT unit_id, parent, string_agg(f, '' ORDER BY f) AS fs FROM f{d + 1}_{x} GROUP BY ALL) k ON k.unit_id = v.unit_id AND k.parent = v.id)")
+    parts.append(form_sql(f"f_{x}_", n, "label"))
     parts.append(f"shape_{x} AS (SELECT unit_id, CAST(count(*) AS INT) AS node_count, CAST(max(level) AS INT) AS depth FROM {n} GROUP BY unit_id)")
     parts.append(f"hist_{x} AS (SELECT unit_id, string_agg(label || '=' || c, ',' ORDER BY label) AS t FROM (SELECT unit_id, label, count(*) AS c FROM {n} GROUP BY ALL) GROUP BY unit_id)")
     parts.append(f"deg_{x} AS (SELECT unit_id, string_agg(CAST(d AS VARCHAR), ',' ORDER BY d) AS t FROM (SELECT v.unit_id, count(k.id) AS d FROM {n} v LEFT JOIN {n} k ON k.unit_id = v.unit_id AND k.parent = v.id GROUP BY v.unit_id, v.id) GROUP BY unit_id)")
@@ -123,7 +128,7 @@ def entries_sql(x: str, columns: str) -> str:
     joins = " ".join(f"JOIN h{d}_{x}_ h{d} USING (unit_id)" for d in range(1, 6))
     parts.append(
         f"entries_{x} AS MATERIALIZED (SELECT {columns}, s.node_count, s.depth, w.h AS wl_hash, p.h AS pattern_hash, f.f AS canonical_hash, s.node_count || ';' || (s.node_count - 1) || ';' || hist.t || ';' || deg.t AS fingerprint, [{hier}] AS hierarchy"
-        f" FROM {x} u JOIN shape_{x} s USING (unit_id) JOIN wl_{x}_ w USING (unit_id) JOIN pw_{x}_ p USING (unit_id) JOIN f0_{x} f USING (unit_id) JOIN hist_{x} hist USING (unit_id) JOIN deg_{x} deg USING (unit_id) {joins})"
+        f" FROM {x} u JOIN shape_{x} s USING (unit_id) JOIN wl_{x}_ w USING (unit_id) JOIN pw_{x}_ p USING (unit_id) JOIN f_{x}_0 f USING (unit_id) JOIN hist_{x} hist USING (unit_id) JOIN deg_{x} deg USING (unit_id) {joins})"
     )
     return ", ".join(parts)
 
