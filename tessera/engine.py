@@ -155,14 +155,16 @@ class Engine:
             return "No codebase indexed yet."
         notice, found, n = self.invalidate(), self.analysis(), self.known().count()
         if not found.limit(1).count():
-            paths.clear_reports(self.location)
+            store.clear_reports(self.spark, self.location)
             return notice + report.report_text(found, n)
-        text = report.report_text(found, n)
-        where = paths.write_report(self.location, text)
-        return notice + (report.summary_text(found, n, where) if where else text)
+        where = report.write_report(found, store.new_report(self.location), n)
+        return notice + report.summary_text(found, n, where)
 
     def latest_analysis(self) -> str:
-        return paths.latest_report(self.location) if self.location else "No codebase indexed yet."
+        if not self.location:
+            return "No codebase indexed yet."
+        known = store.reports(self.spark, self.location)
+        return report.read_report(self.spark, known[-1]) if known else "No analysis reports available."
 
     def recommend(self, min_nodes: int = 5) -> str:
         entries = self.table("entries")

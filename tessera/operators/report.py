@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import duplicates as dup
 from tessera.operators.recommend import is_test_location
+from tessera.sources.scratch import written
 
 MIN_NODES, MIN_BLOCK_NODES, MIN_BLOCK_LINES, MIN_NEAR_NODES = 5, 10, 3, 25
 SHOWN, LISTED, FILES, HASHES = 5, 20, 10, 5
@@ -106,38 +107,60 @@ def described(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return out.select("group_hash", "size", "is_test", "line_count", "block_type", F.when((F.col("at_least") == 1) & (F.col("size") > 1), F.col("shallow")).alias("keep"), "locations", "parents")
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with place (long, from 1) by order: a range shuffle sorts them, each task counts its own, and only the tasks'
+    counts are added up. Rows of equal order are numbered in any order; no row is numbered twice."""
+    at, part = F.col("_at"), F.shiftright("_at", 33)  # the task above, the row within it below
+    own = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = own.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = own.withColumn("_part", part).join(F.broadcast(starts), "_part")  # a row a task
+    return placed.withColumn("place", F.col("_start") + at.bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_at", "_start")
+
+
 def finding_lines(found: DataFrame) -> DataFrame:
     """(place, is_test, text): the report's paragraphs, sources first, then tests; numbered by kind, size and hash."""
-    from pyspark.sql import Window
-
     kind = F.element_at(F.create_map(*map(F.lit, ("exact", 0, "block", 1, "pattern", 2, "near", 3))), F.col("kind"))
-    order = Window.orderBy("is_test", kind, F.desc("size"), "group_hash")
     more = F.when(F.col("size") > SHOWN, F.concat(F.lit(" ... +"), F.col("size") - SHOWN, F.lit(" more"))).otherwise("")
     mark = F.when(F.col("kind") == "block", F.concat(F.lit(" ["), F.coalesce("block_type", F.lit("block")), F.lit("]"))).when(F.col("kind") == "pattern", " [pattern]").when(F.col("kind") == "near", " [near-duplicate]").otherwise("")
     sure = F.when(F.col("verified"), " (verified)").otherwise("")
-    rows = found.withColumn("place", F.row_number().over(order))
+    rows = numbered(found.withColumn("_kind", kind), "is_test", "_kind", F.desc("size"), "group_hash")
     head = F.concat("place", F.lit("."), mark, sure, F.lit(" "), F.array_join("locations", ", "), more, F.lit(" ("), "line_count", F.lit(" lines)"))
     keep = F.when(F.col("keep").isNotNull(), F.concat(F.lit("\n   Keep: "), "keep", F.lit(" (shallowest path)"))).otherwise("")
     act = F.concat(F.lit('\n   Action: refactor to eliminate duplication, or suppress(wl_hash="'), "group_hash", F.lit('") if intentional.'))
     return rows.select("place", "is_test", F.concat(head, keep, act).alias("text"))
 
 
+def paragraphs(found: DataFrame, suppressed: int = 0) -> DataFrame:
+    """(place, text): the whole report, a row a paragraph; a heading stands with the first of sources and of tests where
+    there are both, and the last row says how many groups there are."""
+    lines = written(finding_lines(found), "finding-lines")
+    title = F.when(F.col("is_test"), "=== Tests ===\n\n").otherwise("=== Source code ===\n\n")
+    firsts = lines.groupBy("is_test").agg(F.min("place").alias("place"))
+    both = firsts.select("place", title.alias("title"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n")).where("n = 2").drop("n")
+    body = lines.join(F.broadcast(both), "place", "left").select("place", F.concat(F.coalesce("title", F.lit("")), "text", F.lit("\n")).alias("text"))
+    note = f" {suppressed} suppressed." if suppressed else ""
+    none = F.lit("**No significant duplicates.**" + note)
+    total = F.concat(F.lit(f"+ {suppressed} suppressed\n" if suppressed else ""), F.col("n").cast("string"), F.lit(" duplicate groups."))
+    end = lines.agg(F.count("*").alias("n")).select((F.col("n") + 1).alias("place"), F.when(F.col("n") == 0, none).otherwise(total).alias("text"))
+    return body.unionByName(end)
+
+
+def write_report(found: DataFrame, path: str, suppressed: int = 0) -> str:
+    """Writes the report as text files of one folder, by the tasks; their names are in the report's order."""
+    paragraphs(found, suppressed).repartitionByRange("place").sortWithinPartitions("place").select("text").write.text(path)
+    return path
+
+
+def read_report(spark: SparkSession, path: str) -> str:
+    """The whole report of a folder, for one who asked to read it."""
+    parts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), "value").orderBy("name").collect()
+    return "".join(r.value for r in parts).removesuffix("\n")
+
+
 def report_text(found: DataFrame, suppressed: int = 0) -> str:
-    """The whole report, paragraph by paragraph."""
-    rows = finding_lines(found).orderBy("place").toLocalIterator()
-    tests = {r.is_test for r in found.select("is_test").distinct().collect()}
-    out, last, n = [], None, 0
-    for r in rows:
-        if len(tests) == 2 and r.is_test != last:
-            out += ["=== Tests ===" if r.is_test else "=== Source code ===", ""]
-        last = r.is_test
-        out += [r.text, ""]
-        n += 1
-    if not n:
-        return "**No significant duplicates.**" + (f" {suppressed} suppressed." if suppressed else "")
-    if suppressed:
-        out.append(f"+ {suppressed} suppressed")
-    return "\n".join([*out, f"{n} duplicate groups."])
+    """The whole report as one text."""
+    return "\n".join(r.text for r in paragraphs(found, suppressed).orderBy("place").collect())
 
 
 def summary_table(found: DataFrame) -> DataFrame:

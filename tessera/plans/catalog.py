@@ -184,6 +184,31 @@ def suppress_stale(spark: SparkSession, sf: str) -> DataFrame:
     return maintenance.stale(suppressed_three(e), e.where(F.col("file_path").startswith("tests/")))
 
 
+@query(f"""WITH {PART_ENTRIES_SQL}, g AS (SELECT wl_hash, count(*) FILTER (WHERE unit_id % 11 <> 0) AS files, count(*) FILTER (WHERE unit_id % 11 <> 0 AND unit_id % 5 <> 1) AS living, bool_or(unit_id % 11 = 0 OR unit_id % 5 IN (1, 2)) AS touched
+      FROM entries_parts WHERE node_count >= 5 GROUP BY 1 HAVING count(*) >= 2)
+    SELECT wl_hash AS hash, CASE WHEN touched AND living = 0 THEN 'suppressed code structure no longer exists' ELSE 'kept' END AS state, CASE WHEN NOT (touched AND living = 0) THEN CAST(files AS INT) END AS files FROM g""")
+def suppress_invalidate(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppressions of all exact groups against files that went (every eleventh), hold another structure (of each five the
+    second), or only another text (the third): which end, and how many files are left to the others."""
+    e, before = corpus.part_index(spark, sf), corpus.part_files(spark, sf)
+    meta = maintenance.metadata_of(before.withColumn("mtime", F.lit(1.0)), e, 1.0)
+    known = written(maintenance.suppressions(e, dup.exact(e).select(F.col("group_hash").alias("hash")), meta, 1.0), "suppressions")
+    text = F.when(F.col("p_partkey") % 5 == 1, F.expr(corpus.code_expr("(p_partkey + 1)", "p_size"))).when(F.col("p_partkey") % 5 == 2, F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+    now = table(spark, sf, "part").select("p_partkey", "p_size").join(before, "p_partkey").where("p_partkey % 11 <> 0").withColumn("text", text)
+    go_on, ended = maintenance.invalidate(known, e, now.select("file_path", "language", "text"))
+    kept = go_on.select("hash", F.lit("kept").alias("state"), F.size("source_files").alias("files"))
+    return kept.unionByName(ended.select("hash", F.col("reason").alias("state"), F.lit(None).cast("int").alias("files")))
+
+
+@query(f"""WITH {PART_ENTRIES_SQL}, g AS (SELECT wl_hash AS group_hash, count(*) AS size, bool_and(starts_with(file_path, 'tests/')) AS is_test FROM entries_parts WHERE node_count >= 5 GROUP BY 1 HAVING count(*) >= 2)
+    SELECT group_hash, row_number() OVER (ORDER BY is_test, size DESC, group_hash) AS place FROM g""")
+def report_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers that a report gives its findings, by one count a task."""
+    e = corpus.part_index(spark, sf).where("node_count >= 5")
+    found = report.described(e, dup.exact(e), "wl_hash")
+    return report.numbered(found, "is_test", F.desc("size"), "group_hash").select("group_hash", "place")
+
+
 @query("""WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), b AS (SELECT item_id AS doc_id, sha256(text) AS h FROM benchmark)
     SELECT status, count(*) AS files FROM (SELECT CASE WHEN a.doc_id IS NULL THEN 'removed' WHEN b.doc_id IS NULL THEN 'added' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS status
     FROM a FULL JOIN b ON a.doc_id = b.doc_id) GROUP BY 1""")

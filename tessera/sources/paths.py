@@ -1,4 +1,4 @@
-"""Where an index lies, the ignore file, reports, bindings of servers, and folders that clouds keep in step."""
+"""Where an index lies, the ignore file, bindings of servers, and folders that clouds keep in step."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import hashlib
 import json
 import os
 import sys
-import time
 from collections.abc import Iterable, Mapping, Sequence
 from pathlib import Path, PurePath
 from urllib.parse import urlparse
@@ -113,29 +112,6 @@ def workspace(env: Mapping[str, str] | None = None, cwd: str | None = None) -> s
 # ---- files that are written
 
 
-def write_report(folder: str, text: str, at: float | None = None) -> str | None:
-    """Writes a report under its time; where, or None if that failed."""
-    path = Path(folder, time.strftime("analysis_report_%Y%m%d_%H%M%S.txt", time.localtime(at)))
-    try:
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(text, encoding="utf-8")
-    except OSError:
-        return None
-    return str(path)
-
-
-def latest_report(folder: str) -> str:
-    found = sorted(Path(folder).glob("analysis_report_*.txt")) if Path(folder).is_dir() else []
-    return found[-1].read_text(encoding="utf-8") if found else "No analysis reports available."
-
-
-def clear_reports(folder: str) -> int:
-    found = list(Path(folder).glob("analysis_report_*.txt")) if Path(folder).is_dir() else []
-    for path in found:
-        path.unlink()
-    return len(found)
-
-
 def write_file(path: str, text: str, shown: str = "") -> str:
     """Writes a source file; what is said of it."""
     new = not os.path.exists(path)

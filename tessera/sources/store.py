@@ -24,6 +24,7 @@ DELTA = "-delta"
 #: Deltas after which a writer compacts.
 MOST_DELTAS = 64
 COMPACTED = "compacted"
+REPORT = "analysis_report_"
 TABLES = {"entries": "file_path", "metadata": "file_path", "suppressions": "hash"}
 
 
@@ -177,6 +178,30 @@ def quarantine(spark: SparkSession, root: str) -> list[str]:
     return bad
 
 
+# ---- reports beside the snapshots
+
+
+def reports(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the reports that are whole, oldest first."""
+    fs, path = _fs(spark, root)
+    found = fs.globStatus(path(f"{root}/{REPORT}*/_SUCCESS")) or []
+    return sorted(s.getPath().getParent().toString() for s in found)
+
+
+def new_report(root: str) -> str:
+    """The folder of a report that is to be written, named by its time."""
+    return f"{root}/{REPORT}{time.strftime('%Y%m%d_%H%M%S')}_{time.time_ns() % 10**9:09d}"
+
+
+def clear_reports(spark: SparkSession, root: str) -> int:
+    """Deletes all reports; how many there were."""
+    fs, path = _fs(spark, root)
+    found = reports(spark, root)
+    for name in found:
+        fs.delete(path(name), True)
+    return len(found)
+
+
 # ---- reads by key
 
 
