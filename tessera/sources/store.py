@@ -25,6 +25,8 @@ DELTA = "-delta"
 MOST_DELTAS = 64
 COMPACTED = "compacted"
 REPORT = "analysis_report_"
+#: Bytes of a row group: what a read by key takes of a file.
+ROW_GROUP = 16 << 20
 TABLES = {"entries": "file_path", "metadata": "file_path", "suppressions": "hash"}
 
 
@@ -48,10 +50,24 @@ def _new(spark: SparkSession, root: str, kind: str = "") -> str:
     return f"{PREFIX}{max([*old, int(time.time() * 1000) - 1]) + 1:016d}-{uuid.uuid4().hex[:12]}{kind}"
 
 
+def _put(df: DataFrame, path: str, table: str) -> None:
+    """Writes a table for reads by key. Each task sorts its own rows by the table's key and gives row groups Bloom filters
+    of key and id where they aren't dictionaries, so a read of one file or id takes the row groups that hold it; nothing
+    is shuffled for it."""
+    keys = [c for c in (TABLES[table], "unit_id") if c in df.columns]
+    out = (df.sortWithinPartitions(keys[0]) if keys else df).write.option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.adaptive.enabled", "true")
+    for c in keys:
+        out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    out.parquet(path)
+
+
 def _write(spark: SparkSession, root: str, name: str, tables: dict[str, DataFrame], covered: list[str] | None = None) -> str:
     """Writes tables and then their marker, which names the deltas that they cover."""
     for table, df in tables.items():
-        df.write.parquet(f"{root}/{name}/{table}")
+        if table in TABLES:
+            _put(df, f"{root}/{name}/{table}", table)
+        else:
+            df.write.parquet(f"{root}/{name}/{table}")
     fs, path = _fs(spark, root)
     out = fs.create(path(f"{root}/{name}/WHOLE"), False)
     if covered is not None:
@@ -102,7 +118,7 @@ def save_delta(spark: SparkSession, root: str, gone: DataFrame | None = None, **
         raise ValueError("nothing changed")
     name = _new(spark, root, DELTA)
     for t, df in came.items():
-        df.write.parquet(f"{root}/{name}/{t}")
+        _put(df, f"{root}/{name}/{t}", t)
         keys = spark.read.schema(df.schema).parquet(f"{root}/{name}/{t}").select(F.lit(t).alias("table"), F.col(TABLES[t]).alias("key"))
         out = keys if out is None else out.unionByName(keys)
     return _write(spark, root, name, {"gone": out.distinct()})

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources import store
 
@@ -74,3 +75,42 @@ def test_columns_and_tables_that_some_layers_lack(small, tmp_path):
     assert {tuple(r) for r in store.load(spark, root, "entries").select("file_path", "more").collect()} == {("b", None), ("c", "x"), ("d", None)}
     store.save({"entries": spark.createDataFrame([], SCHEMA)}, root)
     assert read(spark, root) == [] and store.load(spark, root, "suppressions").count() == 1
+
+
+def rows_read(df):
+    """Rows that the scans of a collected query gave, and its result."""
+    got = df.collect()
+    plan, n = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name.startswith("Scan parquet"):
+            n += p.metrics().apply("numOutputRows").value()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return got, n
+
+
+@pytest.mark.parametrize("delta", [False, True])
+def test_reads_by_key_take_few_row_groups(small, tmp_path, monkeypatch, delta):
+    """40,000 entries in files of many row groups: one file, and one id, whose values lie anywhere, are a few groups."""
+    monkeypatch.setattr(store, "ROW_GROUP", 128 << 10)
+    spark, root = small, str(tmp_path / "s")
+    rows = spark.range(0, 40_000, 1, 4).select(F.concat(F.lit("src/f"), (F.col("id") * 7919 % 4000).cast("string")).alias("file_path"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 32).alias("unit_id"), F.sha2(F.concat(F.lit("c"), F.col("id").cast("string")), 512).alias("code"))
+    store.save({"entries": rows}, root)
+    if delta:
+        store.save_delta(spark, root, entries=spark.createDataFrame([("src/f9", "u", "c")], "file_path string, unit_id string, code string"))
+    e = store.load(spark, root, "entries")
+    own, n = rows_read(store.file_entries(e, "src/f8"))
+    assert len(own) == 10 and n < 12_000
+    wanted = own[3].unit_id
+    one, n = rows_read(store.entry(e, wanted))
+    assert [r.file_path for r in one] == ["src/f8"] and n < 12_000
+    none, n = rows_read(store.entry(e, "not an id"))
+    assert none == [] and n < 6_000
+    assert e.count() == (39_991 if delta else 40_000)
