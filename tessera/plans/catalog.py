@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from tessera.operators import duplicates as dup
 from tessera.operators import extract, labels, maintenance, recommend, report, trees
 from tessera.plans import corpus, texts
 from tessera.plans.corpus import PART_ENTRIES_SQL, PARTS_SQL, PROBE_ENTRIES_SQL, table
-from tessera.sources import scan
-from tessera.sources.scratch import written
+from tessera.sources import scan, store
+from tessera.sources.scratch import folder, written
 from tessera.streaming import events as ev
 from tessera.streaming import storms
 
@@ -236,6 +238,45 @@ def incremental_gate(spark: SparkSession, sf: str) -> DataFrame:
     return maintenance.gated_status(listed, opened, known).groupBy("status", "opened").agg(F.count("*").alias("files"))
 
 
+@query(f"""WITH {PART_ENTRIES_SQL}, ex AS (SELECT wl_hash, min(file_path) AS first FROM entries_parts WHERE node_count >= 5 GROUP BY 1 HAVING count(*) >= 2),
+    now AS (SELECT wl_hash AS h FROM entries_parts WHERE starts_with(file_path, 'tests/') UNION SELECT pattern_hash FROM entries_parts WHERE starts_with(file_path, 'tests/')),
+    changes AS (SELECT CASE WHEN unit_id % 13 <> 0 AND unit_id % 11 = 0 THEN 'deleted' WHEN unit_id % 13 = 0 AND unit_id % 11 <> 0 THEN 'new' WHEN unit_id % 13 <> 0 AND unit_id % 5 = 2 THEN 'modified' END AS kind, file_path FROM parts)
+    SELECT kind, file_path AS item FROM changes WHERE kind IS NOT NULL
+    UNION ALL SELECT 'stale suppression', wl_hash || ': ' || CASE WHEN wl_hash NOT IN (SELECT h FROM now) THEN 'code no longer exists in index' ELSE 'source file ' || first || ' removed from index' END
+      FROM ex WHERE wl_hash NOT IN (SELECT h FROM now) OR NOT starts_with(first, 'tests/')""")
+def staleness(spark: SparkSession, sf: str) -> DataFrame:
+    """What is stale: files that changed, went or came, and suppressions that an index of the tests alone no longer bears."""
+    e, files = corpus.part_index(spark, sf), corpus.part_files(spark, sf)
+    now = files.where("p_partkey % 11 <> 0").withColumn("text", F.when(F.col("p_partkey") % 5 == 2, F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
+    before = files.where("p_partkey % 13 <> 0").select("file_path", maintenance.content_hash(F.col("text")).alias("content_hash"))
+    known = maintenance.suppressions(e, dup.exact(e).select(F.col("group_hash").alias("hash")), before, 1.0)
+    return maintenance.staleness_report(maintenance.status(now, before), e.where(F.col("file_path").startswith("tests/")), known)
+
+
+# ---- the store
+
+
+@query("""SELECT p_brand AS file_path, p_partkey AS unit_id, p_size AS node_count FROM part
+    QUALIFY CASE WHEN p_brand LIKE '%1' THEN p_size <= 10 WHEN p_brand LIKE '%2' THEN p_size > 25 OR max(p_size) OVER (PARTITION BY p_brand) <= 25 ELSE true END""")
+def store_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """An index in the store, a file a brand: files that end in 1 go and come back smaller, those that end in 2 are replaced."""
+    root = f"{folder(spark)}/store-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("unit_id"), F.col("p_size").alias("node_count"))
+    one, two = (F.col("file_path").endswith(x) for x in "12")
+    store.save({"entries": rows}, root)
+    store.save_delta(spark, root, rows.where(one).select(F.lit("entries").alias("table"), F.col("file_path").alias("key")).distinct())
+    store.save_delta(spark, root, entries=rows.where(two & (F.col("node_count") > 25)))
+    store.save_delta(spark, root, entries=rows.where(one & (F.col("node_count") <= 10)))
+    return store.load(spark, root, "entries")
+
+
+@query(f"WITH {PART_ENTRIES_SQL} SELECT CAST(unit_id AS VARCHAR) AS unit_id, name, file_path, line_end, node_count, wl_hash, fingerprint, array_to_string(hierarchy, '|') AS levels FROM entries_parts")
+def entry_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries as JSON records, and read back from them."""
+    back = report.entries_from_json(report.entries_to_json(corpus.part_entries(spark, sf)))
+    return back.select("unit_id", "name", "file_path", "line_end", "node_count", "wl_hash", "fingerprint", F.array_join("hierarchy", "|").alias("levels"))
+
+
 # ---- reports
 
 
