@@ -39,8 +39,13 @@ def code_expr(key: str, size: str) -> str:
 PATH = "concat(CASE WHEN p_partkey % 7 = 0 THEN 'tests/' ELSE 'src/' END, replace(lower(p_brand), '#', '_'), '/f', CAST(p_partkey AS VARCHAR(20)), '.c')"
 
 
-def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(PATH).alias("file_path"), F.lit("c").alias("language"), F.expr(code_expr("p_partkey", "p_size")).alias("text"))
+def part_files(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """A file a part; dealt to as many tasks as shuffles have, where their texts are read: the table's few bytes are few
+    splits, however many rows they hold."""
+    part = table(spark, sf_dir, "part")
+    if dealt:
+        part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return part.select("p_partkey", F.expr(PATH).alias("file_path"), F.lit("c").alias("language"), F.expr(code_expr("p_partkey", "p_size")).alias("text"))
 
 
 def part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
