@@ -8,10 +8,9 @@ phrases that lie in it are all found by following them, and no text is compared
    words with their counts.
 2. Counts of a level's pairs are added up over chunks (in a chunk each pair stands once, so a hot word or pair is one row a
    chunk), and those of at least min_count get ids by being written.
-3. Chunks count the pairs of neighbouring pairs, and the frequent ones are named by joining the ids of both. Then chunks tell
-   which of these they hold, the ids are joined with that, grouped by chunk and joined with the streams, where they stand in
-   for three words from then on. So that not every rare pair of every chunk is sent, bitmaps of the frequent ones go to the
-   tasks: their size is fixed (BITS), a full one only sends more.
+3. Chunks count the triples and quadruples of neighbouring words; only those frequent in all chunks together are named, by
+   joining the ids of their two parents. So that not every rare one of every chunk is sent, bitmaps of the frequent pairs and
+   triples go to the tasks: their size is fixed (BITS), a full one only sends more.
 4. A phrase's row joins its parents' rows: text, counts of all its beginnings and ends (the cuts), and the ids of phrases
    within it (subsumption).
 
@@ -158,6 +157,17 @@ class Pairs:
         first, second = keys // max(1, len(self.n)), keys % max(1, len(self.n))
         return [self.left[first], self.right[first], self.right[second]]
 
+    def quads(self, often: np.ndarray, triples: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The four ids of the different quadruples of which the maps know all pairs and both triples, and their counts."""
+        at, keys = self.triples(often)
+        keys, which = np.unique(keys, return_inverse=True)
+        ids = self.ids(keys)
+        good = triples[slot(ids, len(triples))][which]
+        i = np.nonzero((np.diff(at) == 1) & good[:-1] & good[1:])[0]
+        own, n = np.unique(which[i] * len(keys) + which[i + 1], return_counts=True)
+        first, second = own // max(1, len(keys)), own % max(1, len(keys))
+        return [*(x[first] for x in ids), ids[2][second]], n
+
 
 def pair_counts(level: DataFrame) -> DataFrame:
     """(l, r, n): each different pair of a chunk and how often it stands there."""
@@ -186,38 +196,19 @@ def triple_counts(level: DataFrame, pairs: np.ndarray) -> DataFrame:
     return level.select("stream", "ids").mapInArrow(run, "a long, b long, c long, n long")
 
 
-def renamed(level: DataFrame, names: DataFrame, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
-    """The streams of triples: the ids of frequent ones (a, b, c, id) where they begin, 0 elsewhere; without the chunks that
-    have none."""
-
-    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, stream, ids in zip(b.column(0), b.column(1), b.column(2)):
-                p = Pairs(stream.as_py(), ids.values.to_numpy())
-                keys = np.unique(p.triples(pairs.value)[1])
-                keys = keys[triples.value[slot(p.ids(keys), len(triples.value))]]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * len(keys), pa.string()), pa.array(keys), *map(pa.array, p.ids(keys))], ["chunk", "key", "a", "b", "c"])
-        trim()
+def quad_counts(level: DataFrame, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """(a, b, c, d, n): each different quadruple of a chunk whose pairs and triples may all be frequent. pairs, triples: their
+    bitmaps, as broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, stream, ids, known in zip(*b.columns):
+            for stream, ids in zip(b.column(0), b.column(1)):
                 p = Pairs(stream.as_py(), ids.values.to_numpy())
-                at, key = p.triples(pairs.value)
-                known = known.values
-                keys, new = known.field("key").to_numpy(), known.field("id").to_numpy()
-                order = np.argsort(keys)
-                keys, new = keys[order], new[order]
-                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[place] == key
-                out = np.zeros(p.length, np.int32)
-                out[at[hit]] = place[hit] + 1
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([out.tobytes()], pa.binary()), pa.array([new], pa.list_(pa.int64()))], ["chunk", "stream", "ids"])
+                four, n = p.quads(pairs.value, triples.value)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, four), pa.array(n.astype(np.int64))], ["a", "b", "c", "d", "n"])
         trim()
 
-    held = level.select("chunk", "stream", "ids").mapInArrow(holds, "chunk string, key long, a long, b long, c long")
-    known = held.join(names.select("a", "b", "c", "id"), ["a", "b", "c"]).groupBy("chunk").agg(F.collect_list(F.struct("key", "id")).alias("known"))
-    return level.join(known.hint("merge"), "chunk").select("chunk", "stream", "ids", "known").mapInArrow(run, "chunk string, stream binary, ids array<long>")
+    return level.select("stream", "ids").mapInArrow(run, "a long, b long, c long, d long, n long")
 
 
 def first_level(chunks: DataFrame, words: DataFrame) -> DataFrame:
@@ -291,10 +282,10 @@ def collocations(docs: DataFrame, min_count: int = 30, share: int = 80, top: int
     triples = numbered(counted.join(first, ["a", "b"]).join(second, ["b", "c"]), ["a", "b", "c", "l", "r"], min_count, "phrase-triples")
     three = written(grown(triples, two, 3), "phrases")
     some_triples = spark.sparkContext.broadcast(bitmap(triples, ["a", "b", "c"], bits))
-    after = written(renamed(level.repartition(n, "chunk"), triples, some_pairs, some_triples), "phrase-level")
-    dropped(level)
-    fours = numbered(pair_counts(after), ["l", "r"], min_count, "phrase-fours")
+    counted = quad_counts(level, some_pairs, some_triples).groupBy("a", "b", "c", "d").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    first, second = (triples.select(*(F.col(c).alias(x) for c, x in zip("abc", own)), F.col("id").alias(p)) for own, p in (("abc", "l"), ("bcd", "r")))
+    fours = numbered(counted.join(first, ["a", "b", "c"]).join(second, ["b", "c", "d"]), ["l", "r"], min_count, "phrase-fours")
     four = written(grown(fours, three, 4), "phrases")
-    dropped(after)
+    dropped(level)
     whole = two.unionByName(three).unionByName(four)
     return ranked(whole, totals, share, top)
