@@ -32,7 +32,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +53,10 @@ SHORT = 48
 PART = 1 << 20
 #: Bytes that are compared at a time.
 BLOCK = 1 << 23
-#: Bits of the map of keys that several nodes give.
+#: Bits of the maps of keys that are looked for.
 BITS = 1 << 25
+#: Rounds in which keys are listed: a round shuffles its share of them.
+ROUNDS = 2
 
 
 class Bands:
@@ -232,9 +234,9 @@ def sketches(docs: DataFrame, width: int, bands: Bands) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, n long, bits binary, keys array<long>")
 
 
-def listed(classes: DataFrame) -> DataFrame:
-    """(key, size, low): the keys that several nodes give, and the smallest of these. Tasks read sorted keys in a stream, so a
-    key may have any number of nodes."""
+def listed(classes: DataFrame, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """(key, size, low): the keys of a round that several nodes give, and the smallest of these. Tasks read sorted keys in a
+    stream, so a key may have any number of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, int, int] | None = None  # key, size, low of the last key so far
@@ -255,36 +257,46 @@ def listed(classes: DataFrame) -> DataFrame:
         if held is not None and held[1] > 1:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], ["key", "size", "low"])
 
-    keyed = classes.select(F.explode("keys").alias("key"), "rep").repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
+    keyed = classes.select(F.explode("keys").alias("key"), "rep").where(F.pmod(F.shiftright("key", 8), F.lit(rounds)) == turn)
+    keyed = keyed.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
     return keyed.mapInArrow(run, "key long, size long, low long")
 
 
-def held_by(classes: DataFrame, lists: DataFrame, bits: int) -> DataFrame:
-    """(key, size, low, rep) of the nodes of lists. A map of the lists' keys, of a fixed size, spares most other keys the
-    way; where it is full, it spares none."""
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+def key_map(keys: DataFrame, bits: int) -> np.ndarray:
+    """A map of the keys (key), of a fixed size: what it doesn't hold is none of them; where it is full, it spares none."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits, bool)
         for b in batches:
-            own[slots(b.column(0).to_numpy())] = True
+            own[slots(b.column(0).to_numpy(), bits)] = True
         packed = np.packbits(own, bitorder="little").view(np.int64)
         at = np.nonzero(packed)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], ["at", "bits"])
 
-    def slots(keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-
-    found = lists.select("key").mapInArrow(marks, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = keys.select("key").mapInArrow(marks, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     packed = np.zeros(bits // 64, np.int64)
     packed[found["at"].to_numpy()] = found["bits"].to_numpy()
-    map_ = classes.sparkSession.sparkContext.broadcast(packed)
+    return packed
+
+
+def in_map(map_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = slots(keys, 64 * len(map_))
+    return (map_[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def held_by(classes: DataFrame, lists: DataFrame, bits: int) -> DataFrame:
+    """(key, size, low, rep) of the nodes of lists. A map of the lists' keys spares most other keys the way."""
+    map_ = classes.sparkSession.sparkContext.broadcast(key_map(lists, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             count = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
             key = b.column(1).flatten().to_numpy()
-            slot = slots(key)
-            may = (map_.value[slot >> 6] >> (slot & 63)) & 1 == 1
+            may = in_map(map_.value, key)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), count)[may]), pa.array(key[may])], ["rep", "key"])
         trim()
 
@@ -409,9 +421,22 @@ def wanting(long_: DataFrame, maps: DataFrame, bands: Bands) -> DataFrame:
     return rows.select("rep", "band", "dropped", "n").mapInArrow(run, "rep long, band int, missing int").groupBy("rep", "band").agg(F.max("missing").alias("missing"))
 
 
-def entries(sets: DataFrame, hot: DataFrame, lack: DataFrame, bands: Bands) -> DataFrame:
+def entries(sets: DataFrame, hot: DataFrame, lack: DataFrame, bands: Bands, bits: int = BITS) -> DataFrame:
     """(band, segment, rep, cls, key, role, missing, hot) of the sets in long lists that wanting nodes hold: role 0 are keys
-    of whole segments, role 1 of segments without a shingle; hot marks a set's long lists."""
+    of whole segments, role 1 of segments without a shingle; hot marks a set's long lists. Wanting nodes give all of theirs in
+    their bands, the others what those look for: a map of it spares the rest the way."""
+    needs = lack.groupBy("rep").agg(F.collect_list("band").alias("bands"), F.collect_list("missing").alias("misses"))
+    rows = sets.join(hot.groupBy("rep").agg(F.collect_list("key").alias("keys")).hint("merge"), "rep").join(needs.hint("merge"), "rep", "left")
+    none = F.array().cast("array<int>")
+    rows = rows.select("rep", "own", "keys", F.coalesce("bands", none).alias("bands"), F.coalesce("misses", none).alias("misses"))
+    kind = "band int, segment int, rep long, cls long, key long, role int, missing int, hot boolean"
+    asked = written(rows.where(F.size("bands") > 0).mapInArrow(entries_of(bands, None), kind), "asked-entries")
+    map_ = sets.sparkSession.sparkContext.broadcast(key_map(asked.where("not hot"), bits))
+    return asked.unionByName(rows.mapInArrow(entries_of(bands, map_), kind))
+
+
+def entries_of(bands: Bands, map_) -> Callable:
+    """Without a map, the entries of wanting nodes in their bands; else those of all others that the map, a broadcast, knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -420,21 +445,23 @@ def entries(sets: DataFrame, hot: DataFrame, lack: DataFrame, bands: Bands) -> D
                 cls = int.from_bytes(hashlib.md5(own.tobytes()).digest()[:8], "little", signed=True)
                 lacks = dict(zip(own_bands, misses))
                 for band in set((long_keys & 255).tolist()) & set(bands.of(len(own))):
+                    if (map_ is None) != (band in lacks):
+                        continue
                     m = bands.segments(band)
                     whole, segment, less = segment_keys(own, np.array([len(own)]), np.array([band]), np.array([m]))
                     hot_ = np.isin(whole, long_keys)
                     n = m + len(own)
                     seg = np.concatenate([np.arange(m), segment])
                     cols = [np.full(n, band), seg, np.full(n, rep), np.full(n, cls), np.concatenate([whole, less]), np.concatenate([np.zeros(m, int), np.ones(len(own), int)]), np.full(n, lacks.get(band, 0))]
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(hot_[seg])], ["band", "segment", "rep", "cls", "key", "role", "missing", "hot"])
+                    cols.append(hot_[seg])
+                    if map_ is not None:
+                        may = in_map(map_.value, cols[4])
+                        cols = [c[may] for c in cols]
+                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["band", "segment", "rep", "cls", "key", "role", "missing", "hot"])
         trim()
 
-    needs = lack.groupBy("rep").agg(F.collect_list("band").alias("bands"), F.collect_list("missing").alias("misses"))
-    rows = sets.join(hot.groupBy("rep").agg(F.collect_list("key").alias("keys")).hint("merge"), "rep").join(needs.hint("merge"), "rep", "left")
-    none = F.array().cast("array<int>")
-    rows = rows.select("rep", "own", "keys", F.coalesce("bands", none).alias("bands"), F.coalesce("misses", none).alias("misses"))
-    return rows.mapInArrow(run, "band int, segment int, rep long, cls long, key long, role int, missing int, hot boolean")
+    return run
 
 
 def allocated(found: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -467,7 +494,10 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, hot:
     folded = sketches(rows, width, bands).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys"))
     classes = written(folded, "set-classes")
     maps = written(classes.select("rep", "n", "bits"), "set-maps")
-    lists = written(listed(classes), "set-lists")
+    lists = None
+    for turn in range(ROUNDS):
+        some = written(listed(classes, turn, ROUNDS), "set-lists")
+        lists = some if lists is None else lists.unionByName(some)
     members = written(held_by(classes, lists, bits), "set-members")
     dropped(classes)
     dropped(lists)
@@ -535,7 +565,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, hot:
         told = with_band.join(lack, ["rep", "band"], "left_semi").select("key").distinct()
         long_ = written(long_.join(told, "key", "left_semi"), "wanted-lists")
         long_sets = sets_of(long_.select("rep"), "long-sets")
-        found = written(entries(long_sets, long_, lack, bands), "segment-entries")
+        found = written(entries(long_sets, long_, lack, bands, bits), "segment-entries")
         dropped(long_sets)
         neighbours, whole_lists = allocated(found, long_)
         dropped(found)
