@@ -21,25 +21,28 @@ columns are read, so extra columns may have any name. Equal scores and counts go
 
 from __future__ import annotations
 
+import contextlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import dropped, partitions, trim, written
 from tessera.llm.textops import mix
 
 #: Words after which a task ends a chunk (at the end of a text).
-CHUNK = 2_000_000
+CHUNK = 700_000
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 22
 #: Bits of the map of frequent pairs.
 BITS = 1 << 24
 #: A first ranking deals each language to so many tasks, of which each passes on as many rows as are wanted in the end.
 SALTS = 16
+#: Keys whose slots are looked up at a time.
+SOME = 1 << 16
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 TO_POINT = bytes.maketrans(BREAKS, b"." * len(BREAKS))
 
@@ -135,22 +138,61 @@ def bitmap(names: DataFrame, columns: list[str], bits: int) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+@contextlib.contextmanager
+def one_row_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written within goes to Python a row at a time: a chunk's row has megabytes, and a task reads many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, the number of each one's key among them, and their counts; np.unique takes twice the
+    memory. keys are at most 2^31."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    own = keys[order]
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    own = own[new]
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del order
+    return own, which, np.diff(np.append(np.nonzero(new)[0], len(keys)))
+
+
+def counted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order and their counts. keys are sorted in place."""
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return keys[new], np.diff(np.append(np.nonzero(new)[0], len(keys)))
+
+
 class Pairs:
     """The different pairs of neighbours in a stream whose numbers stand for ids: where they begin, which one, its ids."""
 
     def __init__(self, stream: bytes, ids: np.ndarray):
-        s = np.frombuffer(stream, np.int32).astype(np.int64)
+        s = np.frombuffer(stream, np.int32)
         name = np.concatenate([[0], ids])
-        self.length = len(s)
-        self.at = np.nonzero((s[:-1] > 0) & (s[1:] > 0))[0]
-        keys, self.which, self.n = np.unique(s[self.at] * len(name) + s[self.at + 1], return_inverse=True, return_counts=True)
+        self.at = np.nonzero((s[:-1] > 0) & (s[1:] > 0))[0].astype(np.int32)
+        both = s[self.at].astype(np.int64)
+        both *= len(name)
+        both += s[self.at + 1]
+        keys, self.which, self.n = distinct(both)
         self.left, self.right = name[keys // len(name)], name[keys % len(name)]
 
     def triples(self, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where triples begin of which the map knows both pairs, and their keys: the numbers of both pairs in one."""
         good = often[slot([self.left, self.right], len(often))][self.which]
         i = np.nonzero((np.diff(self.at) == 1) & good[:-1] & good[1:])[0]
-        return self.at[i], self.which[i] * len(self.n) + self.which[i + 1]
+        keys = self.which[i].astype(np.int64)
+        keys *= len(self.n)
+        keys += self.which[i + 1]
+        return self.at[i], keys
 
     def ids(self, keys: np.ndarray) -> list[np.ndarray]:
         """The three ids of triples."""
@@ -160,13 +202,19 @@ class Pairs:
     def quads(self, often: np.ndarray, triples: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """The four ids of the different quadruples of which the maps know all pairs and both triples, and their counts."""
         at, keys = self.triples(often)
-        keys, which = np.unique(keys, return_inverse=True)
-        ids = self.ids(keys)
-        good = triples[slot(ids, len(triples))][which]
+        keys, which, _ = distinct(keys)
+        known = np.empty(len(keys), bool)
+        for k in range(0, len(keys), SOME):
+            known[k : k + SOME] = triples[slot(self.ids(keys[k : k + SOME]), len(triples))]
+        good = known[which]
         i = np.nonzero((np.diff(at) == 1) & good[:-1] & good[1:])[0]
-        own, n = np.unique(which[i] * len(keys) + which[i + 1], return_counts=True)
-        first, second = own // max(1, len(keys)), own % max(1, len(keys))
-        return [*(x[first] for x in ids), ids[2][second]], n
+        own = which[i].astype(np.int64)
+        own *= len(keys)
+        own += which[i + 1]
+        del at, good, which, i
+        own, n = counted_keys(own)
+        first, second = keys[own // max(1, len(keys))], keys[own % max(1, len(keys))]
+        return [*self.ids(first), self.ids(second)[2]], n
 
 
 def pair_counts(level: DataFrame) -> DataFrame:
@@ -189,7 +237,7 @@ def triple_counts(level: DataFrame, pairs: np.ndarray) -> DataFrame:
         for b in batches:
             for stream, ids in zip(b.column(0), b.column(1)):
                 p = Pairs(stream.as_py(), ids.values.to_numpy())
-                keys, n = np.unique(p.triples(pairs.value)[1], return_counts=True)
+                keys, n = counted_keys(p.triples(pairs.value)[1])
                 yield pa.RecordBatch.from_arrays([*map(pa.array, p.ids(keys)), pa.array(n.astype(np.int64))], ["a", "b", "c", "n"])
         trim()
 
@@ -272,19 +320,23 @@ def collocations(docs: DataFrame, min_count: int = 30, share: int = 80, top: int
     counts = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     words = numbered(counts, ["lang", "word"], min_count, "phrase-words")
     known = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("pre"), F.array("f").alias("suf"), F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"))
-    level = written(first_level(chunks.repartition(n, "chunk"), words), "phrase-level")
+    with one_row_batches(spark):
+        level = written(first_level(chunks.repartition(n, "chunk"), words), "phrase-level")
     dropped(chunks)
-    pairs = numbered(pair_counts(level), ["l", "r"], min_count, "phrase-pairs")
+    with one_row_batches(spark):
+        pairs = numbered(pair_counts(level), ["l", "r"], min_count, "phrase-pairs")
     two = written(grown(pairs, known, 2), "phrases")
     some_pairs = spark.sparkContext.broadcast(bitmap(pairs, ["l", "r"], bits))
     counted = triple_counts(level, some_pairs).groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     first, second = (pairs.select(F.col("l").alias(x), F.col("r").alias(y), F.col("id").alias(p)) for x, y, p in (("a", "b", "l"), ("b", "c", "r")))
-    triples = numbered(counted.join(first, ["a", "b"]).join(second, ["b", "c"]), ["a", "b", "c", "l", "r"], min_count, "phrase-triples")
+    with one_row_batches(spark):
+        triples = numbered(counted.join(first, ["a", "b"]).join(second, ["b", "c"]), ["a", "b", "c", "l", "r"], min_count, "phrase-triples")
     three = written(grown(triples, two, 3), "phrases")
     some_triples = spark.sparkContext.broadcast(bitmap(triples, ["a", "b", "c"], bits))
     counted = quad_counts(level, some_pairs, some_triples).groupBy("a", "b", "c", "d").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     first, second = (triples.select(*(F.col(c).alias(x) for c, x in zip("abc", own)), F.col("id").alias(p)) for own, p in (("abc", "l"), ("bcd", "r")))
-    fours = numbered(counted.join(first, ["a", "b", "c"]).join(second, ["b", "c", "d"]), ["l", "r"], min_count, "phrase-fours")
+    with one_row_batches(spark):
+        fours = numbered(counted.join(first, ["a", "b", "c"]).join(second, ["b", "c", "d"]), ["l", "r"], min_count, "phrase-fours")
     four = written(grown(fours, three, 4), "phrases")
     dropped(level)
     whole = two.unionByName(three).unionByName(four)

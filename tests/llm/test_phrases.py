@@ -1,9 +1,11 @@
 import os
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import phrases
 from tessera.llm.common import dropped, written
@@ -78,3 +80,26 @@ def test_tables_go(spark):
     dropped(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
     dropped(df)
     assert not os.path.exists(path) and os.path.exists("/root/testdata/sf0.001/region.parquet")
+
+
+def test_a_chunk_at_a_time_and_little_memory_beside_it(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 40, 1, 2).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches if b.num_rows), "n long")
+    with phrases.one_row_batches(spark):
+        sizes = written(rows, "batches")
+    assert spark.conf.get(name) == before and [r.n for r in sizes.collect()] == [1] * 40
+    words = 300_000
+    stream = (np.random.default_rng(2).zipf(1.15, words) % 30_000).astype(np.int32).tobytes()
+    tracemalloc.start()
+    phrases.Pairs(stream, np.arange(1, 30_001))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 55 * words
+
+
+def test_distinct_keys():
+    for keys in (np.zeros(0, np.int64), np.array([5, 3, 5, 2**40, 3, 5])):
+        got, want = phrases.distinct(keys), np.unique(keys, return_inverse=True, return_counts=True)
+        assert all(x.tolist() == y.tolist() for x, y in zip(got, want))
+        assert [x.tolist() for x in phrases.counted_keys(keys.copy())] == [want[0].tolist(), want[2].tolist()]
