@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_group, components, dropped, partitions, starts, trim, written
+from tessera.llm.common import by_group, components, dropped, in_map, key_map, partitions, starts, trim, written
 from tessera.llm.textops import MULT, mix, word_hashes, words_of
 
 SPACES = re.compile(rb"[\x20\x09-\x0D]")
@@ -262,32 +262,6 @@ def listed(classes: DataFrame, turn: int = 0, rounds: int = 1) -> DataFrame:
     return keyed.mapInArrow(run, "key long, size long, low long")
 
 
-def slots(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(keys.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-
-
-def key_map(keys: DataFrame, bits: int) -> np.ndarray:
-    """A map of the keys (key), of a fixed size: what it doesn't hold is none of them; where it is full, it spares none."""
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
-        for b in batches:
-            own[slots(b.column(0).to_numpy(), bits)] = True
-        packed = np.packbits(own, bitorder="little").view(np.int64)
-        at = np.nonzero(packed)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], ["at", "bits"])
-
-    found = keys.select("key").mapInArrow(marks, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    packed = np.zeros(bits // 64, np.int64)
-    packed[found["at"].to_numpy()] = found["bits"].to_numpy()
-    return packed
-
-
-def in_map(map_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = slots(keys, 64 * len(map_))
-    return (map_[slot >> 6] >> (slot & 63)) & 1 == 1
-
-
 def held_by(classes: DataFrame, lists: DataFrame, bits: int) -> DataFrame:
     """(key, size, low, rep) of the nodes of lists. A map of the lists' keys spares most other keys the way."""
     map_ = classes.sparkSession.sparkContext.broadcast(key_map(lists, bits))
